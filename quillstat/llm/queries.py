@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm import bpe, chat_format, media, mixing, quality_rules, token_counts, url_filter
+from quillstat.llm import bpe, chat_format, media, mixing, near_dedup, quality_rules, suffix_dedup, token_counts, url_filter
 from quillstat.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -58,13 +62,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_chat_format": op2_chat_format,
+        "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
         "op7_media_columns": op7_media_columns,
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
