@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm import bpe, mixing, quality_rules
+from quillstat.llm import bpe, mixing, near_dedup, quality_rules, suffix_dedup
 from quillstat.llm.common import shared_dir, written
 
 
@@ -14,6 +14,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs).where(F.col("rejected_by").isNull()).drop("rejected_by")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the least id."""
+    found = near_dedup.near_duplicates(docs, carry=docs.columns).where("representative")
+    return found.select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that an earlier one holds; n_chars follows the text.  Documents of which nothing stays are gone."""
+    cut = suffix_dedup.remove_repeats(docs, with_text=True, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return cut.where("text <> '' OR n_removed = 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole epochs as repeated rows."""
     rows = mixing.mix(docs, carry=["text", "lang", "n_chars"])
@@ -26,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mixture), ("bpe", encode)]
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("suffix array", repeated_strings), ("mixing", mixture), ("bpe", encode)]
 ORACLE_SQL = None
 
 

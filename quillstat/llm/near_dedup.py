@@ -101,7 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
             bands.append(band_keys(signature(s)) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "key", "bands"]
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "n", "key", "bands", *batch.schema.names[2:]]
         )
 
 
@@ -177,20 +177,26 @@ def _complete_large(members: DataFrame, sets: DataFrame, block: int = BLOCK) ->
     return written(tiles.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_tile, "a long, b long"), "completed")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of ``df``.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and representative, one row per row of ``df``.
 
     Words are lower-cased in A-Z and cut at ASCII white space.  Fewer than five
     words make one shingle of all of them; null and empty texts have no shingle,
     link with nothing and are kept.  component_id is the least doc_id of a row's
     component; kept says that it is the row's own, so of repeated rows all with
     that id are kept.  Null ids count for no minimum; a component of null ids
-    only has a null component_id and its rows are kept.
+    only has a null component_id and its rows are kept.  ``representative`` is
+    true for exactly one row of a component.  ``carry`` names columns of ``df``
+    to return as well, as carried_NAME.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sig = written(docs.mapInArrow(_signatures, "doc_id long, n long, key binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "signatures")
-    # equal sets are one node
-    keyed = sig.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
+    carry = carry or []
+    kept_as = [f"__c{i}" for i in range(len(carry))]
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, kept_as, strict=True)])
+    schema = "".join([f", {k} {docs.schema[k].dataType.simpleString()}" for k in kept_as])
+    sig = written(docs.mapInArrow(_signatures, "doc_id long, n long, key binary, bands array<long>" + schema).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # equal sets are one node; its best row is that of the least id
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    keyed = sig.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(best).alias("best"), F.min("doc_id").alias("low"))
     nodes = written(keyed, "nodes")
     rows = sig.select(F.col("row").alias("node"), "n", "bands").join(nodes.select("node"), "node").select("node", "n", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")).where("size > 1")
@@ -233,10 +239,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     if not large.isEmpty():
         links = links.union(_complete_large(large, sets))
 
-    final = labelled(links).join(nodes.select("node", "low"), "node")
-    lows = final.groupBy("component").agg(F.min("low").alias("component_id"))
-    per_node = nodes.join(final.select("node", "component"), "node", "left").join(lows, "component", "left")
-    per_key = per_node.select("key", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
-    out = sig.select("doc_id", "n", "key").join(per_key, "key", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    final = labelled(links).join(nodes.select("node", "best"), "node")
+    bests = final.groupBy("component").agg(F.min("best").alias("least"))
+    per_node = nodes.join(final.select("node", "component"), "node", "left").join(bests, "component", "left")
+    per_key = per_node.select("key", F.coalesce("least", "best").alias("least"))
+    out = sig.drop("bands").join(per_key, "key", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        ((F.col("n") == 0) | (F.col("row") == F.col("least.row"))).alias("representative"),
+        *[F.col(k).alias(f"carried_{c}") for c, k in zip(carry, kept_as, strict=True)],
+    )

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import SPACES, text_of, words
 
 SYMBOLS = "#*$%&|<>"
+#: A rule rejects a text for which it is true.
+Rule = Callable[[Column], Column]
 
 
 def n_words(text: Column) -> Column:
@@ -82,6 +84,15 @@ def _covered(places: Column) -> Column:
     )
 
 
+def _let(value: Column, use: Rule) -> Column:
+    """use(value) with the value computed once, inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def n_repeat_words(text: Column) -> Column:
+    return _let(words(text), lambda w: _let(_windows(w), lambda g: _covered(_repeated_at(g))))
+
+
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
@@ -103,12 +114,9 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("__w", "__g", "__p")
 
 
-#: A rule rejects a text for which it is true.
-Rule = Callable[[Column], Column]
-
 BASE_RULES: dict[str, Rule] = {
     "few_words": lambda t: n_words(t) < 50,
-    "repeated_windows": lambda t: 100 * _covered(_repeated_at(_windows(words(t)))) > 50 * n_words(t),
+    "repeated_windows": lambda t: 100 * n_repeat_words(t) > 50 * n_words(t),
 }
 METHOD_RULES: dict[str, Rule] = {
     "symbols": lambda t: 100 * n_symbols(t) > 25 * word_chars(t),

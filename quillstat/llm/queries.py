@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm import bpe, chat_format, media, mixing, near_dedup, quality_rules, suffix_dedup, token_counts, url_filter
+from quillstat.llm import bpe, chat_format, lm_scoring, media, mixing, near_dedup, quality_rules, suffix_dedup, token_counts, url_filter
 from quillstat.llm.common import documents
 
 
@@ -30,8 +30,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("representative")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,7 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_chat_format": op2_chat_format,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,

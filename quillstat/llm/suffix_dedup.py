@@ -395,7 +395,7 @@ def _cut(text: bytes, at: np.ndarray, mask: np.ndarray) -> tuple[int, int, bytes
     return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False, part_bytes: int = 1 << 23) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None, part_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per row of ``df``; with ``with_text`` also the rest.
 
     The rest is returned as text; a cut inside a UTF-8 character leaves bytes
@@ -405,14 +405,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     rows are told apart by their text when marks are applied.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    carry = carry or []
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
-    known = docs.where("doc_id IS NOT NULL")
+    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     bits = spark.sparkContext.broadcast(shared_anchor_filter(known))
     marks = window_marks(known, bits, max(64, -(-total // (1 << 21))))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     names = [c.strip().split(" ")[0] for c in out.split(",")]
+    extra = [f"__c{i}" for i in range(len(carry))]
+    out += "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in extra)
 
     def apply(texts: pa.Table, found: pa.Table) -> pa.Table:
         ids, crc, at, mask = (found.column(c).to_numpy() for c in ("doc_id", "crc", "at", "mask"))
@@ -426,9 +429,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
             rows.append((d, len(t), n, runs, hashlib.sha256(rest).hexdigest()) + (rest.decode("utf-8", "ignore"),) * with_text)
         kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        return pa.table([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *texts.select(extra).columns], [*names, *extra])
 
     part = F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).alias("part")
-    left = docs.select("doc_id", "text", part).groupBy("part")
+    left = docs.select("doc_id", "text", *extra, part).groupBy("part")
     right = marks.select("doc_id", "crc", "at", "mask", part).groupBy("part")
-    return left.cogroup(right).applyInArrow(apply, out)
+    rows = left.cogroup(right).applyInArrow(apply, out)
+    return rows.withColumnsRenamed({k: c for k, c in zip(extra, carry, strict=True) if c not in names})
