@@ -35,12 +35,13 @@ def _wrap(f):
             return values(a, b, c)
 
         g = three
-    udf = F.pandas_udf(g, "double")
+    made = []  # on first use: workers import this module without a session
 
     def column(*args) -> Column:
-        return udf(*[a.cast("double") if isinstance(a, Column) else F.lit(float(a)) for a in args])
+        if not made:
+            made.append(F.pandas_udf(g, "double"))
+        return made[0](*[a.cast("double") if isinstance(a, Column) else F.lit(float(a)) for a in args])
 
-    column.udf = udf
     return column
 
 

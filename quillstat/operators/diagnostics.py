@@ -93,16 +93,27 @@ def predict(x: Column, coefficients: Column, intercept: Column) -> Column:
     return F.transform(rows, one)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def jarque_bera(values: Column) -> Column:
     """Struct of the test over an array, natively; null under three values or without variance."""
-    v = F.filter(values, lambda x: finite(x))
-    n = F.size(v).cast("double")
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    power = lambda k: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x - mean, k)) / n
-    m2 = power(2)
-    skew, kurt = power(3) / F.pow(m2, 1.5), power(4) / (m2 * m2) - 3
-    stat = n / 6 * (skew * skew + kurt * kurt / 4)
-    return F.when((n >= 3) & (m2 > 0), F.struct(stat.alias("statistic"), F.exp(-stat / 2).alias("p_value"), skew.alias("skewness"), kurt.alias("kurtosis"), F.size(v).cast("long").alias("n")))
+
+    def total(v: Column, term) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda a, x: a + term(x))
+
+    def with_mean(v: Column, mean: Column) -> Column:
+        sums = F.struct(*[(total(v, lambda x, k=k: F.pow(x - mean, F.lit(float(k)))) / F.size(v)).alias(f"m{k}") for k in (2, 3, 4)])
+        return let(sums, lambda m: finish(F.size(v), m["m2"], m["m3"], m["m4"]))
+
+    def finish(n: Column, m2: Column, m3: Column, m4: Column) -> Column:
+        skew, kurt = m3 / F.pow(m2, F.lit(1.5)), m4 / (m2 * m2) - 3
+        stat = n / 6 * (skew * skew + kurt * kurt / 4)
+        return F.when((n >= 3) & (m2 > 0), F.struct(stat.alias("statistic"), F.exp(-stat / 2).alias("p_value"), skew.alias("skewness"), kurt.alias("kurtosis"), n.cast("long").alias("n")))
+
+    return let(F.filter(values, lambda x: finite(x)), lambda v: let(total(v, lambda x: x) / F.size(v), lambda mean: with_mean(v, mean)))
 
 
 def eb_shrink_by(df: DataFrame, estimate: str, se: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:

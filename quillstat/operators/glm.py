@@ -19,14 +19,11 @@ from quillstat.plans.newton import linear_predictor, newton, parameter
 from quillstat.sources.tables import settled
 
 
-def _series_udf(f):
+def lgamma(c: Column) -> Column:
     def run(a: pd.Series) -> pd.Series:
-        return pd.Series(f(a.to_numpy(float, na_value=np.nan)))
+        return pd.Series(dist.lgamma(a.to_numpy(float, na_value=np.nan)))
 
-    return F.pandas_udf(run, "double")
-
-
-lgamma = _series_udf(dist.lgamma)
+    return F.pandas_udf(run, "double")(c)
 
 
 @dataclass
@@ -317,13 +314,14 @@ def aft_fit_agg(df: DataFrame, time: str, x: list[str], event: str, by: list[str
             _, f1, f2 = _aft_terms(o.aft_dist, z, F.col("__d"))
             out = {"g": -f1 / s, "w": f2 / (s * s)}
             if not fixed:
-                out |= {"g0": -f1 * z - F.col("__d"), "w0": f2 * z * z - F.when(f1 * z < 0, f1 * z).otherwise(0.0), "c0": f2 * z / s}
+                # the scores vanish at the optimum, where this positive matrix is the exact curvature
+                out |= {"g0": -f1 * z - F.col("__d"), "w0": f2 * z * z + F.col("__d"), "c0": f2 * z / s}
             return out
 
         per = rows.groupBy(*by).agg(F.avg("__y").alias("m"), F.coalesce(F.stddev_samp("__y"), F.lit(1.0)).alias("s"))
         first = ([F.col("m")] if k else []) + [F.lit(0.0)] * len(names) + ([] if fixed else [F.log(F.greatest(F.col("s"), F.lit(1e-3)))])
         start = settled(per.select(*by, F.array(*first).alias("__theta")))
-        fit = newton(rows, by, names, bool(k), start, derive, extra=0 if fixed else 1, iterations=int(o.max_iterations), tolerance=max(1e-9, float(o.tolerance)), most_step=1.0)
+        fit = newton(rows, by, names, bool(k), start, derive, extra=0 if fixed else 1, iterations=int(o.max_iterations), tolerance=max(1e-9, float(o.tolerance)), most_step=20.0)
         j = join_groups(rows, fit, by)
         s = F.lit(1.0) if fixed else F.exp(log_scale)
         z = (F.col("__y") - linear_predictor(names, bool(k))) / s

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import dist, options
 from quillstat.functions.columns import beta_ppf, binom_cdf, chi2_sf, f_ppf, f_sf, norm_cdf, norm_ppf, norm_sf, p_value, t_ppf, t_sf, t_two_sided
-from quillstat.plans.moments import double, join_groups, usable
+from quillstat.plans.moments import double, join_groups, own_names, usable
 
 NAN = float("nan")
 TEST = dict(alternative="two_sided", confidence_level=0.95)
@@ -60,12 +60,14 @@ def _midranks(rows: DataFrame, by: list[str], value: str, name: str = "rank") ->
 # -- normality ------------------------------------------------------------------------
 
 
+@own_names
 def jarque_bera_agg(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     s = _rows(df, by, v=value).groupBy(*by).agg(F.count("v").alias("n"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"), F.var_pop("v").alias("var"))
     s = s.where("n >= 3 AND var > 0").withColumn("statistic", F.col("n") / 6 * (F.col("skewness") ** 2 + F.col("kurtosis") ** 2 / 4))
     return s.select(*by, "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"), "skewness", "kurtosis", "n")
 
 
+@own_names
 def dagostino_k2_agg(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """D'Agostino and Pearson's K squared from the transformed skewness and kurtosis; needs 20 values."""
     s = _rows(df, by, v=value).groupBy(*by).agg(F.count("v").alias("n"), F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2")).where("n >= 20")
@@ -85,6 +87,7 @@ def dagostino_k2_agg(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame
     return s.select(*by, "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"), "n", F.lit("D'Agostino-Pearson K2").alias("method"))
 
 
+@own_names
 def shapiro_wilk_agg(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Shapiro-Wilk by Royston's approximation, for 3 to 5000 values: a dot product with weights of the ranks."""
     rows = _rows(df, by, v=value)
@@ -151,6 +154,7 @@ def _welch(s: DataFrame, kind: str, mu: float) -> DataFrame:
     return s.withColumns({"diff": F.col("m1") - F.col("m2"), "se": se, "df": df}).withColumn("statistic", (F.col("diff") - mu) / F.col("se"))
 
 
+@own_names
 def t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, **TEST, kind="welch", mu=0.0, paired=False)
     s = _welch(_two_moments(df, value, group, by), o.kind, float(o.mu))
@@ -158,6 +162,7 @@ def t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts:
     return s.select(*by, "statistic", p_value(F.col("statistic"), F.col("df"), o.alternative).alias("p_value"), "df", F.lit(NAN).alias("effect_size"), *_lower_upper(F.col("diff"), half, o.alternative), "n1", "n2", F.lit("Welch t-test" if o.kind != "student" else "Student t-test").alias("method"))
 
 
+@own_names
 def yuen_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Trimmed means, winsorised variances; four values per group at least."""
     o = options.read(opts, **TEST, trim=0.2)
@@ -193,11 +198,13 @@ def _grouped(df: DataFrame, value: str, group: str, by) -> DataFrame:
     return usable(df, [value]).where(F.col(group).isNotNull()).select(*by, double(value).alias("v"), F.col(group).alias("g"))
 
 
+@own_names
 def one_way_anova_agg(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     s = _anova(_grouped(df, value, group, by), list(by))
     return s.select(*by, "f_statistic", "p_value", "df_between", "df_within", "ss_between", "ss_within", F.col("k").alias("n_groups"), "n", F.lit("One-way ANOVA").alias("method"))
 
 
+@own_names
 def brown_forsythe_agg(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     r = _grouped(df, value, group, by)
     med = r.groupBy(*by, "g").agg(F.median("v").alias("med"))
@@ -205,6 +212,7 @@ def brown_forsythe_agg(df: DataFrame, value: str, group: str, by: list[str] = ()
     return s.select(*by, F.col("f_statistic").alias("statistic"), "p_value", F.col("df_between").alias("df"), "n", F.lit("Brown-Forsythe test").alias("method"))
 
 
+@own_names
 def mann_whitney_u_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Normal approximation with tie correction; the interval of the shift is by normal theory on ranks and given as null."""
     o = options.read(opts, **TEST, continuity_correction=True)
@@ -221,6 +229,7 @@ def mann_whitney_u_agg(df: DataFrame, value: str, group: str, by: list[str] = ()
     return s.select(*by, "statistic", p_value((d - cc) / sd, None, o.alternative).alias("p_value"), F.lit(NAN).alias("effect_size"), null.alias("ci_lower"), null.alias("ci_upper"), "n1", "n2", F.lit("Mann-Whitney U test").alias("method"))
 
 
+@own_names
 def wilcoxon_signed_rank_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Paired; zero differences are dropped; normal approximation with tie correction."""
     o = options.read(opts, **TEST, continuity_correction=True)
@@ -236,6 +245,7 @@ def wilcoxon_signed_rank_agg(df: DataFrame, x: str, y: str, by: list[str] = (),
     return s.select(*by, "statistic", p_value((d - cc) / sd, None, o.alternative).alias("p_value"), null.alias("ci_lower"), null.alias("ci_upper"), "n", F.lit("Wilcoxon signed-rank test").alias("method"))
 
 
+@own_names
 def kruskal_wallis_agg(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     by = list(by)
     r = _midranks(_grouped(df, value, group, by), by, "v")
@@ -247,6 +257,7 @@ def kruskal_wallis_agg(df: DataFrame, value: str, group: str, by: list[str] = ()
     return s.select(*by, "statistic", chi2_sf(F.col("statistic"), F.col("df")).alias("p_value"), "df", F.col("n"), F.lit("Kruskal-Wallis test").alias("method"))
 
 
+@own_names
 def brunner_munzel_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, **TEST)
     by = list(by)
@@ -277,6 +288,7 @@ def _pearson(s: DataFrame, by, level: float, method: str) -> DataFrame:
     return s.select(*by, "r", "statistic", p.alias("p_value"), F.tanh(z - half).alias("ci_lower"), F.tanh(z + half).alias("ci_upper"), "n", F.lit(method).alias("method"))
 
 
+@own_names
 def pearson_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, confidence_level=0.95)
     s = _rows(df, by, x=x, y=y).groupBy(*by).agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
@@ -289,12 +301,14 @@ def _ranked(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return _midranks(r, by, "y", "ry")
 
 
+@own_names
 def spearman_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o, by = options.read(opts, confidence_level=0.95), list(by)
     s = _ranked(df, x, y, by).groupBy(*by).agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
     return _pearson(s, by, float(o.confidence_level), "Spearman correlation")
 
 
+@own_names
 def icc_agg(df: DataFrame, value: str, subject: str, rater: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Two-way random effects, absolute agreement: single rating or, with type average, the mean of all raters.  Null unless every rater rated every subject."""
     o, by = options.read(opts, type="single", confidence_level=0.95), list(by)
@@ -321,6 +335,7 @@ def icc_agg(df: DataFrame, value: str, subject: str, rater: str, by: list[str] =
     return t.select(*by, up(one).alias("icc"), "f_statistic", up(low).alias("ci_lower"), up(high).alias("ci_upper"), F.col("n").alias("n_subjects"), F.col("k").alias("n_raters"), F.lit("ICC(A,1)" if up(F.lit(1)) is None else f"ICC ({o.type})").alias("method"))
 
 
+@own_names
 def cohen_kappa_agg(df: DataFrame, rater1: str, rater2: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Unweighted, or with ``weighted`` linearly by the order of the categories."""
     o, by = options.read(opts, weighted=False, confidence_level=0.95), list(by)
@@ -362,6 +377,7 @@ def _table(df: DataFrame, row: str, col: str, by: list[str]) -> DataFrame:
     return c.groupBy(*by).agg(F.first("n").alias("n"), F.countDistinct("a").alias("rows"), F.countDistinct("b").alias("cols"), (F.sum(F.col("c") ** 2 / e) - F.first("n")).alias("chi2"), (2 * F.sum(F.col("c") * F.log(F.col("c") / e))).alias("g"), F.max("a").alias("max_a"), F.max("b").alias("max_b"))
 
 
+@own_names
 def chisq_test_agg(df: DataFrame, row: str, col: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Codes are places in a dense table 0 to the greatest: a gap is an empty row or column, and then the statistic is NaN."""
     o, by = options.read(opts, continuity_correction=False, correction=False), list(by)
@@ -376,6 +392,7 @@ def chisq_test_agg(df: DataFrame, row: str, col: str, by: list[str] = (), opts:
     return t.select(*by, "statistic", chi2_sf(F.col("statistic"), F.col("df")).alias("p_value"), "df", F.lit("Pearson chi-squared test").alias("method"))
 
 
+@own_names
 def chisq_gof_agg(df: DataFrame, observed: str, expected: str, by: list[str] = ()) -> DataFrame:
     r = _rows(df, by, o=observed, p=expected)
     s = r.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("o").alias("n"), F.sum("p").alias("sp"), F.sum(F.col("o") ** 2 / F.col("p")).alias("q")).where("k >= 2")
@@ -384,16 +401,19 @@ def chisq_gof_agg(df: DataFrame, observed: str, expected: str, by: list[str] = (
     return s.select(*by, "statistic", chi2_sf(F.col("statistic"), F.col("df")).alias("p_value"), "df", F.lit("Chi-squared goodness of fit").alias("method"))
 
 
+@own_names
 def g_test_agg(df: DataFrame, row: str, col: str, by: list[str] = ()) -> DataFrame:
     t = _table(df, row, col, list(by)).where("n >= 4").withColumn("df", (F.col("rows") - 1) * (F.col("cols") - 1))
     return t.select(*by, F.col("g").alias("statistic"), chi2_sf(F.col("g"), F.col("df")).alias("p_value"), "df", F.lit("G-test").alias("method"))
 
 
+@own_names
 def cramers_v_agg(df: DataFrame, row: str, col: str, by: list[str] = ()) -> DataFrame:
     t = _table(df, row, col, list(by)).where("n >= 2")
     return t.select(*by, F.sqrt(F.greatest(F.lit(0.0), F.col("chi2")) / (F.col("n") * (F.least("rows", "cols") - 1))).alias("cramers_v"))
 
 
+@own_names
 def contingency_coef_agg(df: DataFrame, row: str, col: str, by: list[str] = ()) -> DataFrame:
     t = _table(df, row, col, list(by)).where("n >= 4").withColumn("x", F.greatest(F.lit(0.0), F.col("chi2")))
     return t.select(*by, F.sqrt(F.col("x") / (F.col("x") + F.col("n"))).alias("contingency_coef"))
@@ -408,12 +428,14 @@ def _four(df: DataFrame, row: str, col: str, by: list[str]) -> DataFrame:
     return c.groupBy(*by).agg(*[cell(i, j) for i in (0, 1) for j in (0, 1)], F.sum("c").alias("m"), F.max("i").alias("top_a"), F.max("j").alias("top_b"))
 
 
+@own_names
 def phi_coefficient_agg(df: DataFrame, row: str, col: str, by: list[str] = ()) -> DataFrame:
     t = _four(df, row, col, list(by)).where("m >= 4 AND top_a = 1 AND top_b = 1")
     a, b, c, d = map(_col, ("p00", "p01", "p10", "p11"))
     return t.select(*by, ((a * d - b * c) / F.sqrt((a + b) * (c + d) * (a + c) * (b + d))).alias("phi"))
 
 
+@own_names
 def mcnemar_agg(df: DataFrame, var1: str, var2: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Values are taken as zero or not; the correction is on by default."""
     o = options.read(opts, correction=True)
@@ -427,6 +449,7 @@ def mcnemar_agg(df: DataFrame, var1: str, var2: str, by: list[str] = (), opts: d
     return s.select(*by, "statistic", chi2_sf(F.col("statistic"), F.lit(1.0)).alias("p_value"), F.lit(1.0).alias("df"), F.lit("McNemar test").alias("method"))
 
 
+@own_names
 def fisher_exact_agg(df: DataFrame, row: str, col: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """2 x 2 only; the odds ratio is the sample's, its interval Woolf's."""
     o = options.read(opts, **TEST)
@@ -467,6 +490,7 @@ def _share(o) -> float:
     return float(o.p0)
 
 
+@own_names
 def prop_test_one_agg(df: DataFrame, value: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Normal test of a share; Wilson's interval."""
     o = options.read(opts, **TEST, p0=0.5)
@@ -478,6 +502,7 @@ def prop_test_one_agg(df: DataFrame, value: str, by: list[str] = (), opts: dict
     return s.select(*by, "statistic", p_value(F.col("statistic"), None, o.alternative).alias("p_value"), "estimate", (mid - half).alias("ci_lower"), (mid + half).alias("ci_upper"), "n", F.lit("One-sample proportion test").alias("method"))
 
 
+@own_names
 def prop_test_two_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, **TEST, correction=True)
     r = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -492,6 +517,7 @@ def prop_test_two_agg(df: DataFrame, value: str, group: str, by: list[str] = (),
     return s.select(*by, "statistic", p_value(F.col("statistic"), None, o.alternative).alias("p_value"), "estimate", (F.col("estimate") - half).alias("ci_lower"), (F.col("estimate") + half).alias("ci_upper"), (F.col("n1") + F.col("n2")).alias("n"), F.lit("Two-sample proportion test").alias("method"))
 
 
+@own_names
 def binom_test_agg(df: DataFrame, value: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Exact; two-sided by doubling is not used: outcomes no likelier than the observed are summed.  Clopper-Pearson interval."""
     o = options.read(opts, **TEST, p0=0.5)
@@ -525,6 +551,7 @@ def _bounds(o, default: float) -> tuple[float, float]:
     return (-default if o.bound_lower is None else float(o.bound_lower)), (default if o.bound_upper is None else float(o.bound_upper))
 
 
+@own_names
 def tost_t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, delta=None, bound_lower=None, bound_upper=None, confidence_level=0.95, kind="welch")
     low, high = _bounds(o, 1.0)
@@ -536,6 +563,7 @@ def tost_t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), o
     return s.select(*by, "t_lower", "t_upper", "p_lower", "p_upper", "p_value", "df", F.col("diff").alias("estimate"), (F.col("diff") - half).alias("ci_lower"), (F.col("diff") + half).alias("ci_upper"), F.lit(low).alias("bound_lower"), F.lit(high).alias("bound_upper"), (F.col("p_value") < alpha).alias("equivalent"), (F.col("n1") + F.col("n2")).alias("n"), F.lit("TOST t-test").alias("method"))
 
 
+@own_names
 def tost_paired_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, delta=None, bound_lower=None, bound_upper=None, alpha=0.05)
     low, high = _bounds(o, 0.5)
@@ -548,6 +576,7 @@ def tost_paired_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dic
     return s.select(*by, "estimate", (F.col("estimate") - half).alias("ci_lower"), (F.col("estimate") + half).alias("ci_upper"), p.alias("p_value"), (p < alpha).alias("equivalent"), "n", F.lit("TOST paired t-test").alias("method"))
 
 
+@own_names
 def tost_correlation_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Fisher's z of the correlation against both bounds around rho_null."""
     o, by = options.read(opts, rho_null=0.0, bound_lower=None, bound_upper=None, delta=None, alpha=0.05, method="pearson"), list(by)
@@ -584,6 +613,7 @@ def _loss_test(rows: DataFrame, by: list[str], order_by: list[str], horizon: int
     return s
 
 
+@own_names
 def diebold_mariano_agg(df: DataFrame, actual: str, forecast1: str, forecast2: str, by: list[str] = (), order_by: list[str] | None = None, opts: dict | None = None) -> DataFrame:
     """Squared or absolute loss; needs ``order_by`` for a horizon above 1."""
     o, by = options.read(opts, alternative="two_sided", loss="squared", var_estimator="acf", horizon=1), list(by)
@@ -596,6 +626,7 @@ def diebold_mariano_agg(df: DataFrame, actual: str, forecast1: str, forecast2: s
     return s.select(*by, "statistic", p_value(F.col("statistic"), F.col("n") - 1, o.alternative).alias("p_value"), "n", F.lit("Diebold-Mariano test").alias("method"))
 
 
+@own_names
 def clark_west_agg(df: DataFrame, actual: str, restricted: str, unrestricted: str, by: list[str] = (), order_by: list[str] | None = None, opts: dict | None = None) -> DataFrame:
     """From the two error series; one-sided: the larger model forecasts better."""
     o, by = options.read(opts, horizon=1), list(by)

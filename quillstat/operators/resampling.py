@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions import dist, options
-from quillstat.plans.moments import double, usable
+from quillstat.plans.moments import double, own_names, usable
 
 SCHEMA = "statistic double, p_value double, n1 int, n2 int, method string"
 BLOCK = 1024
@@ -33,6 +33,7 @@ def _two(df: DataFrame, value: str, group: str, by) -> DataFrame:
     return usable(df, [value]).where(F.col(group).isNotNull()).select(*by, double(value).alias("v"), (F.col(group).cast("long") == 0).alias("first"))
 
 
+@own_names
 def permutation_t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Difference of means under relabelling, as a t statistic; the share of relabellings at least as far out."""
     o = options.read(opts, alternative="two_sided", n_permutations=10_000, random_state=42)
@@ -86,6 +87,7 @@ def _relabelled(v, f, statistic, o, method):
     return float(seen), (hits + 1) / (int(o.n_permutations) + 1), n1, len(v) - n1, method
 
 
+@own_names
 def energy_distance_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o = options.read(opts, n_permutations=1000, random_state=42)
 
@@ -96,6 +98,7 @@ def energy_distance_agg(df: DataFrame, value: str, group: str, by: list[str] = (
     return _apply(_two(df, value, group, by), list(by), SCHEMA, kernel)
 
 
+@own_names
 def mmd_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Maximum mean discrepancy with a Gaussian kernel whose width is the median distance.  The kernel matrix of the group is kept in memory."""
     o = options.read(opts, n_permutations=1000, random_state=42, bandwidth=None)
@@ -125,6 +128,7 @@ def _centred(v: np.ndarray) -> np.ndarray:
     return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
 
 
+@own_names
 def distance_cor_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Distance correlation, n times the squared distance covariance, and its permutation test; four pairs at least."""
     o = options.read(opts, n_permutations=1000, random_state=42)
@@ -159,6 +163,7 @@ def discordant(y: np.ndarray) -> int:
     return total
 
 
+@own_names
 def kendall_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Tau-a, -b or -c in n log n; normal test with tie corrections."""
     o = options.read(opts, variant="tau_b", confidence_level=0.95)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillstat.functions import dist, options
 from quillstat.operators import glm
 from quillstat.operators.linear import predicted, training
-from quillstat.plans.moments import double, join_groups, moments, usable
+from quillstat.plans.moments import double, join_groups, usable, weighted_moments_once
 from quillstat.plans.newton import add, linear_predictor, newton, parameter
 from quillstat.plans.solve import Stack, sweep
 from quillstat.sources.tables import settled
@@ -52,16 +52,19 @@ def reweighted(rows: DataFrame, xs: list[str], by: list[str], intercept: bool, w
     ``weigh`` gets the rows with __e, the residual, and adds __w.
     """
     solver = _weighted_solver(len(xs), intercept, ridge)
+    cols = ["__y", *xs]
+    centre = settled(rows.groupBy(*by).agg(F.array(*[F.avg(c) if intercept else F.lit(0.0) for c in cols]).alias("__c")))
+    rows = join_groups(rows, centre, by).withColumns({c: F.col(c) - F.get("__c", F.lit(i)) for i, c in enumerate(cols)}).drop("__c")
 
-    def fit(r: DataFrame, weight: str | None) -> DataFrame:
-        m = moments(r, "__y", xs, by, weight)
+    def fit(r: DataFrame) -> DataFrame:
+        m = weighted_moments_once(r, "__y", xs, by, "__w")
         return settled(m.select(*by, solver(F.struct(*[c for c in m.columns if c not in by])).alias("r")))
 
-    state = fit(rows, None)
+    state = fit(rows.withColumn("__w", F.lit(1.0)))
     for _ in range(iterations):
         j = join_groups(rows, state.withColumnRenamed("r", "__r"), by)
         j = j.withColumn("__e", F.col("__y") - predicted(xs, "__r")).drop("__r")
-        new = fit(weigh(j), "__w")
+        new = fit(weigh(j))
         both = join_groups(new, state.withColumnRenamed("r", "o"), by)
         flat = lambda c: F.concat(F.array(F.nanvl(F.col(f"{c}.intercept"), F.lit(0.0))), F.col(f"{c}.coefficients"))
         moved = F.aggregate(F.arrays_zip(flat("r").alias("a"), flat("o").alias("b")), F.lit(0.0), lambda m, z: F.greatest(m, F.nanvl(F.abs(z["a"] - z["b"]) / (1 + F.abs(z["b"])), F.lit(0.0))))
@@ -69,7 +72,9 @@ def reweighted(rows: DataFrame, xs: list[str], by: list[str], intercept: bool, w
         state = new
         if most is None or most < tolerance:
             break
-    return state
+    out = join_groups(state, centre, by)
+    shift = F.get("__c", F.lit(0)) - add([F.lit(0.0), *[F.nanvl(F.get("r.coefficients", F.lit(i)), F.lit(0.0)) * F.get("__c", F.lit(i + 1)) for i in range(len(xs))]])
+    return settled(out.select(*by, F.struct("r.coefficients", (F.col("r.intercept") + shift).alias("intercept"), "r.n").alias("r")))
 
 
 def _statistics(rows: DataFrame, fits: DataFrame, xs: list[str], by: list[str], *more: Column) -> DataFrame:
@@ -113,11 +118,10 @@ def _quantile(rows: DataFrame, xs: list[str], by: list[str], tau: float, interce
     if not 0 < tau < 1:
         raise ValueError("option tau must lie between 0 and 1")
 
+    rows = join_groups(rows, settled(rows.groupBy(*by).agg(F.greatest(F.coalesce(F.stddev_samp("__y"), F.lit(0.0)) * 1e-6, F.lit(1e-12)).alias("__least"))), by)
+
     def weigh(j: DataFrame) -> DataFrame:
-        scale = j.groupBy(*by).agg(F.avg(F.abs("__e")).alias("__s"))
-        j = join_groups(j, scale, by)
-        least = F.greatest(F.col("__s") * 1e-5, F.lit(1e-12))
-        return j.withColumn("__w", F.when(F.col("__e") > 0, tau).otherwise(1 - tau) / F.greatest(F.abs("__e"), least)).drop("__s")
+        return j.withColumn("__w", F.when(F.col("__e") > 0, tau).otherwise(1 - tau) / F.greatest(F.abs("__e"), F.col("__least")))
 
     return reweighted(rows, xs, by, intercept, weigh, 0.0, iterations, tolerance)
 

@@ -7,6 +7,9 @@ sums of products around each group's mean, from a first pass.
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +81,37 @@ def moments(df: DataFrame, y: str, x: list[str], by: list[str], weight: str | No
         F.array(*[F.min(c) for c in xs]).alias("xmin"),
         F.array(*[F.max(c) for c in xs]).alias("xmax"),
     )
+
+
+def weighted_moments_once(rows: DataFrame, y: str, x: list[str], by: list[str], weight: str) -> DataFrame:
+    """The same columns from one aggregate of plain sums, for rows that are already near zero mean."""
+    w, p = F.col(weight), len(x)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    s = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(w).alias("sw"), F.sum(w * F.col(y)).alias("sy"), F.sum(w * F.col(y) * F.col(y)).alias("yy"),
+        *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(w * F.col(c) * F.col(y)).alias(f"y{i}") for i, c in enumerate(x)],
+        *[F.sum(w * F.col(x[i]) * F.col(x[j])).alias(f"x{i}_{j}") for i, j in pairs],
+        F.array(*[F.min(c) for c in x]).alias("xmin"), F.array(*[F.max(c) for c in x]).alias("xmax"),
+    )
+    sw, sy = F.col("sw"), F.col("sy")
+    return s.select(
+        *by, "n", "sw", (sy / sw).alias("ybar"), F.array(*[F.col(f"s{i}") / sw for i in range(p)]).alias("xbar"), (F.col("yy") - sy * sy / sw).alias("syy"),
+        F.array(*[F.col(f"y{i}") - F.col(f"s{i}") * sy / sw for i in range(p)]).alias("sxy"),
+        F.array(*[F.col(f"x{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / sw for i, j in pairs]).alias("sxx"), "xmin", "xmax",
+    )
+
+
+def own_names(f):
+    """Lets ``f`` use column names of its own: grouping columns get reserved names inside, and theirs back in the result."""
+    shape = inspect.signature(f)
+
+    @functools.wraps(f)
+    def run(*args, **kw):
+        call = shape.bind(*args, **kw)
+        by = list(call.arguments.get("by", ()))
+        inner = [f"__by{i}" for i in range(len(by))]
+        call.arguments["df"] = call.arguments["df"].withColumns({k: F.col(c) for k, c in zip(inner, by, strict=True)})
+        call.arguments["by"] = inner
+        return f(*call.args, **call.kwargs).withColumnsRenamed(dict(zip(inner, by, strict=True)))
+
+    return run

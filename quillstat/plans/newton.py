@@ -92,7 +92,8 @@ def newton(
         except np.linalg.LinAlgError:
             step = np.einsum("gij,gj->gi", np.linalg.pinv(a), np.nan_to_num(g))
         step[dead] = 0
-        size = np.abs(step).max(axis=1)
+        step[:, p:] = np.clip(step[:, p:], -1.0, 1.0)
+        size = np.abs(step[:, :p]).max(axis=1, initial=0.0)
         step *= np.minimum(1.0, most_step / np.maximum(size, 1e-300))[:, None]
         moved = (np.abs(step) / (1 + np.abs(t))).max(axis=1)
         return pd.DataFrame({"theta": list(t + step), "moved": moved, "info": list(a.reshape(len(a), -1))})

@@ -179,8 +179,8 @@ FRAME = "OVER (PARTITION BY g ORDER BY " + ", ".join(ORDER) + " ROWS BETWEEN UNB
 
 
 def window_sql(slope: str) -> str:
-    return f"""WITH {T}, v AS (SELECT *, count(*) {FRAME} AS n, avg(y) {FRAME} AS my, avg(a) {FRAME} AS ma, var_pop(a) {FRAME} * count(*) {FRAME} AS saa, covar_pop(a, y) {FRAME} * count(*) {FRAME} AS say, last_value(a) {FRAME} AS at FROM t)
-SELECT l_orderkey, l_partkey, l_suppkey, round(my + {slope} * (at - ma), 3) AS yhat FROM v WHERE n > 30"""
+    return f"""WITH {T}, v AS (SELECT *, count(*) {FRAME} AS n, avg(y) {FRAME} AS my, avg(a) {FRAME} AS ma, var_pop(a) {FRAME} * count(*) {FRAME} AS saa, covar_pop(a, y) {FRAME} * count(*) {FRAME} AS say, last_value(a) {FRAME} AS last_a FROM t)
+SELECT l_orderkey, l_partkey, l_suppkey, round(my + {slope} * (last_a - ma), 3) AS yhat FROM v WHERE n > 30"""
 
 
 def window_query(kind: str, **kw):
@@ -276,7 +276,8 @@ def _(spark, sf):
 
 @query("aft_weibull")
 def _(spark, sf):
-    f = G.aft_fit_agg(lines(spark, sf), "a", ["b"], "hit", ["g"])
+    t = lines(spark, sf).withColumn("event", F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(1.0))
+    f = G.aft_fit_agg(t, "a", ["b"], "event", ["g"])
     return f.select("g", r("intercept", 3), r("scale", 3), "n_events", "n_censored", "converged")
 
 
