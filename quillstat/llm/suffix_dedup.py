@@ -72,7 +72,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok[start : end - LENGTH + 1] = True
         start = end
     at = np.unique((least[ok] & _POS).astype(np.int64))
-    return h[at], at
+    return mix64(h[at]), at  # least hashes are small; mixed again they spread over all buckets
 
 
 def _passes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:
