@@ -36,10 +36,10 @@ BLOCK = 1000
 
 
 class _WordHash(dict):
-    """64-bit hashes of words; forgets all when it holds a million."""
+    """64-bit hashes of words; forgets all when it holds a hundred thousand."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -92,8 +92,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         n, keys, bands = [], [], []
         for data in binary_lists(batch, "text"):
             s = shingle_set(data)
@@ -106,11 +112,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            part = batch.slice(i, 1000)
-            sets = [shingle_set(x) for x in binary_lists(part, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
+    for part in _slices(batches):
+        sets = [shingle_set(x) for x in binary_lists(part, "text")]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -125,8 +129,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (batch.column(i).to_pylist() for i in (2, 3))
-        yes = [linked(np.frombuffer(p, U64), np.frombuffer(q, U64)) for p, q in zip(x, y, strict=True)]
+        yes = []
+        for i in range(0, batch.num_rows, 500):
+            x, y = (batch.column(j).slice(i, 500).to_pylist() for j in (2, 3))
+            yes += [linked(np.frombuffer(p, U64), np.frombuffer(q, U64)) for p, q in zip(x, y, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
@@ -165,11 +171,11 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _complete_large(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def _complete_large(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that stars missed in large buckets, found block against block."""
     clusters = components(members.select(F.col("center").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("cluster"))
     nodes = members.select("node", "comp").distinct().join(clusters, "node")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     nodes = nodes.join(blocks, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     tiles = nodes.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "cluster", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", F.col("comp").alias("component")
