@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillstat.functions import dist, options
 from quillstat.functions.columns import norm_cdf
 from quillstat.operators.linear import predicted, training
-from quillstat.plans.moments import double, join_groups, usable
+from quillstat.plans.moments import double, join_groups, nan_kept, usable
 from quillstat.plans.newton import linear_predictor, newton, parameter
 from quillstat.sources.tables import settled
 
@@ -110,6 +110,7 @@ DEFAULTS = {
     "tweedie": COMMON | dict(tweedie_power=1.5),
     "gamma": COMMON,
 }
+WALD = "coefficients array<double>, std_errors array<double>, z_values array<double>, p_values array<double>, ci_lower array<double>, ci_upper array<double>"
 FIT = "coefficients, intercept, deviance, null_deviance, pseudo_r_squared, aic, dispersion, n_observations, n_features, iterations, converged"
 
 
@@ -215,8 +216,8 @@ def glm_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] =
     if xs:
         per = join_groups(per, const, by)
     scale = 1.0 if fam.dispersion in ("fixed", "theta") else None
-    udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), scale), "coefficients array<double>, std_errors array<double>, z_values array<double>, p_values array<double>, ci_lower array<double>, ci_upper array<double>")
-    per = per.withColumn("r", udf("t", "info", "dispersion", F.col("__const") if xs else F.array().cast("array<boolean>")))
+    udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), scale), WALD)
+    per = per.withColumn("r", udf("t", "info", "dispersion", F.col("__const") if xs else F.array().cast("array<boolean>"))).withColumn("r", nan_kept("r", WALD))
     extra = [F.col("accuracy"), F.lit(float(o.threshold)).alias("threshold")] if kind == "logistic" else []
     out = [
         F.col("r.coefficients").alias("coefficients"), (F.get("t", F.lit(0)) if k else F.lit(float("nan"))).alias("intercept"), "deviance", "null_deviance",
@@ -334,7 +335,7 @@ def aft_fit_agg(df: DataFrame, time: str, x: list[str], event: str, by: list[str
     q = p + k
     udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), 1.0), "coefficients array<double>, std_errors array<double>, z_values array<double>, p_values array<double>, ci_lower array<double>, ci_upper array<double>")
     none = F.array(*[F.lit(False)] * p) if p else F.array().cast("array<boolean>")
-    per = per.withColumn("r", udf("__theta", "__information", F.lit(1.0), none))
+    per = per.withColumn("r", udf("__theta", "__information", F.lit(1.0), none)).withColumn("r", nan_kept("r", WALD))
     params = q + (0 if fixed else 1)
     out = [
         F.col("r.coefficients").alias("coefficients"), (F.get("__theta", F.lit(0)) if k else F.lit(float("nan"))).alias("intercept"), (F.lit(1.0) if fixed else F.exp(F.get("__theta", F.lit(q)))).alias("scale"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import dist, options
 from quillstat.plans import solve
-from quillstat.plans.moments import double, join_groups, moments, usable
+from quillstat.plans.moments import double, join_groups, moments, nan_kept, usable
 
 BASE = dict(fit_intercept=True, compute_inference=False, confidence_level=0.95, solver="svd", hc_type="none", null_policy="drop")
 DEFAULTS = {
@@ -123,7 +123,7 @@ def _fitted(df: DataFrame, kind: str, y: str, x: list[str], by: list[str], weigh
     cols = [c for c in m.columns if c not in by]
     udf = _solver(kind, o, schema + ", failed boolean")
     out = m.select(*by, udf(F.struct(*cols)).alias("r"))
-    return out.select(*by, F.when(~F.col("r.failed"), F.col("r")).alias("r"))
+    return out.select(*by, F.when(~F.col("r.failed"), nan_kept("r", schema)).alias("r"))
 
 
 def _decayed(df: DataFrame, y: str, x: list[str], by: list[str], order: list[str] | None, factor: float) -> DataFrame:

@@ -115,3 +115,18 @@ def own_names(f):
         return f(*call.args, **call.kwargs).withColumnsRenamed(dict(zip(inner, by, strict=True)))
 
     return run
+
+
+def nan_kept(r: str, schema: str) -> Column:
+    """A struct result of a pandas function with NaN where pandas made nulls of them."""
+    nan = F.lit(float("nan"))
+    out = []
+    for field in schema.split(","):
+        name, kind = field.strip().split(" ")
+        c = F.col(f"{r}.{name}")
+        if kind == "double":
+            c = F.coalesce(c, nan)
+        elif kind == "array<double>":
+            c = F.transform(c, lambda v: F.coalesce(v, nan))
+        out.append(c.alias(name))
+    return F.struct(*out)

@@ -26,7 +26,7 @@ def test_coefficients(spark, kind, opts, weight, ridge):
     out = L.fit_agg(spark.createDataFrame(pdf), kind, "y", ["x1", "x2"], ["g"], weight=weight, opts=opts).toPandas()
     for _, row in out.iterrows():
         part = pdf[pdf.g == row.g]
-        want = ols(part, ridge, part.w if weight else None)
+        want = ols(part, ridge, part.w.to_numpy() if weight else None)
         assert np.allclose([row.intercept, *row.coefficients], want, atol=1e-9)
 
 
