@@ -85,7 +85,6 @@ class Codec:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chunks = Remembered(self._chunk)
-        self.pieces = Remembered(self.pre_tokens)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""

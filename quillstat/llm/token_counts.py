@@ -13,63 +13,77 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.bpe import CHUNK, codec, vocabulary_path
+from quillstat.llm.bpe import CHUNK, Codec, Remembered, codec, vocabulary_path
 from quillstat.llm.common import text_of, written
 
-COMMON = 600_000
-FLUSH = 400_000
+COMMON = 300_000
+FLUSH = 200_000
+REMEMBER = 100_000
 
 
-def pre_token_counts(text: str, path: str | None) -> Counter:
+def special_and_chunks(text: str, c: Codec) -> tuple[list[str], list[str]]:
+    """(special strings, chunks) of a text; pre-tokens never cross the ends of a chunk."""
+    parts = c.sections(text)
+    return parts[1::2], [x for part in parts[::2] for x in CHUNK.findall(part)]
+
+
+def pre_token_counts(text: str, path: str | None = None) -> Counter:
     """Frequencies of the pre-tokens; special strings count as they are."""
     c = codec(path)
-    out: Counter = Counter()
-    for k, part in enumerate(c.sections(text)):
-        if k % 2:
-            out[part] += 1
-            continue
-        pieces = c.pieces
-        for chunk, n in Counter(CHUNK.findall(part)).items():
-            for p in pieces[chunk]:
-                out[p] += n
-    return out
+    special, chunks = special_and_chunks(text, c)
+    return Counter(special) + Counter(p for x in chunks for p in c.pre_tokens(x))
 
 
 def distinct_pre_tokens(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """(piece, freq) over all texts, gathered in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        chunks: Counter = Counter()
         found: Counter = Counter()
 
         def rows():
+            for x, n in chunks.items():  # each chunk is cut once
+                for p in c.pre_tokens(x):
+                    found[p] += n
             out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["piece", "freq"])
             found.clear()
+            chunks.clear()
             return out
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                found.update(pre_token_counts(t, path))
-                if len(found) >= FLUSH:
+                special, own = special_and_chunks(t, c)
+                found.update(special)
+                chunks.update(own)
+                if len(chunks) >= FLUSH:
                     yield rows()
         yield rows()
 
     return df.select(text_of(text).alias("text")).mapInArrow(run, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
 def count_pieces(pre_tokens: DataFrame, path: str | None = None) -> DataFrame:
     """Adds n_pieces, by the tokenizers library: once for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(vocabulary_path(path))
-        t.no_padding()
-        t.no_truncation()
+        t = _tokenizer(vocabulary_path(path))
         for batch in batches:
             texts = batch.column(0).to_pylist()
             n = []
@@ -105,16 +119,29 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", limi
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        c, get = codec(path), known.value.get
+
+        def count(chunk: str) -> int | None:
+            """Tokens of a chunk all of whose pre-tokens are common."""
+            n = [get(p) for p in c.pre_tokens(chunk)]
+            return None if None in n else sum(n)
+
+        counts = Remembered(count, REMEMBER)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 out: list[list] = [[], [], [], [], [], []]
                 for row, doc, t in zip(*(part.column(j).to_pylist() for j in range(3)), strict=True):
-                    base = 0
-                    for piece, n in pre_token_counts(t, path).items():
-                        if (c := get(piece)) is not None:
-                            base += c * n
+                    special, chunks = special_and_chunks(t, c)
+                    n_known = [counts[x] for x in chunks]
+                    rest = Counter(special)
+                    if None in n_known:
+                        rest.update(p for x, n in zip(chunks, n_known, strict=True) if n is None for p in c.pre_tokens(x))
+                        n_known = [n for n in n_known if n is not None]
+                    base = sum(n_known)
+                    for piece, n in rest.items():
+                        if (k := get(piece)) is not None:
+                            base += k * n
                         else:
                             for to, x in zip(out, (row, None, None, n, piece, 0), strict=True):
                                 to.append(x)
