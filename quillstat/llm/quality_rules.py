@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import SPACES, text_of, words
 
 SYMBOLS = "#*$%&|<>"
-#: A rule rejects a text for which it is true.
-Rule = Callable[[Column], Column]
+#: A rule rejects a text for which it is true; it gets the Statistics of the text.
+Rule = Callable
 
 
 def n_words(text: Column) -> Column:
@@ -84,7 +84,7 @@ def _covered(places: Column) -> Column:
     )
 
 
-def _let(value: Column, use: Rule) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, inside one expression."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -114,18 +114,34 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("__w", "__g", "__p")
 
 
+class Statistics:
+    """Statistics of one text as columns; those already computed are taken from ``known``."""
+
+    def __init__(self, text: Column, known: dict[str, Column] | None = None):
+        self.text, self.known = text, known or {}
+
+    def __getattr__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else MEASURES[name](self.text)
+
+
+def n_letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long")
+
+
+MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_letters": n_letters}
+
 BASE_RULES: dict[str, Rule] = {
-    "few_words": lambda t: n_words(t) < 50,
-    "repeated_windows": lambda t: 100 * n_repeat_words(t) > 50 * n_words(t),
+    "few_words": lambda s: s.n_words < 50,
+    "repeated_windows": lambda s: 100 * s.n_repeat_words > 50 * s.n_words,
 }
 METHOD_RULES: dict[str, Rule] = {
-    "symbols": lambda t: 100 * n_symbols(t) > 25 * word_chars(t),
-    "long_words": lambda t: word_chars(t) > 40 * n_words(t),
-    "short_words": lambda t: 10 * word_chars(t) < 15 * n_words(t),
-    "repeated_lines": lambda t: (n_lines(t) >= 4) & (100 * n_dup_lines(t) > 60 * n_lines(t)),
-    "few_letters": lambda t: 100 * F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) < 30 * word_chars(t),
+    "symbols": lambda s: 100 * s.n_symbols > 25 * s.word_chars,
+    "long_words": lambda s: s.word_chars > 40 * s.n_words,
+    "short_words": lambda s: 10 * s.word_chars < 15 * s.n_words,
+    "repeated_lines": lambda s: (100 * s.n_dup_lines > 60 * s.n_lines) & (s.n_lines >= 4),
+    "few_letters": lambda s: 100 * s.n_letters < 30 * s.word_chars,
 }
-#: The same rules over columns of text_statistics, where those are already there.
+#: The base rules over columns of text_statistics, where those are already there.
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
@@ -136,25 +152,40 @@ def plan_cascade(df: DataFrame, rules: dict[str, Rule], text: str = "text", samp
     their text.  Only the order of evaluation depends on it, never a verdict.
     """
     t = text_of(text).alias("t")
-    sample = df.select(t).withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(sample_rows).select("t").cache()
+    # a hash bound that few times the wanted rows pass, so that no task gets more than those
+    share = min(1.0, 3 * sample_rows / max(1, df.count()))
+    bound = int(-(2**63) + share * (2**64 - 1))
+    sample = df.select(t).withColumn("h", F.xxhash64("t")).where(F.col("h") <= min(bound, 2**63 - 1)).orderBy("h", "t").limit(sample_rows).select("t").cache()
     try:
         rows = max(1, sample.count())
         gain = {}
         for name, rule in rules.items():
             began = time.perf_counter()
-            hit = sample.agg(F.count_if(rule(F.col("t")))).first()[0]
+            hit = sample.agg(F.count_if(rule(Statistics(F.col("t"))))).first()[0]
             gain[name] = (hit / rows) / max(1e-6, time.perf_counter() - began)
     finally:
         sample.unpersist()
     return sorted(rules, key=lambda r: (-gain[r], r))
 
 
-def cascade(order: list[str], rules: dict[str, Rule], text: Column) -> Column:
-    """Name of the first rule that rejects, else null; later rules aren't evaluated."""
-    out = F.lit(None).cast("string")
-    for name in reversed(order):
-        out = F.when(F.coalesce(rules[name](text), F.lit(False)), F.lit(name)).otherwise(out)
-    return out
+def cascade(order: list[str], rules: dict[str, Rule], text: Column, known: dict[str, Column] | None = None) -> Column:
+    """Name of the first rule that rejects, else null; later rules aren't evaluated.
+
+    The number of words and of their characters, which most rules need, is
+    computed once per text if it is not ``known``.
+    """
+
+    def chain(words_: Column, chars: Column) -> Column:
+        s = Statistics(text, (known or {}) | {"n_words": words_, "word_chars": chars})
+        out = F.lit(None).cast("string")
+        for name in reversed(order):
+            out = F.when(F.coalesce(rules[name](s), F.lit(False)), F.lit(name)).otherwise(out)
+        return out
+
+    s = Statistics(text, known)
+    if known and {"n_words", "word_chars"} <= set(known):
+        return chain(s.n_words, s.word_chars)
+    return _let(F.struct(s.n_words.alias("w"), s.word_chars.alias("c")), lambda v: chain(v["w"], v["c"]))
 
 
 def quality_filter(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, sample_rows: int = 2000) -> DataFrame:

@@ -44,10 +44,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    # base rules read the statistics that are returned anyway; the method's rules run as a cascade in measured order
+    # all rules read the statistics that are returned anyway; the method's run as a cascade in measured order
     order = quality_rules.plan_cascade(docs, quality_rules.METHOD_RULES)
     failed = F.expr(quality_rules.BASE_FAILED)
-    first = quality_rules.cascade(order, quality_rules.METHOD_RULES, F.coalesce("text", F.lit("")))
+    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    first = quality_rules.cascade(order, quality_rules.METHOD_RULES, F.coalesce("text", F.lit("")), known)
     return quality_rules.text_statistics(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), F.when(failed, False).otherwise(first.isNull()).alias("kept"),
