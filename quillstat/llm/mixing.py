@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import text_of, words
+from quillstat.llm.common import text_of, words, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
+#: What may be broadcast: rows of five numbers and a source name.
+BROADCAST_ROWS = 100_000
 
 
 def quality_weight(text: str = "text") -> Column:
@@ -64,6 +66,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return s.select("source", "source_size", F.least(share, F.col("cap")).alias("target"))
 
 
+def sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table written and counted: broadcast if it has at most so many rows, else left to a shuffle join."""
+    table = written(table, "sized")
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -94,7 +102,9 @@ def mix(
         (quality if quality is not None else quality_weight(text)).alias("__w"),
         u.alias("__u"),
     ).withColumn("__key", -F.log("__u") / F.col("__w"))
-    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"), F.avg("__w").alias("__mean"))
+    # everything but the last window needs the narrow columns only
+    narrow = written(base.select("source", "size", "__w", "__key"), "sizes")
+    per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"), F.avg("__w").alias("__mean"))
     targets = source_targets(per.select("source", "source_size")).join(
         per.select(F.col("source").alias("__s"), "__n", "__mean"), F.col("source").eqNullSafe(F.col("__s"))
     ).drop("__s")
@@ -106,17 +116,21 @@ def mix(
         F.floor(F.col("target") / F.greatest(F.lit(1), F.col("source_size"))).cast("long").alias("__epochs"),
         F.ceil(F.col("__n") / F.lit(slice_rows)).cast("long").alias("__slices"),
     ).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    # 1 - exp(-key * mean weight) lies in (0, 1), keeps the order of the keys and is
-    # near uniform, so slices hold about as many rows; sums don't depend on the cuts
-    rows = base.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    place = F.least(F.col("__slices") - 1, F.floor((1 - F.exp(-F.col("__key") * F.col("__mean"))) * F.col("__slices")))
-    rows = rows.withColumn("__slice", place.cast("long"))
-    sums = rows.groupBy("source", "__slice").agg(F.sum("size").alias("__sum"))
+    targets = sized(targets)
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        rows = rows.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+        # 1 - exp(-key * mean weight) lies in (0, 1), keeps the order of the keys and is
+        # near uniform, so slices hold about as many rows; sums don't depend on the cuts
+        place = F.least(F.col("__slices") - 1, F.floor((1 - F.exp(-F.col("__key") * F.col("__mean"))) * F.col("__slices")))
+        return rows.withColumn("__slice", place.cast("long"))
+
+    sums = sliced(narrow).groupBy("source", "__slice").agg(F.sum("size").alias("__sum"))
     before = Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         F.col("source").alias("__s"), F.col("__slice").alias("__l"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")
     )
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l"))).drop("__s", "__l")
+    rows = sliced(base).join(sized(sums), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l"))).drop("__s", "__l")
     inside = Window.partitionBy("source", "__slice").orderBy("__key", F.col("doc_id").asc_nulls_last(), "size")
     start = F.col("__before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("__start", start)
