@@ -326,7 +326,7 @@ SELECT g, round(n / 6 * (sk * sk + ku * ku / 4), 3) AS statistic, round(sk, 5) A
     lambda spark, sf: H.jarque_bera_agg(lines(spark, sf), "y", ["g"]).select("g", r("statistic", 3), r("skewness", 5), r("kurtosis", 5), "n")
 )
 query("dagostino_k2_agg")(lambda spark, sf: H.dagostino_k2_agg(lines(spark, sf), "y", ["g"]).select("g", r("statistic", 4), r("p_value", 6), "n"))
-query("shapiro_wilk_agg")(lambda spark, sf: H.shapiro_wilk_agg(lines(spark, sf).where("l_orderkey < 1000"), "y", ["g"]).select("g", r("statistic", 5), r("p_value", 5), "n"))
+query("shapiro_wilk_agg")(lambda spark, sf: H.shapiro_wilk_agg(lines(spark, sf), "y", ["l_suppkey"]).select("l_suppkey", r("statistic", 5), r("p_value", 5), "n"))
 TWO = f"""WITH {T}, m AS (SELECT g, count(*) FILTER (grp = 0) AS n1, count(*) FILTER (grp <> 0) AS n2, avg(y) FILTER (grp = 0) AS m1, avg(y) FILTER (grp <> 0) AS m2, var_samp(y) FILTER (grp = 0) AS v1, var_samp(y) FILTER (grp <> 0) AS v2 FROM t GROUP BY g)"""
 query("t_test_agg", TWO + " SELECT g, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) AS statistic, round(power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)), 3) AS df, n1, n2 FROM m")(
     lambda spark, sf: H.t_test_agg(lines(spark, sf), "y", "grp", ["g"]).select("g", r("statistic", 5), r("df", 3), "n1", "n2")
@@ -368,13 +368,21 @@ SELECT g, round(corr(ra, ry), 6) AS r, count(*) AS n FROM u GROUP BY g""")(lambd
 small = lambda spark, sf: lines(spark, sf).where("l_orderkey < 400")
 query("kendall_agg", f"""WITH {T}, u AS (SELECT * FROM t WHERE l_orderkey < 400), p AS (SELECT x.g, sign(x.a - z.a) * sign(x.y - z.y) AS s, sign(x.a - z.a) <> 0 AS ua, sign(x.y - z.y) <> 0 AS uy FROM u x JOIN u z ON x.g = z.g)
 SELECT g, round(sum(s) / sqrt(count(*) FILTER (ua)::DOUBLE * count(*) FILTER (uy)), 6) AS tau FROM p GROUP BY g""")(lambda spark, sf: S.kendall_agg(small(spark, sf), "a", "y", ["g"]).select("g", r("tau", 6)))
-query("distance_cor_agg")(lambda spark, sf: S.distance_cor_agg(small(spark, sf), "a", "y", ["g"], {"n_permutations": 99}).select("g", r("dcor", 6), "n"))
+query("distance_cor_agg")(lambda spark, sf: S.distance_cor_agg(lines(spark, sf), "a", "y", ["l_partkey"]).select("l_partkey", r("dcor", 6), "n"))
 query("energy_distance_agg", f"""WITH {T}, u AS (SELECT * FROM t WHERE l_orderkey < 400), p AS (SELECT x.g, x.grp AS p, z.grp AS q, avg(abs(x.y - z.y)) AS d FROM u x JOIN u z ON x.g = z.g GROUP BY 1, 2, 3)
 SELECT g, round(2 * max(d) FILTER (p = 0 AND q = 1) - max(d) FILTER (p = 0 AND q = 0) - max(d) FILTER (p = 1 AND q = 1), 5) AS statistic FROM p GROUP BY g HAVING count(*) = 4""")(
     lambda spark, sf: S.energy_distance_agg(small(spark, sf), "y", "grp", ["g"], {"n_permutations": 99}).select("g", r("statistic", 5))
 )
-query("mmd_agg")(lambda spark, sf: S.mmd_agg(small(spark, sf), "y", "grp", ["g"], {"n_permutations": 99}).select("g", r("statistic", 6), "n1", "n2"))
-query("permutation_t_test_agg")(lambda spark, sf: S.permutation_t_test_agg(small(spark, sf), "y", "grp", ["g"], {"n_permutations": 499}).select("g", r("statistic", 5), "n1", "n2"))
+#: Kendall and energy over all of lineitem; the two above keep their SQL, and with it its filter.
+query("kendall_whole_agg", f"""WITH {T}, p AS (SELECT x.l_suppkey, sign(x.a - z.a) * sign(x.y - z.y) AS s, sign(x.a - z.a) <> 0 AS ua, sign(x.y - z.y) <> 0 AS uy FROM t x JOIN t z ON x.l_suppkey = z.l_suppkey)
+SELECT l_suppkey, round(sum(s) / sqrt(count(*) FILTER (ua)::DOUBLE * count(*) FILTER (uy)), 6) AS tau FROM p GROUP BY l_suppkey""")(lambda spark, sf: S.kendall_agg(lines(spark, sf), "a", "y", ["l_suppkey"]).select("l_suppkey", r("tau", 6)))
+query("energy_distance_whole_agg", f"""WITH {T}, p AS (SELECT x.l_suppkey, x.grp AS p, z.grp AS q, avg(abs(x.y - z.y)) AS d FROM t x JOIN t z ON x.l_suppkey = z.l_suppkey GROUP BY 1, 2, 3), c AS (SELECT l_suppkey, grp, count(*) AS n FROM t GROUP BY 1, 2),
+k AS (SELECT l_suppkey FROM c GROUP BY l_suppkey HAVING min(n) >= 2)
+SELECT l_suppkey, round(2 * max(d) FILTER (p = 0 AND q = 1) - max(d) FILTER (p = 0 AND q = 0) - max(d) FILTER (p = 1 AND q = 1), 5) AS statistic FROM p JOIN k USING (l_suppkey) GROUP BY l_suppkey HAVING count(*) = 4""")(
+    lambda spark, sf: S.energy_distance_agg(lines(spark, sf), "y", "grp", ["l_suppkey"]).select("l_suppkey", r("statistic", 5))
+)
+query("mmd_agg")(lambda spark, sf: S.mmd_agg(lines(spark, sf), "y", "grp", ["l_suppkey"]).select("l_suppkey", r("statistic", 6), "n1", "n2"))
+query("permutation_t_test_agg")(lambda spark, sf: S.permutation_t_test_agg(lines(spark, sf), "y", "grp", ["l_suppkey"]).select("l_suppkey", r("statistic", 5), "n1", "n2"))
 
 
 @query("icc_agg", """WITH c AS (SELECT l_suppkey % 5 AS s, l_linenumber AS q, avg(l_extendedprice / 1000) AS v FROM lineitem GROUP BY 1, 2),
