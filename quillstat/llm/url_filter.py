@@ -12,12 +12,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import lower_ascii
+from quillstat.llm.common import lower_ascii, written
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: At most so many labelled URLs train the trees: those with the smallest hashes.
 TRAIN_ROWS = 10_000
+#: Suffix statistics up to so many rows and bytes are broadcast; larger ones are joined by shuffle, without the suffixes that more than one in HOT_SHARE rows has.
+STATS_ROWS, STATS_BYTES, HOT_SHARE, HOT_BYTES = 100_000, 4 << 20, 2_000, 1_024
 FEATURES = ("f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_fragment", "f_hyphens", "f_last", "f_suffix_rate", "f_suffix_count")
 
 
@@ -86,33 +88,46 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
 def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4):
     """(model, suffix statistics, fallback label) from url and label (1 blocks).
 
-    Uses at most ``rows`` distinct labelled URLs, those with the smallest
-    hashes, so a rerun takes the same ones.  The suffix statistics come from
-    that sample as well: at most ``rows`` suffixes, which bounds what is
-    broadcast.  A training row's own label is left out of its suffix rate.  With
-    one class only, or no row, there is no model and the fallback holds for all.
+    The trees use at most ``rows`` distinct labelled URLs, those with the
+    smallest hashes, so a rerun takes the same ones.  The suffix statistics count
+    all distinct labelled URLs.  A training row's own label is left out of its
+    suffix rate.  With one class only, or no row, there is no model and the
+    fallback holds for all.
     """
-    sample = (
+    every = (
         labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label"))
         .where(F.col("url").isNotNull() & F.col("label").isNotNull())
         .groupBy("url").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(rows)
     )
-    sample = lexical_features(sample).cache()
+    sample = lexical_features(every.orderBy(F.xxhash64("url"), "url").limit(rows)).cache()
     classes = [r[0] for r in sample.select("label").distinct().collect()]
-    stats = sample.groupBy("suffix").agg(F.sum("label").alias("s_bad"), F.count("*").alias("s_n"))
+    stats = written(lexical_features(every).groupBy("suffix").agg(F.sum("label").alias("s_bad"), F.count("*").alias("s_n")), "suffixes")
     if len(classes) < 2:
         return None, stats, (classes[0] if classes else 0.0)
-    mine = sample.join(F.broadcast(stats), "suffix").withColumns(
+    mine = stats.join(F.broadcast(sample.drop("url", "host", "path")), "suffix").withColumns(
         {"f_suffix_rate": (F.col("s_bad") - F.col("label") + 0.5) / F.col("s_n"), "f_suffix_count": F.log1p(F.col("s_n") - 1)}
     )
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(mine).select("features", "label").coalesce(1)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(mine).select("features", "label", *FEATURES).coalesce(1).sortWithinPartitions(*FEATURES, "label")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.3).fit(ready)
     sample.unpersist()
     return model, stats, 0.0
 
 
+def _with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds s_bad and s_n of the suffix to all rows, null where it has no label."""
+    n, size = stats.agg(F.count("*"), F.sum(F.octet_length("suffix") + 32)).first()
+    if n <= STATS_ROWS and (size or 0) <= STATS_BYTES:
+        return rows.join(F.broadcast(stats), "suffix", "left")
+    counted = written(rows.groupBy("suffix").agg(F.count("*").alias("n")), "suffix_rows")
+    least = (counted.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = counted.where((F.col("n") > least) & (F.octet_length("suffix") <= HOT_BYTES)).select("suffix")
+    hot = written(hot.join(stats, "suffix", "left"), "hot_suffixes")
+    hot = F.broadcast(hot.select("suffix", F.struct("s_bad", "s_n").alias("__hot")))
+    marked = rows.join(hot, "suffix", "left")
+    often = marked.where("__hot IS NOT NULL").select("*", "__hot.s_bad", "__hot.s_n").drop("__hot")
+    return often.unionByName(marked.where("__hot IS NULL").drop("__hot").join(stats.hint("merge"), "suffix", "left"))
+
+
 def predict(df: DataFrame, fitted, url: str = "url") -> DataFrame:
     """Adds host, path and block_probability; other columns stay as they are."""
     model, stats, fallback = fitted
@@ -120,7 +135,7 @@ def predict(df: DataFrame, fitted, url: str = "url") -> DataFrame:
     rows = lexical_features(df.select(F.struct(*keep).alias("__row"), F.col(url).alias("url")))
     if model is None:
         return rows.select("__row.*", "host", "path", F.lit(float(fallback)).alias("block_probability"))
-    rows = rows.join(F.broadcast(stats), "suffix", "left").withColumns(
+    rows = _with_stats(rows, stats).withColumns(
         {"f_suffix_rate": (F.coalesce("s_bad", F.lit(0.0)) + 0.5) / (F.coalesce("s_n", F.lit(0)) + 1), "f_suffix_count": F.log1p(F.coalesce("s_n", F.lit(0)))}
     )
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__v").transform(rows).select("__row", "host", "path", "__v")

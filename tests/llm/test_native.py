@@ -121,3 +121,17 @@ def test_digest_of_turns(spark):
     r = chat_format.format_chats(df).first()
     text = "".join(f"{t.role}\n{t.text}\n" for t in r.recovered)
     assert hashlib.sha256(text.encode()).hexdigest() == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+
+
+def test_url_suffixes_count_all_labels_and_join_alike(spark, monkeypatch):
+    rows = [(f"http://h{i}.org/s{i % 90}/{i}", float(i % 90 < 45)) for i in range(400)] + [(f"http://h{i}.org/hot/{i}", 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "url string, label double")
+    fitted = url_filter.train(df, rows=40)
+    got = {r.suffix: (r.s_bad, r.s_n) for r in fitted[1].collect()}
+    assert len(got) == 91 and sum(n for _, n in got.values()) == 500 and got["org/hot"] == (100.0, 100)
+    asked = df.unionByName(spark.createDataFrame([("http://new.org/unknown/", None)] * 30, "url string, label double"))
+    read = lambda: sorted((r.url, r.block_probability) for r in url_filter.predict(asked, fitted).collect())
+    want = read()
+    for name, value in (("STATS_ROWS", 0), ("HOT_SHARE", 20)):
+        monkeypatch.setattr(url_filter, name, value)
+    assert len(want) == 530 and read() == want
