@@ -36,6 +36,8 @@ TABLE_BITS = (16, 18, 20, 21, 22)
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 SLOTS = int(STARTS[-1])
 SLICE = 1 << 14
+#: The larger count of a slot is at most this; beyond it both are scaled, so that their ratio stays.
+FULL = 60_000
 PRIOR, RATE, BATCH = 0.4, 0.3, 8192
 INPUTS = ORDERS + 1
 GATE_A, GATE_B = (ORDERS + 1) * 256, 256 * 8
@@ -85,7 +87,8 @@ class Model:
         for order in range(1, ORDERS + 1):
             n = self.counts[_slots(key, order, bit)].astype(np.float32)
             if leave_out:
-                n[np.arange(len(key)), y] = np.maximum(n[np.arange(len(key)), y] - 1, 0)
+                own = n.max(axis=1) < FULL  # in a scaled slot one occurrence weighs nothing
+                n[np.arange(len(key)), y] = np.maximum(n[np.arange(len(key)), y] - own, 0)
             highest[n.sum(axis=1) > 0] = order
             n = np.log(n + np.float32(PRIOR))
             x[:, order - 1] = n[:, 1] - n[:, 0]
@@ -201,7 +204,8 @@ def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sum_bits(table: pa.Table) -> pa.Table:
     open_ = zstandard.ZstdDecompressor()
     total = sum(np.frombuffer(open_.decompress(b), np.float32).astype(float) for b in table.column("counts").to_pylist())
-    half = np.minimum(total, 60_000).astype(np.float16)
+    pairs = total.reshape(-1, 2)
+    half = (pairs * (FULL / np.maximum(pairs.max(axis=1, keepdims=True), FULL))).astype(np.float16)
     return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(half.tobytes())], pa.binary())})
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstat.llm import lm_scoring, near_dedup, suffix_dedup
@@ -184,3 +185,13 @@ def test_lm_probabilities_sum_to_one(spark):
     context = np.uint64(int.from_bytes(b"bb cc", "big")) << np.uint64(8)
     p = 10 ** model.log10(context | np.arange(256, dtype=np.uint64))
     assert abs(p.sum() - 1) < 1e-4 and p[ord(" ")] > 0.9
+
+
+def test_lm_counts_of_a_full_slot_keep_their_ratio():
+    total = np.zeros(lm_scoring.SLICE * 2, np.float32)
+    total[:8] = [6e9, 6e8, 70_000, 140_000, 3, 59_000, 0, 1]
+    press, open_ = lm_scoring.zstandard.ZstdCompressor(), lm_scoring.zstandard.ZstdDecompressor()
+    got = lm_scoring._sum_bits(lm_scoring.pa.table({"slice": [0], "counts": [press.compress(total.tobytes())]}))
+    n = np.frombuffer(open_.decompress(got.column("counts")[0].as_py()), np.float16).astype(float)
+    assert n[0] / n[1] == pytest.approx(10, rel=1e-3) and n[3] / n[2] == pytest.approx(2, rel=1e-3)
+    assert n[4:8].tolist() == pytest.approx([3, 59_000, 0, 1], rel=1e-3) and n.max() == lm_scoring.FULL
