@@ -1,17 +1,19 @@
 """Tests by permutation, and pairwise measures: short seeded NumPy kernels per group.
 
-A kernel holds one group, and distances are summed in blocks of rows, so memory
-is linear in the group.  Give large tables a grouping, or use the moment tests.
+Kendall's tau is counted by native aggregates and windows.  The kernel of the
+others holds one whole group, and mmd and distance correlation its square.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions import dist, options
+from quillstat.functions import options
+from quillstat.functions.columns import norm_sf
+from quillstat.llm.common import written
 from quillstat.plans.moments import double, own_names, usable
 
 SCHEMA = "statistic double, p_value double, n1 int, n2 int, method string"
@@ -149,48 +151,61 @@ def distance_cor_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: di
     return _apply(rows, list(by), "dcor double, statistic double, p_value double, n int, method string", kernel)
 
 
-def discordant(y: np.ndarray) -> int:
-    """Pairs i < j with y[i] > y[j], by merging sorted runs."""
-    y, total, width = y.copy(), 0, 1
-    n = len(y)
-    while width < n:
-        for lo in range(0, n - width, 2 * width):
-            mid, hi = lo + width, min(lo + 2 * width, n)
-            left, right = y[lo:mid], y[mid:hi]
-            total += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            y[lo:hi] = np.sort(y[lo:hi], kind="stable")
-        width *= 2
-    return total
+#: Cells of a slice of the x order are counted in one task: 2 ** SLICE_BITS at most.
+SLICE_BITS = 14
+_WITHIN = (1 << 33) - 1  # monotonically_increasing_id: the partition, then 33 bits of the row in it
+
+
+def _discordant(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of rows with x[i] < x[j] and y[i] > y[j], from the counts c of distinct (x, y).
+
+    Two ranks discordant with the x order share the bits of y's rank above some
+    level, and the earlier one has the bit set there.  Each level counts these
+    pairs inside slices of the x order, and between them from the slices' sums.
+    """
+    ranked = cells.orderBy(*by, "y", "x").withColumn("yr", F.monotonically_increasing_id())
+    ranked = written(ranked.orderBy(*by, "x", "y").withColumn("xr", F.monotonically_increasing_id()), "ranks")
+    part, row = ranked.agg(F.max(F.shiftright("yr", 33)), F.max(F.col("yr").bitwiseAND(_WITHIN))).first()
+    low = int(row or 0).bit_length()
+    levels = max(1, low + int(part or 0).bit_length())
+    rank = F.shiftleft(F.shiftright("yr", 33), low).bitwiseOR(F.col("yr").bitwiseAND(_WITHIN))
+    rows = ranked.select(*by, "c", "xr", F.shiftright("xr", SLICE_BITS).alias("slice"), rank.alias("yr"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    rows = rows.withColumn("prefix", F.expr("shiftright(yr, level + 1)")).withColumn("one", F.expr("(shiftright(yr, level) & 1) = 1"))
+    keys = [*by, "level", "prefix"]
+    ones, zeros = F.when(F.col("one"), F.col("c")).otherwise(0.0), F.when(F.col("one"), 0.0).otherwise(F.col("c"))
+    inside = rows.withColumn("before", F.sum(ones).over(Window.partitionBy(*keys, "slice").orderBy("xr").rowsBetween(Window.unboundedPreceding, -1)))
+    slices = inside.groupBy(*keys, "slice").agg(F.sum(ones).alias("ones"), F.sum(zeros).alias("zeros"), F.sum(zeros * F.coalesce("before", F.lit(0.0))).alias("d"))
+    earlier = F.sum("ones").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    return slices.withColumn("d", F.col("d") + F.col("zeros") * F.coalesce(earlier, F.lit(0.0))).groupBy(*by).agg(F.sum("d").alias("d"))
 
 
 @own_names
 def kendall_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
-    """Tau-a, -b or -c in n log n; normal test with tie corrections."""
-    o = options.read(opts, variant="tau_b", confidence_level=0.95)
+    """Tau-a, -b or -c from counts of distinct (x, y); normal test with tie corrections.  A group may hold all rows."""
+    o, by = options.read(opts, variant="tau_b", confidence_level=0.95), list(by)
     variant = str(o.variant).lower()
-
-    def kernel(pdf: pd.DataFrame):
-        n = len(pdf)
-        if n < 3:
-            return None
-        a, b = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        ties = lambda v: np.unique(v, return_counts=True)[1].astype(float)
-        ta, tb = ties(a), ties(b)
-        both = np.unique(np.stack([a, b]), axis=1, return_counts=True)[1].astype(float)
-        pairs = lambda t: float((t * (t - 1) / 2).sum())
-        n0, n1, n2, n3 = n * (n - 1) / 2, pairs(ta), pairs(tb), pairs(both)
-        s = n0 - n1 - n2 + n3 - 2 * discordant(b)
-        m = min(len(ta), len(tb))
-        with np.errstate(all="ignore"):
-            tau = {"tau_a": s / n0, "tau_b": s / np.sqrt((n0 - n1) * (n0 - n2)), "tau_c": 2 * m * s / (n * n * (m - 1))}[variant]
-            third = lambda t: float((t * (t - 1) * (2 * t + 5)).sum())
-            v0 = (n * (n - 1) * (2 * n + 5) - third(ta) - third(tb)) / 18
-            v1 = float((ta * (ta - 1)).sum() * (tb * (tb - 1)).sum()) / (2 * n * (n - 1))
-            v2 = float((ta * (ta - 1) * (ta - 2)).sum() * (tb * (tb - 1) * (tb - 2)).sum()) / (9 * n * (n - 1) * (n - 2))
-            z = s / np.sqrt(v0 + v1 + v2)
-        return float(tau), float(z), float(2 * dist.norm_sf(np.array([abs(z)]))[0]), np.nan, np.nan, n, f"Kendall {variant}"
-
     rows = usable(df, [x, y]).select(*by, double(x).alias("x"), double(y).alias("y"))
-    return _apply(rows, list(by), "tau double, statistic double, p_value double, ci_lower double, ci_upper double, n int, method string", kernel)
+    cells = written(rows.groupBy(*by, "x", "y").agg(F.count("*").cast("double").alias("c")), "cells")
+    t = F.col("c")
+    pairs, third = F.sum(t * (t - 1) / 2), F.sum(t * (t - 1) * (2 * t + 5))
+    parts = [cells.groupBy(*by).agg(F.sum("c").alias("n"), pairs.alias("n3")), _discordant(cells, by)]
+    for i, k in (("a", "x"), ("b", "y")):
+        ties = cells.groupBy(*by, k).agg(F.sum("c").alias("c"))
+        parts.append(ties.groupBy(*by).agg(*[v.alias(f"{q}{i}") for q, v in (("p", pairs), ("t", third), ("q", F.sum(t * (t - 1) * (t - 2))), ("m", F.count("*").cast("double")))]))
+    every = parts[0]
+    for other in parts[1:]:
+        every = every.unionByName(other, allowMissingColumns=True)
+    s = every.groupBy(*by).agg(*[F.max(c).alias(c) for c in every.columns if c not in by]).where("n >= 3")
+    over = lambda a, b: F.when(b != 0, a / b)
+    c = {k: F.col(k) for k in s.columns}
+    n, n0 = c["n"], c["n"] * (c["n"] - 1) / 2
+    s = s.withColumn("s", n0 - c["pa"] - c["pb"] + c["n3"] - 2 * c["d"])
+    m, score = F.least(c["ma"], c["mb"]), F.col("s")
+    tau = {"tau_a": over(score, n0), "tau_b": over(score, F.sqrt(n0 - c["pa"]) * F.sqrt(n0 - c["pb"])), "tau_c": over(2 * m * score, n * n * (m - 1))}[variant]
+    v0 = (n * (n - 1) * (2 * n + 5) - c["ta"] - c["tb"]) / 18
+    v1 = 4 * c["pa"] * c["pb"] / (2 * n * (n - 1))
+    v2 = c["qa"] * c["qb"] / (9 * n * (n - 1) * (n - 2))
+    s = s.withColumn("tau", tau).withColumn("statistic", over(score, F.sqrt(v0 + v1 + v2)))
+    p = F.when(F.col("statistic").isNotNull(), 2 * norm_sf(F.abs("statistic")))
+    none = F.lit(None).cast("double")
+    return s.select(*by, "tau", "statistic", p.alias("p_value"), none.alias("ci_lower"), none.alias("ci_upper"), n.cast("int").alias("n"), F.lit(f"Kendall {variant}").alias("method"))

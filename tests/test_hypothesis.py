@@ -32,6 +32,20 @@ def test_kendall_against_pairs(spark):
     assert S.kendall_agg(frame(spark, x=x, y=y), "x", "y").first().tau == pytest.approx(s / np.sqrt(ux * uy))
 
 
+def test_kendall_gives_no_group_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE_BITS", 2)  # several slices
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 2, 300)
+    x, y = rng.integers(0, 40, 300).astype(float), rng.integers(0, 40, 300).astype(float)
+    got = S.kendall_agg(frame(spark, g=g, x=x, y=y), "x", "y", ["g"])
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    rows = {r.g: r for r in got.collect()}
+    for k in (0, 1):
+        a, b = x[g == k], y[g == k]
+        dx, dy = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+        assert rows[k].n == len(a) and rows[k].tau == pytest.approx((dx * dy).sum() / np.sqrt((dx != 0).sum() * (dy != 0).sum()))
+
+
 def test_energy_needs_no_pairs():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=17), rng.normal(1, 1, 23)
