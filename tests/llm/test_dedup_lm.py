@@ -178,20 +178,57 @@ def test_lm_counts_and_scores(spark):
     assert rare == [(w[0], w[3], w[5]) for w in want]
 
 
+def lm_tables(key, c):
+    return [lm_scoring.Table.of(key, c, o) for o in range(1, lm_scoring.ORDERS + 1)]
+
+
 def test_lm_probabilities_sum_to_one(spark):
-    df = spark.createDataFrame([(i, "aa bb cc " * 9) for i in range(40)], "doc_id long, text string")
-    grams = df.select("text").mapInArrow(lm_scoring._gather, "word binary, gram long, c long").where("gram IS NOT NULL").groupBy("gram").agg(F.sum("c").alias("c"))
-    model = lm_scoring.train(grams, grams.count())
+    key = np.sort(lm_scoring.six_grams([line for _, line in lm_scoring.lines(b"aa bb cc " * 9)] * 40)[0])
+    key, c = np.unique(key, return_counts=True)
+    model = lm_scoring.Mixer.start()
     context = np.uint64(int.from_bytes(b"bb cc", "big")) << np.uint64(8)
-    p = 10 ** model.log10(context | np.arange(256, dtype=np.uint64))
+    p = 10 ** model.log10(context | np.arange(256, dtype=np.uint64), lm_tables(key, c))
     assert abs(p.sum() - 1) < 1e-4 and p[ord(" ")] > 0.9
 
 
-def test_lm_counts_of_a_full_slot_keep_their_ratio():
-    total = np.zeros(lm_scoring.SLICE * 2, np.float32)
-    total[:8] = [6e9, 6e8, 70_000, 140_000, 3, 59_000, 0, 1]
-    press, open_ = lm_scoring.zstandard.ZstdCompressor(), lm_scoring.zstandard.ZstdDecompressor()
-    got = lm_scoring._sum_bits(lm_scoring.pa.table({"slice": [0], "counts": [press.compress(total.tobytes())]}))
-    n = np.frombuffer(open_.decompress(got.column("counts")[0].as_py()), np.float16).astype(float)
-    assert n[0] / n[1] == pytest.approx(10, rel=1e-3) and n[3] / n[2] == pytest.approx(2, rel=1e-3)
-    assert n[4:8].tolist() == pytest.approx([3, 59_000, 0, 1], rel=1e-3) and n.max() == lm_scoring.FULL
+def test_lm_counters_keep_their_odds_at_any_size():
+    context = int.from_bytes(b"abcde", "big") << 8
+    key = np.array([context | 0b01000000, context | 0b11000000, context | 0b11000001], np.uint64)
+    for size in (1, 100, 10**7, 10**11):
+        c = np.array([6, 30, 30], np.int64) * 10 * size
+        n = list(lm_scoring.bit_counts(key, lm_tables(key, c)))
+        assert (n[0][:, :, 1] == 600 * size).all() and (n[0][:, :, 0] == 60 * size).all()  # ten to one
+        assert (n[7][1] == 300 * size).all() and (n[7][2] == 300 * size).all() and (n[7][0, :, 1] == 0).all()
+
+
+def test_lm_long_texts_go_in_pieces():
+    text = b"  Aa  b\tccc dd " * 50 + b" " * 100 + b"end"
+    whole = list(lm_scoring.lines(text))
+    cut = list(lm_scoring.lines(text, 40))
+    assert len(whole) == 1 and len(cut) > 5
+    assert [w for t, _ in cut for w in t] == whole[0][0]
+    assert (lm_scoring.six_grams([x for _, x in cut])[0] == lm_scoring.six_grams([whole[0][1]])[0]).all()
+    assert list(lm_scoring.lines(b"")) == [([], b"\n" * 6)]
+
+
+def test_lm_bits_fall_as_the_corpus_grows(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    text = lambda: " ".join(rng.choices(vocabulary, weights, k=40))
+    test = [(i, text()) for i in range(10**6, 10**6 + 200)]
+    test = [(i, t) for i, t in test if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [(i, text()) for i in range(1600)]
+    got = []
+    for n in (50, 300, 1600):
+        df = spark.createDataFrame(train[:n] + test, "doc_id long, text string")
+        got.append(np.mean([r.bits_per_byte for r in lm_scoring.lm_scores(df).where("doc_id >= 1000000").collect()]))
+    assert got[0] > got[1] > got[2] and got[2] < 2.2
+    # the same text many times over moves no prediction of a frequent context
+    df = spark.createDataFrame(train[:300] * 10 + test, "doc_id long, text string")
+    again = np.mean([r.bits_per_byte for r in lm_scoring.lm_scores(df).where("doc_id >= 1000000").collect()])
+    assert again < got[1] * 1.1
+    # strings that are not broadcast are scored by the join
+    monkeypatch.setattr(lm_scoring, "PART_GRAMS", 100_000)
+    few = lm_scoring.lm_scores(spark.createDataFrame(train[:50] + test, "doc_id long, text string"), common=5, common_grams=50).where("doc_id >= 1000000").collect()
+    assert np.mean([r.bits_per_byte for r in few]) == pytest.approx(got[0], rel=1e-5)
