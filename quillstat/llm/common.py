@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,12 +41,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) a temporary folder is made,
-    and the setting is filled in with it.
+    Local sessions without the setting get a folder of their own.  On a cluster
+    there is no folder that could be guessed, so the setting must be there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file:///tmp/quillstat-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -58,15 +62,48 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstat-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``written`` made in this process, oldest first.
+_made: list[str] = []
+
+
+def tables_made() -> int:
+    return len(_made)
+
+
+def release(spark: SparkSession, first: int, last: int) -> None:
+    """Deletes tables number first to last - 1 of this process: for callers that have stored what was read from them."""
+    for i in range(first, last):
+        if _made[i]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(_made[i])
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _made[i] = ""
+
+
 def binary_lists(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, empty for null."""
     col = batch.column(batch.schema.get_field_index(name))
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
+def with_fields(ddl: str, df: DataFrame, names: list[str]) -> T.StructType:
+    """The schema of the DDL string with those columns of ``df`` behind it."""
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, *[T.StructField(n, df.schema[n].dataType) for n in names]])
+
+
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column ``name`` has about so many bytes in each; a longer value stands alone."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name)).cast(pa.binary())), 0)
+        part = np.cumsum(size.to_numpy(zero_copy_only=False)) // most
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            yield batch.slice(i, j - i)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads every input bit over the word."""
     x = x.astype(U64, copy=True)

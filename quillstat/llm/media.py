@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import binary_lists, text_of
+from quillstat.llm.common import binary_lists, slices, text_of
 
 RATE, FRAME, HOP, AHEAD = 8000, 256, 128, 3
 #: Bin ranges; one peak in each per frame.
 BANDS = ((1, 10), (10, 25), (25, 60), (60, 129))
 BLOCK_FRAMES = 2048
 UNIT = 64
+PASS_BYTES = 4 << 20
 
 
 def padded(data: bytes, unit: int = UNIT) -> bytes:
@@ -51,33 +52,30 @@ def from_wav(media: bytes) -> bytes:
 def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(pair codes, times): for each frame and band, its peak with the peak of the next band one to AHEAD frames on.
 
-    The transform runs over blocks of frames, so memory doesn't grow with the
-    length of the sound.
+    Silence of one hop goes before the sound, so that no sample stands where the
+    window is zero only, and whole hops and AHEAD frames behind it: every sample
+    is read, and every frame that holds one begins pairs, however short the sound
+    is.  The transform runs over blocks of frames, so memory doesn't grow with
+    the length of the sound.  A code is, from the low bits, the distance in
+    frames (2), the later peak's bin (8), the earlier one's (8) and its loudness
+    in eighths of an octave of power (9).
     """
     x = np.frombuffer(payload, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
+    n = -(-len(x) // HOP) + 1
+    silence = np.full((n + AHEAD - 1) * HOP + FRAME - HOP - len(x), 128, np.uint8)
+    x = np.concatenate([np.full(HOP, 128, np.uint8), x, silence])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     hann = np.hanning(FRAME).astype(np.float32)
-    peaks = []
+    peaks, loud = [], []
     for i in range(0, len(frames), BLOCK_FRAMES):
         spectrum = np.fft.rfft((frames[i : i + BLOCK_FRAMES].astype(np.float32) - 128) * hann, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
         peaks.append(np.stack([power[:, a:b].argmax(axis=1) + a for a, b in BANDS], axis=1))
+        loud.append((8 * np.log2(1 + np.take_along_axis(power, peaks[-1], axis=1))).astype(np.int32))
     p = np.concatenate(peaks).astype(np.int32)
-    codes, times = [], []
-    t = np.arange(len(p), dtype=np.int32)
-    for dt in range(1, AHEAD + 1):
-        if len(p) <= dt:
-            break
-        now, then = p[:-dt], p[dt:]
-        codes.append((now << 10 | np.roll(then, -1, axis=1) << 2 | dt).ravel())
-        times.append(np.repeat(t[:-dt], len(BANDS)))
-    if not codes:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    c, at = np.concatenate(codes), np.concatenate(times)
-    order = np.lexsort((c, at))
-    return c[order], at[order]
+    codes = np.stack([np.concatenate(loud)[:n] << 18 | p[:n] << 10 | np.roll(p[dt : n + dt], -1, axis=1) << 2 | dt for dt in range(1, AHEAD + 1)], axis=1)
+    codes = np.sort(codes.reshape(n, AHEAD * len(BANDS)), axis=1)
+    return codes.ravel(), np.repeat(np.arange(n, dtype=np.int32), codes.shape[1])
 
 
 def feature_string(codes: np.ndarray, times: np.ndarray) -> str:
@@ -88,17 +86,19 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     """One row per row of ``df``.
 
     id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the samples as
-    read back), media_bytes, media_sha256, feature; with ``keep_media`` the WAV
-    file, with ``keep_pairs`` the arrays pair_codes and pair_times.  Null and
-    empty texts give one unit of zeros; equal texts give equal values; other
-    columns of ``df`` are left out.
+    read back), media_bytes, media_sha256, feature (a digest of the arrays); with
+    ``keep_media`` the WAV file, with ``keep_pairs`` the arrays pair_codes and
+    pair_times.  Null and empty texts give one unit of zeros; equal texts give
+    equal values; a very long text is one sound, transformed block by block; an
+    empty table gives an empty result; other columns of ``df``, whatever their
+    names, are left out.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema += ", media binary" * keep_media + ", pair_codes array<int>, pair_times array<int>" * keep_pairs
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", PASS_BYTES):
             rows = []
             for data in binary_lists(batch, "text"):
                 media = to_wav(padded(data))

@@ -44,10 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    # all rules read the statistics that are returned anyway; the method's run as a cascade in measured order
-    order = quality_rules.plan_cascade(docs, quality_rules.METHOD_RULES)
+    # base rules read statistics that are returned anyway; the method's rules follow as a cascade for rows that pass them
+    order = quality_rules.plan_cascade(docs, quality_rules.METHOD_RULES, have_statistics=True)
     failed = F.expr(quality_rules.BASE_FAILED)
-    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    known = {c: F.col(c) for c in quality_rules.STATISTICS}
     first = quality_rules.cascade(order, quality_rules.METHOD_RULES, F.coalesce("text", F.lit("")), known)
     return quality_rules.text_statistics(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -56,7 +56,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir), keep_media=False, keep_pairs=False)
+    return media.media_columns(documents(spark, sf_dir), keep_media=False)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,18 @@ def test_url_model_learns_held_out(spark):
     assert out.select(F.avg(((F.col("block_probability") >= 0.5) == (F.col("label") == 1)).cast("int"))).first()[0] > 0.95
 
 
+def test_cascade_is_ordered_by_rejection_per_cost_and_stops_early(spark):
+    df = spark.createDataFrame([(f"w{i} " * 3000,) for i in range(60)], "text string")
+    dear = lambda s: F.length(F.regexp_replace(F.regexp_replace(s.text, r"(\\w+) (?=.*)", "$1"), r"[^\\d]+", "")) < 0
+    rules = {"a_dear_without_hits": dear, "b_cheap_without_hits": lambda s: F.length(s.text) < 0, "c_often": lambda s: F.length(s.text) > 5}
+    assert quality_rules.plan_cascade(df, rules) == ["c_often", "b_cheap_without_hits", "a_dear_without_hits"]
+    order = ["c_often", "fails"]
+    hit = quality_rules.cascade(order, rules | {"fails": lambda s: F.raise_error(F.lit("was evaluated")).cast("boolean")}, F.col("text"))
+    assert {r[0] for r in df.select(hit).collect()} == {"c_often"}
+    shared = quality_rules.plan_cascade(df, quality_rules.METHOD_RULES, have_statistics=True)
+    assert sorted(shared) == sorted(quality_rules.METHOD_RULES)
+
+
 def test_digest_of_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     r = chat_format.format_chats(df).first()
