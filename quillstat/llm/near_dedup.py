@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import U64, binary_lists, mix64, text_of, written
+from quillstat.llm.common import U64, binary_lists, mix64, text_of, with_fields, written
 from quillstat.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -198,8 +198,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", c
     carry = carry or []
     kept_as = [f"__c{i}" for i in range(len(carry))]
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, kept_as, strict=True)])
-    schema = "".join([f", {k} {docs.schema[k].dataType.simpleString()}" for k in kept_as])
-    sig = written(docs.mapInArrow(_signatures, "doc_id long, n long, key binary, bands array<long>" + schema).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    schema = with_fields("doc_id long, n long, key binary, bands array<long>", docs, kept_as)
+    sig = written(docs.mapInArrow(_signatures, schema).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # equal sets are one node; its best row is that of the least id
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     keyed = sig.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(best).alias("best"), F.min("doc_id").alias("low"))

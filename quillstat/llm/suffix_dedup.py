@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import U64, binary_lists, mix64, text_of
+from quillstat.llm.common import U64, binary_lists, mix64, text_of, with_fields
 
 LENGTH, K = 50, 16
 WIDTH = LENGTH - K + 1
@@ -415,7 +415,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     names = [c.strip().split(" ")[0] for c in out.split(",")]
     extra = [f"__c{i}" for i in range(len(carry))]
-    out += "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in extra)
 
     def apply(texts: pa.Table, found: pa.Table) -> pa.Table:
         ids, crc, at, mask = (found.column(c).to_numpy() for c in ("doc_id", "crc", "at", "mask"))
@@ -434,5 +433,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     part = F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).alias("part")
     left = docs.select("doc_id", "text", *extra, part).groupBy("part")
     right = marks.select("doc_id", "crc", "at", "mask", part).groupBy("part")
-    rows = left.cogroup(right).applyInArrow(apply, out)
+    rows = left.cogroup(right).applyInArrow(apply, with_fields(out, docs, extra))
     return rows.withColumnsRenamed({k: c for k, c in zip(extra, carry, strict=True) if c not in names})
