@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +38,12 @@ def write(df: DataFrame, path: str, format: str | None = None, mode: str = "erro
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """A checkpoint in spark.checkpoint.dir; only a local session without the setting gets a folder of its own."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        if at is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or "file:///tmp/quillstat-" + uuid.uuid4().hex)
     return df.checkpoint()
