@@ -153,21 +153,37 @@ def _t_expansion_from(z, df):
 
 
 def t_ppf(p, df):
-    """Quantile of t, found once per distinct (p, df); by expansion where its error is below 1e-13."""
+    """Quantile of t, found once per distinct (p, df): by expansion in 1 / df, below 1000 refined by Newton steps on the tail."""
     p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
-    pairs, back = np.unique(np.stack([p.ravel(), df.ravel()], axis=1), axis=0, return_inverse=True)
-    q, d = pairs[:, 0], pairs[:, 1]
-    out = np.full(q.shape, np.nan)
-    ok = (q > 0) & (q < 1) & (d > 0)
-    far = ok & (d > 1000) & (np.abs(q - 0.5) < 0.4999)
-    if far.any():
-        levels, of = np.unique(q[far], return_inverse=True)
-        z = norm_ppf(levels)[of]
-        out[far] = _t_expansion_from(z, d[far])
-    near = ok & ~far
-    if near.any():
-        out[near] = _inverse(lambda x: 1 - t_sf(x, d[near]), q[near], -1e5, 1e5)
-    return out[back.ravel()].reshape(p.shape)
+    shape, p, df = p.shape, p.ravel(), df.ravel()
+    out = np.full(len(p), np.nan)
+    ok = (p > 0) & (p < 1) & (df > 0)
+    z = np.full(len(p), np.nan)
+    levels, of = np.unique(p[ok], return_inverse=True)
+    z[ok] = norm_ppf(levels)[of]
+    far = ok & (df > 1000) & (np.abs(p - 0.5) < 0.4999)
+    out[far] = _t_expansion_from(z[far], df[far])
+    near = np.flatnonzero(ok & ~far)
+    if len(near):
+        _, first, back = np.unique(p[near] + 2j * df[near], return_index=True, return_inverse=True)
+        out[near] = _t_by_newton(p[near][first], df[near][first], z[near][first])[back.ravel()]
+    return out.reshape(shape)
+
+
+def _t_by_newton(p, d, z):
+    tail = np.minimum(p, 1 - p)
+    with np.errstate(all="ignore"):
+        x = np.abs(_t_expansion_from(z, d))
+        for _ in range(12):
+            log_density = lgamma((d + 1) / 2) - lgamma(d / 2) - 0.5 * np.log(d * np.pi) - (d + 1) / 2 * np.log1p(x * x / d)
+            step = (t_sf(x, d) - tail) / np.exp(log_density)
+            x = np.maximum(x + step, 0)
+            if np.all(np.abs(step) <= 1e-14 * np.maximum(1, x)):
+                break
+        off = ~(np.abs(t_sf(x, d) - tail) <= 1e-11 * tail)
+    if off.any():  # few degrees of freedom far out in the tail
+        x[off] = _inverse(lambda v: 1 - t_sf(v, d[off]), 1 - tail[off], 0.0, 1e12)
+    return np.where(p < 0.5, -x, x)
 
 
 def beta_ppf(p, a, b):

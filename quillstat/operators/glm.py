@@ -122,15 +122,41 @@ def _family(kind: str, o) -> Family:
     return {"binomial": lambda: _binomial(o.binomial_link), "logistic": lambda: _binomial("logit"), "gamma": _gamma, "negbinom": _negbinom}[kind]()
 
 
-def _ridge(o, x: list[str]) -> list[float]:
-    """glm_lambda on every feature, and 1 / scale**2 for normal priors by feature name."""
-    out = []
-    for i, c in enumerate(x):
-        name = (o.feature_names or x)[i]
+@dataclass
+class Penalty:
+    """Weights of squared and absolute distances of coefficients from their location, as priors and glm_lambda ask for."""
+
+    ridge: list[float]
+    l1: list[float]
+    location: list[float]
+
+
+def _penalty(o, x: list[str]) -> Penalty:
+    """glm_lambda on every feature; a prior by feature name, or that of ``_default``: {dist: normal or laplace, loc, scale}.
+
+    A normal prior weighs squared distances by 1 / scale**2, a Laplace prior
+    absolute ones by 1 / scale.
+    """
+    if str(o.vcov) not in ("laplace", "naive", "sandwich"):
+        raise ValueError(f"Unknown vcov type '{o.vcov}'")
+    out = Penalty([], [], [])
+    names = list(o.feature_names or x)
+    unknown = set(o.prior or {}) - set(names) - {"_default"}
+    if unknown:
+        raise ValueError(f"priors for unknown features: {sorted(unknown)}")
+    for name in names[: len(x)]:
         prior = (o.prior or {}).get(name, (o.prior or {}).get("_default"))
-        if prior and str(prior.get("family", "normal")).lower() != "normal":
-            raise ValueError("only normal priors are supported")
-        out.append(float(o.glm_lambda) + (1 / float(prior["scale"]) ** 2 if prior else 0.0))
+        ridge, l1, loc = float(getattr(o, "glm_lambda", 0.0)), 0.0, 0.0
+        if prior:
+            dist_, scale, loc = str(prior.get("dist", "normal")).lower(), float(prior["scale"]), float(prior.get("loc", 0.0))
+            if dist_ not in ("normal", "laplace") or not scale > 0:
+                raise ValueError("a prior is normal or laplace with a positive scale")
+            if ridge and loc:
+                raise ValueError("glm_lambda and a prior with a location can't be combined")
+            ridge, l1 = (ridge + 1 / scale**2, 0.0) if dist_ == "normal" else (ridge, 1 / scale)
+        out.ridge.append(ridge)
+        out.l1.append(l1)
+        out.location.append(loc)
     return out
 
 
@@ -170,7 +196,8 @@ def glm_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] =
         offset = xs.pop(int(o.offset_column) - 1)
         x = [c for i, c in enumerate(x) if i != int(o.offset_column) - 1]
     p, k = len(xs), int(o.fit_intercept)
-    ridge = _ridge(o, x)
+    pen = _penalty(o, x)
+    prior = dict(ridge=pen.ridge, l1=pen.l1, location=pen.location)
     if kind == "negbinom":
         rows = rows.withColumn("__nb", F.lit(float(theta or 1.0)))
     const = settled(_constant(rows, by, xs)) if xs else None
@@ -183,7 +210,7 @@ def glm_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] =
         return {"g": (F.col("__y") - m) * d / v, "w": d * d / v}
 
     start = settled(_start(rows, by, p, bool(k), fam.link))
-    fit = newton(rows, by, xs, bool(k), start, derive, ridge=ridge, offset=offset, iterations=int(o.max_iterations), tolerance=float(o.tolerance))
+    fit = newton(rows, by, xs, bool(k), start, derive, **prior, offset=offset, iterations=int(o.max_iterations), tolerance=float(o.tolerance))
     if kind == "negbinom" and theta is None:  # theta by moments, in turn with the coefficients
         for _ in range(5):
             j = join_groups(rows.drop("__nb"), fit.select(*by, "__theta"), by)
@@ -191,7 +218,7 @@ def glm_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] =
             r = F.sum(m * m) / F.greatest(F.lit(1e-9), F.sum((F.col("__y") - m) ** 2 - m))
             per = settled(j.groupBy(*by).agg(F.greatest(F.lit(1e-6), F.least(F.lit(1e6), r)).alias("__nb")))
             rows = join_groups(rows.drop("__nb"), per, by)
-            fit = newton(rows, by, xs, bool(k), fit.select(*by, "__theta"), derive, ridge=ridge, offset=offset, iterations=2, tolerance=float(o.tolerance))
+            fit = newton(rows, by, xs, bool(k), fit.select(*by, "__theta"), derive, **prior, offset=offset, iterations=2, tolerance=float(o.tolerance))
     j = join_groups(join_groups(rows, fit, by), start.select(*by, "__mean"), by)
     mu = fam.mean(linear_predictor(xs, bool(k), offset))
     null = F.col("__mean") if k else fam.mean(F.lit(0.0))
@@ -216,7 +243,7 @@ def glm_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] =
     if xs:
         per = join_groups(per, const, by)
     scale = 1.0 if fam.dispersion in ("fixed", "theta") else None
-    udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), scale), WALD)
+    udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), scale, pen, o.vcov), WALD)
     per = per.withColumn("r", udf("t", "info", "dispersion", F.col("__const") if xs else F.array().cast("array<boolean>"))).withColumn("r", nan_kept("r", WALD))
     extra = [F.col("accuracy"), F.lit(float(o.threshold)).alias("threshold")] if kind == "logistic" else []
     out = [
@@ -229,19 +256,33 @@ def glm_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] =
     return per.select(*by, *out)
 
 
-def _wald(p: int, k: int, level: float, scale):
+def _wald(p: int, k: int, level: float, scale, pen: Penalty, vcov: str):
+    """Wald inference from the curvature at the mode.
+
+    ``laplace`` inverts the penalised information, ``naive`` that without the
+    penalty, ``sandwich`` puts the latter between two of the former.  A
+    coefficient that a Laplace prior holds at its location has no curvature and
+    gets NaN.
+    """
     z = float(dist.norm_ppf(np.array([0.5 + level / 2]))[0])
 
     def run(t: pd.Series, info: pd.Series, dispersion: pd.Series, const: pd.Series) -> pd.DataFrame:
         b = np.stack(t)[:, k : k + p]
         a = np.stack(info)
         size = int(round(a.shape[1] ** 0.5))
-        cov = np.linalg.pinv(a.reshape(-1, size, size))
+        a = a.reshape(-1, size, size)
+        bare = a.copy()
+        at = np.arange(k, k + p)
+        bare[:, at, at] -= np.asarray(pen.ridge, float)
+        cov = np.linalg.pinv(bare if vcov == "naive" else a)
+        if vcov == "sandwich":
+            cov = cov @ bare @ cov
         if scale is None:
             cov = cov * dispersion.to_numpy(float)[:, None, None]
         se = np.sqrt(np.maximum(0, np.einsum("gii->gi", cov)))[:, k : k + p]
         out = np.stack([np.asarray(c, bool) for c in const]) if p and k else np.zeros_like(b, bool)
-        b, se = np.where(out, np.nan, b), np.where(out, np.nan, se)
+        held = (np.asarray(pen.l1, float) > 0) & (b == np.asarray(pen.location, float))
+        b, se = np.where(out, np.nan, b), np.where(out | held, np.nan, se)
         with np.errstate(all="ignore"):
             zv = b / se
             pv = 2 * dist.norm_sf(np.abs(zv))
@@ -304,6 +345,7 @@ def aft_fit_agg(df: DataFrame, time: str, x: list[str], event: str, by: list[str
     rows = rows.select(*by, F.log(double(time)).alias("__y"), double(event).alias("__d"), *[double(c).alias(f"__x{i}") for i, c in enumerate(x)])
     xs, k, p = [f"__x{i}" for i in range(len(x))], int(o.fit_intercept), len(x)
     fixed = o.aft_dist == "exponential"
+    pen = _penalty(o, x)
 
     def run(names: list[str]) -> DataFrame:
         q = len(names) + k
@@ -322,7 +364,7 @@ def aft_fit_agg(df: DataFrame, time: str, x: list[str], event: str, by: list[str
         per = rows.groupBy(*by).agg(F.avg("__y").alias("m"), F.coalesce(F.stddev_samp("__y"), F.lit(1.0)).alias("s"))
         first = ([F.col("m")] if k else []) + [F.lit(0.0)] * len(names) + ([] if fixed else [F.log(F.greatest(F.col("s"), F.lit(1e-3)))])
         start = settled(per.select(*by, F.array(*first).alias("__theta")))
-        fit = newton(rows, by, names, bool(k), start, derive, extra=0 if fixed else 1, iterations=int(o.max_iterations), tolerance=max(1e-9, float(o.tolerance)), most_step=20.0)
+        fit = newton(rows, by, names, bool(k), start, derive, extra=0 if fixed else 1, iterations=int(o.max_iterations), tolerance=max(1e-9, float(o.tolerance)), most_step=20.0, **(dict(ridge=pen.ridge, l1=pen.l1, location=pen.location) if names else {}))
         j = join_groups(rows, fit, by)
         s = F.lit(1.0) if fixed else F.exp(log_scale)
         z = (F.col("__y") - linear_predictor(names, bool(k))) / s
@@ -333,7 +375,7 @@ def aft_fit_agg(df: DataFrame, time: str, x: list[str], event: str, by: list[str
     full, null = run(xs), run([])
     per = join_groups(full, null.select(*by, F.col("ll").alias("null_ll")), by).where("events > 0")
     q = p + k
-    udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), 1.0), "coefficients array<double>, std_errors array<double>, z_values array<double>, p_values array<double>, ci_lower array<double>, ci_upper array<double>")
+    udf = F.pandas_udf(_wald(p, k, float(o.confidence_level), 1.0, pen, o.vcov), "coefficients array<double>, std_errors array<double>, z_values array<double>, p_values array<double>, ci_lower array<double>, ci_upper array<double>")
     none = F.array(*[F.lit(False)] * p) if p else F.array().cast("array<boolean>")
     per = per.withColumn("r", udf("__theta", "__information", F.lit(1.0), none)).withColumn("r", nan_kept("r", WALD))
     params = q + (0 if fixed else 1)

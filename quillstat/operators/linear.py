@@ -257,48 +257,67 @@ def fit_predict_window(df: DataFrame, kind: str, y: str, x: list[str], by: list[
     vectorised solve per Arrow batch.  ``frame`` is (start, end) in rows, None
     for unbounded.  A frame needs more rows than coefficients.  ``predict_x``:
     the features of the frame's last row, or with "current" the row's own.
+    Products are taken around the group's first values; the sums of a frame of
+    more than LONG_FRAME rows that is bounded below are differences of two
+    running sums, so a row costs the same for every length of frame.
     """
     o, p = _options(kind, opts), len(x)
     if kind not in ("ols", "ridge", "elasticnet", "wls", "rls"):
         raise ValueError(f"{kind} has no window form by moments")
     if kind == "rls" and o.forgetting_factor != 1:
         raise ValueError("the window form of rls takes a forgetting factor of 1")
-    w = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding if frame[0] is None else frame[0], frame[1])
-    # products around one common point lose no digits to large means
-    centre = df.agg(*[F.coalesce(F.avg(double(c)), F.lit(0.0)) for c in (y, *x)]).first()
+    ordered = Window.partitionBy(*by).orderBy(*order_by)
+    from_start = lambda end: ordered.rowsBetween(Window.unboundedPreceding, end)
+    w = ordered.rowsBetween(Window.unboundedPreceding if frame[0] is None else frame[0], frame[1])
     ok = training(df, y, x, None, o.null_policy)
     for c in (y, *x, *([weight] if weight else [])):
         ok = ok & F.coalesce(~F.isnan(double(c)) & (F.abs(double(c)) != float("inf")), F.lit(False))
     if weight:
         ok = ok & (double(weight) > 0)
-    vals = {"__n": F.when(ok, 1.0), "__w": F.when(ok, double(weight) if weight else F.lit(1.0)), "__y": F.when(ok, double(y) - centre[0])}
-    vals |= {f"__x{i}": F.when(ok, double(c) - centre[i + 1]) for i, c in enumerate(x)}
-    rows = df.withColumns(vals)
+    centres = [f"__c{i}" for i in range(p + 1)]
+    rows = df.withColumn("__ok", ok).withColumns({k: F.first(F.when(F.col("__ok"), double(c)), ignorenulls=True).over(from_start(0)) for k, c in zip(centres, (y, *x), strict=True)})
+    usable_ = F.col("__ok")
+    vals = {"__n": F.when(usable_, 1.0), "__w": F.when(usable_, double(weight) if weight else F.lit(1.0))}
+    vals |= {k: F.when(usable_, double(c) - F.col(m)) for k, c, m in zip(("__y", *[f"__x{i}" for i in range(p)]), (y, *x), centres, strict=True)}
+    rows = rows.withColumns(vals)
     wc = F.col("__w")
-    sums = {"n": F.col("__n"), "w": wc, "y": wc * F.col("__y"), "yy": wc * F.col("__y") * F.col("__y")}
+    sums = {"n": F.col("__n"), "y": wc * F.col("__y"), "yy": wc * F.col("__y") * F.col("__y")} | ({"w": wc} if weight else {})
     sums |= {f"x{i}": wc * F.col(f"__x{i}") for i in range(p)} | {f"y{i}": wc * F.col("__y") * F.col(f"__x{i}") for i in range(p)}
     sums |= {f"x{i}x{j}": wc * F.col(f"__x{i}") * F.col(f"__x{j}") for i in range(p) for j in range(i, p)}
     rows = rows.withColumns({f"__p_{k}": v for k, v in sums.items()})
+    differences = frame[0] is not None and frame[1] - frame[0] >= LONG_FRAME
+    if not differences:
+        summed = lambda k: F.sum(f"__p_{k}").over(w)
+    else:
+        summed = lambda k: F.coalesce(F.sum(f"__p_{k}").over(from_start(frame[1])), F.lit(0.0)) - F.coalesce(F.sum(f"__p_{k}").over(from_start(frame[0] - 1)), F.lit(0.0))
     at = [double(c) if predict_x == "current" else F.last(double(c)).over(w) for c in x]
-    rows = rows.select(*df.columns, *[F.sum(f"__p_{k}").over(w).alias(f"__s_{k}") for k in sums], *[a.alias(f"__a{i}") for i, a in enumerate(at)])
+    rows = rows.select(*df.columns, *centres, *[summed(k).alias(f"__s_{k}") for k in sums], *[a.alias(f"__a{i}") for i, a in enumerate(at)])
     names = list(sums)
     level, intercept = float(o.confidence_level), bool(o.fit_intercept)
+    inputs = [*[f"__s_{k}" for k in names], *[f"__a{i}" for i in range(p)], *centres]
 
     def run(it):
         for cols in it:
-            v = {k: c.to_numpy(float, na_value=np.nan) for k, c in zip([*names, *[f"a{i}" for i in range(p)]], cols, strict=True)}
-            yield _frame_predictions(kind, o, v, p, centre, level, intercept)
+            v = {k: c.to_numpy(float, na_value=np.nan) for k, c in zip([k.removeprefix("__s_").removeprefix("__") for k in inputs], cols, strict=True)}
+            v.setdefault("w", v["n"])
+            yield _frame_predictions(kind, o, v, p, level, intercept, 1e-10 if differences else 1e-12)
 
     from collections.abc import Iterator
 
     run.__annotations__ = {"it": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(run, "yhat double, yhat_lower double, yhat_upper double")
-    out = rows.withColumn("__r", udf(*[F.col(f"__s_{k}") for k in names], *[F.col(f"__a{i}") for i in range(p)]))
-    return out.select(*df.columns, "__r.yhat", "__r.yhat_lower", "__r.yhat_upper")
+    out = rows.withColumn("__r", udf(*inputs))
+    found = lambda c: F.when(~F.isnan(F.col(f"__r.{c}")), F.col(f"__r.{c}")).alias(c)
+    return out.select(*df.columns, found("yhat"), found("yhat_lower"), found("yhat_upper"))
+
+
+#: Frames of more rows are summed as differences of running sums.
+LONG_FRAME = 8
 
 
-def _frame_predictions(kind: str, o, v: dict, p: int, centre, level: float, intercept: bool) -> pd.DataFrame:
-    n = np.nan_to_num(v["n"])
+def _frame_predictions(kind: str, o, v: dict, p: int, level: float, intercept: bool, flat: float) -> pd.DataFrame:
+    """Predictions and intervals of frames from their sums; NaN where a frame has too few rows.  Features whose variation is below ``flat`` of their squares are constant."""
+    n = np.round(np.nan_to_num(v["n"]))
     sw = np.where(n > 0, v["w"], 1.0)
     at = np.stack([v[f"a{i}"] for i in range(p)], axis=1)
     use = (n > p + int(intercept)) & ~np.isnan(at).any(axis=1)
@@ -316,9 +335,10 @@ def _frame_predictions(kind: str, o, v: dict, p: int, centre, level: float, inte
                 s.sxx[:, i, j] = s.sxx[:, j, i] = g(f"x{i}x{j}") - sw * mx[:, i] * mx[:, j]
         s.sxy = np.stack([g(f"y{i}") for i in range(p)], axis=1) - (sw * my)[:, None] * mx
         s.syy = g("yy") - sw * my * my
-        s.xbar, s.ybar = mx + np.array(centre[1:]), my + centre[0]
+        s.xbar, s.ybar = mx + np.stack([g(f"c{i + 1}") for i in range(p)], axis=1), my + g("c0")
         raw = np.stack([g(f"x{i}x{i}") for i in range(p)], axis=1)
-        s.constant = np.einsum("gii->gi", s.sxx) <= np.maximum(1e-20 * s.n[:, None], 1e-12 * raw)
+        diagonal = np.einsum("gii->gi", s.sxx)
+        s.constant = diagonal <= np.maximum(1e-20 * s.n[:, None], flat * raw)
         if not intercept or kind == "rls":
             s0 = s.sxx + sw[:, None, None] * s.xbar[:, :, None] * s.xbar[:, None, :], s.sxy + sw[:, None] * s.xbar * s.ybar[:, None]
             if not intercept or kind == "rls":
@@ -333,4 +353,4 @@ def _frame_predictions(kind: str, o, v: dict, p: int, centre, level: float, inte
             q = dist.t_ppf(np.full(len(yhat), 0.5 + level / 2), s.n - p - int(intercept))
             wide = np.where((sigma > 0) & (s.n > p + 1), q * sigma * np.sqrt(1 + 1 / s.n), 0.0)
         out[use] = np.stack([yhat, yhat - wide, yhat + wide], axis=1)
-    return pd.DataFrame(out, columns=["yhat", "yhat_lower", "yhat_upper"]).astype(object).where(~np.isnan(out), None).astype({c: "Float64" for c in ("yhat", "yhat_lower", "yhat_upper")})
+    return pd.DataFrame(out, columns=["yhat", "yhat_lower", "yhat_upper"])

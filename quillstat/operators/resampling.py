@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import options
 from quillstat.functions.columns import norm_sf
-from quillstat.llm.common import written
 from quillstat.plans.moments import double, own_names, usable
+from quillstat.sources.tables import written
 
 SCHEMA = "statistic double, p_value double, n1 int, n2 int, method string"
 BLOCK = 1024

@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions import dist, options
+from quillstat.functions.columns import norm_cdf
 from quillstat.operators import glm
 from quillstat.operators.linear import predicted, training
 from quillstat.plans.moments import double, join_groups, usable, weighted_moments_once
@@ -287,10 +288,143 @@ def fit_predict_by(df: DataFrame, kind: str, y: str, x: list[str], by: list[str]
     return j.select(*df.columns, "yhat", (F.col("yhat") - wide).alias("yhat_lower"), (F.col("yhat") + wide).alias("yhat_upper"), "is_training")
 
 
+# -- robust fits over window frames ------------------------------------------------------
+
+
+def _solved(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Solutions of many small systems; singular ones by least norm."""
+    size = np.abs(a).max(axis=(-2, -1), initial=0.0) ** a.shape[-1]
+    flat = ~(np.abs(np.linalg.det(a)) > 1e-12 * size)
+    out = np.linalg.solve(np.where(flat[..., None, None], np.eye(a.shape[-1]), a), c[..., None])[..., 0]
+    if flat.any():
+        out[flat] = np.einsum("mij,mj->mi", np.linalg.pinv(a[flat]), c[flat])
+    return out
+
+
+def _stacked_least_squares(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted fits of many frames at once: frames x rows x coefficients."""
+    zw = z * w[:, :, None]
+    return _solved(np.matmul(zw.transpose(0, 2, 1), z), np.matmul(zw.transpose(0, 2, 1), y[:, :, None])[:, :, 0])
+
+
+def _masked_median(v: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Median along the last axis of the values that count."""
+    v, n = np.sort(np.where(ok, v, np.inf), axis=-1), ok.sum(axis=-1)
+    at = np.arange(len(v))
+    return (v[at, (n - 1) // 2] + v[at, n // 2]) / 2
+
+
+def _huber_frames(z, y, ok, o) -> np.ndarray:
+    b = _stacked_least_squares(z, y, ok.astype(float))
+    for _ in range(int(o.max_iterations)):
+        e = np.abs(y - np.einsum("fri,fi->fr", z, b))
+        s = np.maximum(_masked_median(e, ok) / 0.6744897501960817, 1e-12)[:, None]
+        new = _stacked_least_squares(z, y, ok * np.where(e <= o.epsilon * s, 1.0, o.epsilon * s / np.maximum(e, 1e-300)))
+        moved = np.abs(new - b).max(initial=0.0)
+        b = new
+        if moved < float(o.tolerance):
+            break
+    return b
+
+
+def _drawn(ok: np.ndarray, size: int, trials: int, seed: int) -> np.ndarray:
+    """frames x trials x size places of rows that count, the same draw for every frame of a length."""
+    n = ok.sum(axis=1)
+    draw = np.random.default_rng(seed).random((trials, ok.shape[1]))
+    out = np.zeros((len(ok), trials, size), np.int64)
+    for m in np.unique(n):
+        mine = np.flatnonzero(n == m)
+        places = np.argsort(~ok[mine], axis=1, kind="stable")[:, :m]
+        out[mine] = places[:, np.argsort(draw[:, :m], axis=1)[:, :size]]
+    return out
+
+
+def _subset_fits(z, y, picks) -> np.ndarray:
+    f = np.arange(len(z))[:, None, None]
+    a, c = z[f, picks], y[f, picks]
+    if a.shape[2] != a.shape[3]:
+        a, c = np.einsum("ftri,ftrj->ftij", a, a), np.einsum("ftri,ftr->fti", a, c)
+    return _solved(a, c)
+
+
+def _ransac_frames(z, y, ok, o) -> np.ndarray:
+    size = int(o.min_samples or z.shape[2])
+    b = _subset_fits(z, y, _drawn(ok, size, int(o.max_trials), int(o.random_state)))
+    limit = np.full(len(z), float(o.residual_threshold)) if o.residual_threshold is not None else _masked_median(np.abs(y - _masked_median(y, ok)[:, None]), ok)
+    good = (np.abs(y[:, None] - np.einsum("fri,fti->ftr", z, b)) <= limit[:, None, None]) & ok[:, None]
+    best = good[np.arange(len(z)), good.sum(axis=2).argmax(axis=1)]
+    best[best.sum(axis=1) < z.shape[2]] = True
+    return _stacked_least_squares(z, y, (best & ok).astype(float))
+
+
+def _theilsen_frames(z, y, ok, o) -> np.ndarray:
+    size = int(o.n_subsamples or z.shape[2])
+    trials = min(int(o.max_subpopulation), math.comb(ok.shape[1], size))
+    b = _subset_fits(z, y, _drawn(ok, size, trials, int(o.random_state)))
+    m = np.median(b, axis=1)
+    for _ in range(int(o.max_iterations)):
+        d = np.maximum(np.linalg.norm(b - m[:, None], axis=2), 1e-12)
+        new = np.einsum("fti,ft->fi", b, 1 / d) / (1 / d).sum(axis=1)[:, None]
+        done = np.abs(new - m).max(initial=0.0) < float(o.tolerance) * 1e-3
+        m = new
+        if done:
+            break
+    return m
+
+
+#: Rows of frames that one step of a kernel holds.
+FRAME_STEP = 512
+
+
+def fit_predict_window(df: DataFrame, kind: str, y: str, x: list[str], by: list[str], order_by: list[str], frame: tuple[int, int] = (-29, 0), predict_x: str = "frame_last", opts: dict | None = None) -> DataFrame:
+    """All rows with yhat of the Huber, RANSAC or Theil-Sen fit of their frame of (start, end) rows.
+
+    These fits need the rows of a frame, not only their sums, so each row gets
+    its frame as an array: the frame must be bounded on both sides.  Frames are
+    fitted many at once in NumPy.  A frame needs more usable rows than
+    coefficients, else yhat is null.  ``predict_x`` as in the linear family.
+    """
+    if frame[0] is None or frame[1] is None:
+        raise ValueError("a robust fit over a window needs a frame that is bounded on both sides")
+    o = options.read(opts, **{"huber": HUBER, "ransac": RANSAC, "theilsen": THEILSEN}[kind])
+    kernel = {"huber": _huber_frames, "ransac": _ransac_frames, "theilsen": _theilsen_frames}[kind]
+    w = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(*frame)
+    ok = training(df, y, x, None, o.null_policy)
+    for c in (y, *x):
+        ok = ok & F.coalesce(~F.isnan(double(c)) & (F.abs(double(c)) != float("inf")), F.lit(False))
+    # collect_list leaves nulls out: only usable rows come
+    item = F.when(ok, F.array(double(y), *[double(c) for c in x]))
+    at = F.array(*[double(c) if predict_x == "current" else F.last(double(c)).over(w) for c in x])
+    rows = df.withColumns({"__rows": F.collect_list(item).over(w), "__at": at})
+    intercept, p, most = bool(o.fit_intercept), len(x), frame[1] - frame[0] + 1
+
+    def run(frames: pd.Series, ats: pd.Series) -> pd.Series:
+        out = np.full(len(frames), np.nan)
+        n = np.array([len(f) for f in frames])
+        here = np.array([all(v is not None and v == v for v in a) for a in ats], bool)
+        todo = np.flatnonzero((n > p + int(intercept)) & here)
+        for i in range(0, len(todo), FRAME_STEP):
+            mine = todo[i : i + FRAME_STEP]
+            v, good = np.zeros((len(mine), most, p + 1)), np.arange(most) < n[mine][:, None]
+            v[good] = np.concatenate([np.stack(frames[k]) for k in mine])
+            z = np.concatenate([np.ones((len(mine), most, 1)), v[:, :, 1:]], axis=2) if intercept else v[:, :, 1:]
+            with np.errstate(all="ignore"):
+                b = kernel(z * good[:, :, None], v[:, :, 0] * good, good, o)
+            a = np.array([list(ats[k]) for k in mine], float)
+            out[mine] = (b[:, 0] + (b[:, 1:] * a).sum(axis=1)) if intercept else (b * a).sum(axis=1)
+        return pd.Series(out)
+
+    out = rows.withColumn("__yhat", F.pandas_udf(run, "double")("__rows", "__at"))
+    return out.select(*df.columns, F.when(~F.isnan("__yhat"), F.col("__yhat")).alias("yhat"))
+
+
 # -- augmented linear models -------------------------------------------------------------
 
 ALM = BASE | dict(distribution="normal", loss="likelihood", max_iterations=100, tolerance=1e-8, quantile=0.5, role_trim=0.05)
-_LOGGED = {"log_normal": "normal", "log_laplace": "laplace"}
+#: Models of log y: the likelihood of log y, less the sum of log y.
+_LOGGED = {"log_normal": "normal", "log_laplace": "laplace", "log_s": "s", "log_generalised_normal": "generalised_normal", "box_cox_normal": "normal"}
+T_FREEDOM, GN_SHAPE = 4.0, 1.5
+_LEAST = 1e-12
 
 
 def _alm_rounds(rows: DataFrame, xs: list[str], by: list[str], o) -> DataFrame:
@@ -303,12 +437,12 @@ def _alm_rounds(rows: DataFrame, xs: list[str], by: list[str], o) -> DataFrame:
     if d == "student_t":
 
         def weigh(j: DataFrame) -> DataFrame:
-            s = j.groupBy(*by).agg(F.avg(F.col("__e") ** 2).alias("__s"))
-            return join_groups(j, s, by).withColumn("__w", 5.0 / (4.0 + F.col("__e") ** 2 / F.greatest(F.col("__s"), F.lit(1e-12)))).drop("__s")
+            s = j.groupBy(*by).agg((F.avg(F.col("__e") ** 2) * (T_FREEDOM - 2) / T_FREEDOM).alias("__s"))
+            return join_groups(j, s, by).withColumn("__w", (T_FREEDOM + 1) / (T_FREEDOM + F.col("__e") ** 2 / F.greatest(F.col("__s"), F.lit(_LEAST)))).drop("__s")
 
         return reweighted(rows, xs, by, k, weigh, iterations=int(o.max_iterations), tolerance=float(o.tolerance))
     if d in ("s", "generalised_normal"):
-        power = 0.5 if d == "s" else 1.5
+        power = 0.5 if d == "s" else GN_SHAPE
         return reweighted(rows, xs, by, k, lambda j: j.withColumn("__w", F.pow(F.greatest(F.abs("__e"), F.lit(1e-6)), power - 2)), iterations=40, tolerance=1e-7)
     if d == "logistic":
 
@@ -343,49 +477,120 @@ def _as_result(fit: DataFrame, p: int, k: bool, by: list[str]) -> DataFrame:
     return fit.select(*by, F.struct(F.slice("__theta", at + 1, p).alias("coefficients"), (F.get("__theta", F.lit(0)) if k else F.lit(float("nan"))).alias("intercept"), F.lit(None).cast("long").alias("n")).alias("r"))
 
 
+def alm_scale(kind: str, y: Column, eta: Column, quantile: float = 0.5) -> Column:
+    """The scale of a group, as an aggregate: each family's own estimate given the linear predictor; 1 where there is none."""
+    e, mu = y - eta, F.exp(eta)
+    p = 1 / (1 + F.exp(-eta))
+    return {
+        "laplace": lambda: F.avg(F.abs(e)),
+        "asymmetric_laplace": lambda: F.avg(F.when(e > 0, quantile * e).otherwise((quantile - 1) * e)),
+        "s": lambda: F.avg(F.sqrt(F.abs(e))) / 2,
+        "generalised_normal": lambda: F.pow(GN_SHAPE * F.avg(F.pow(F.abs(e), GN_SHAPE)), 1 / GN_SHAPE),
+        "student_t": lambda: F.sqrt(F.avg(e * e) * (T_FREEDOM - 2) / T_FREEDOM),
+        "logistic": lambda: F.stddev_pop(e) * math.sqrt(3) / math.pi,
+        "gamma": lambda: F.avg((y / mu - 1) ** 2),
+        "inverse_gaussian": lambda: F.avg((y - mu) ** 2 / (mu * mu * y)),
+        "negative_binomial": lambda: F.sum(mu * mu) / F.greatest(F.sum((y - mu) ** 2 - mu), F.lit(1e-6) * F.sum(mu * mu)),
+        "beta": lambda: F.greatest(F.sum(p * (1 - p)) / F.greatest(F.sum((y - p) ** 2), F.lit(1e-300)) - 1, F.lit(1e-3)),
+        **{k: lambda: F.avg(F.lit(1.0)) for k in ("exponential", "poisson", "geometric", "binomial", "cumulative_logistic", "cumulative_normal")},
+    }.get(kind, lambda: F.sqrt(F.avg(e * e)))()
+
+
+def alm_log_density(kind: str, y: Column, eta: Column, s: Column, quantile: float = 0.5) -> Column:
+    """The log density of a row, given its linear predictor and the group's scale."""
+    s = F.greatest(s, F.lit(1e-300))
+    e, mu = y - eta, F.exp(eta)
+    z, lg = e / s, glm.lgamma
+    soft = lambda t: F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t)))
+    normal = lambda t: -0.5 * math.log(2 * math.pi) - F.log(s) - t * t / 2
+    p = F.greatest(F.lit(_LEAST), F.least(F.lit(1 - _LEAST), 1 / (1 + F.exp(-eta))))
+    phi = lambda t: F.greatest(F.lit(1e-300), norm_cdf(t))
+    check = F.when(e > 0, quantile * e).otherwise((quantile - 1) * e)
+    v, t_constant = T_FREEDOM, math.lgamma((T_FREEDOM + 1) / 2) - math.lgamma(T_FREEDOM / 2) - 0.5 * math.log(T_FREEDOM * math.pi)
+    return {
+        "laplace": lambda: -F.log(2 * s) - F.abs(z),
+        "asymmetric_laplace": lambda: math.log(quantile * (1 - quantile)) - F.log(s) - check / s,
+        "s": lambda: -F.log(4 * s * s) - F.sqrt(F.abs(e)) / s,
+        "generalised_normal": lambda: math.log(GN_SHAPE / 2) - F.log(s) - math.lgamma(1 / GN_SHAPE) - F.pow(F.abs(z), GN_SHAPE),
+        "student_t": lambda: t_constant - F.log(s) - (v + 1) / 2 * F.log1p(z * z / v),
+        "logistic": lambda: -z - F.log(s) - 2 * soft(-z),
+        "folded_normal": lambda: normal(z) + F.log1p(F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), 2 * y * eta / (s * s))))),
+        "rectified_normal": lambda: F.when(y > 0, normal(z)).otherwise(F.log(phi(-eta / s))),
+        "exponential": lambda: -eta - y / mu,
+        "gamma": lambda: F.log(y / (mu * s)) / s - y / (mu * s) - F.log(y) - lg(1 / s),
+        "inverse_gaussian": lambda: -0.5 * F.log(2 * math.pi * s * y * y * y) - (y - mu) ** 2 / (2 * s * mu * mu * y),
+        "poisson": lambda: y * eta - mu - lg(y + 1),
+        "geometric": lambda: y * eta - (y + 1) * F.log1p(mu),
+        "negative_binomial": lambda: lg(y + s) - lg(s) - lg(y + 1) + s * F.log(s / (s + mu)) + y * F.log(mu / (s + mu)),
+        "binomial": lambda: y * eta - soft(eta),
+        "cumulative_logistic": lambda: y * eta - soft(eta),
+        "cumulative_normal": lambda: y * F.log(phi(eta)) + (1 - y) * F.log(phi(-eta)),
+        "beta": lambda: lg(s) - lg(p * s) - lg((1 - p) * s) + (p * s - 1) * F.log(y) + ((1 - p) * s - 1) * F.log1p(-y),
+    }.get(kind, lambda: normal(z))()
+
+
+_WITHOUT_SCALE = ("exponential", "poisson", "geometric", "binomial", "cumulative_logistic", "cumulative_normal")
+_DOMAIN = {"gamma": "__y > 0", "inverse_gaussian": "__y > 0", "exponential": "__y >= 0", "beta": "__y > 0 AND __y < 1", "poisson": "__y >= 0", "geometric": "__y >= 0", "negative_binomial": "__y >= 0", "folded_normal": "__y >= 0"}
+
+
 def alm_fit_agg(df: DataFrame, y: str, x: list[str], by: list[str] = (), opts: dict | None = None) -> DataFrame:
-    """A linear predictor under one of many likelihoods; ``iterations`` is always 0, as in the documented interface."""
+    """A linear predictor under one of many likelihoods; ``iterations`` is always 0, as in the documented interface.
+
+    Rows outside a likelihood's domain are left out.  The folded and rectified
+    normal take the coefficients of the normal fit, Box-Cox those of log y (its
+    parameter is 0); their likelihoods are their own.  With ``compute_inference``
+    standard errors come from the inverse of the features' moments, scaled by the
+    residual variance: exact for the normal, an approximation for others.
+    """
     o, by = options.read(opts, **ALM), list(by)
     o.distribution = str(o.distribution).lower()
     rows, xs = _named(df, y, x, by)
-    d = o.distribution
+    d, q = o.distribution, float(o.quantile)
     if d in _LOGGED:
         rows = rows.where("__y > 0").withColumn("__y", F.log("__y"))
         o.distribution = _LOGGED[d]
-    if d == "logit_normal":
+    elif d == "logit_normal":
         rows = rows.where("__y > 0 AND __y < 1").withColumn("__y", F.log(F.col("__y") / (1 - F.col("__y"))))
+    elif d in _DOMAIN:
+        rows = rows.where(_DOMAIN[d])
     if str(o.loss) in ("mse", "mae", "ham"):
         o.distribution = {"mse": "normal", "mae": "laplace", "ham": "s"}[o.loss]
+    kind = o.distribution
     fits = _alm_rounds(rows, xs, by, o)
     j = join_groups(rows, fits.withColumnRenamed("r", "__r"), by).withColumn("__eta", predicted(xs, "__r"))
-    e = F.col("__y") - F.col("__eta")
-    mu = F.exp(F.col("__eta"))
-    n = F.count(F.lit(1))
-    kind = o.distribution
-    if kind in ("normal", "logit_normal", "rectified_normal", "folded_normal"):
-        scale = F.sqrt(F.avg(e * e))
-        ll = -n / 2 * (math.log(2 * math.pi) + 1) - n * F.log(scale)
-    elif kind in ("laplace", "asymmetric_laplace"):
-        q = float(o.quantile) if kind == "asymmetric_laplace" else 0.5
-        scale = F.avg(F.when(e > 0, q * e).otherwise((q - 1) * e)) * (2 if kind == "laplace" else 1)
-        ll = -n * (1 + F.log(2 * scale)) if kind == "laplace" else n * (math.log(q * (1 - q)) - F.log(scale) - 1)
-    elif kind == "logistic":
-        scale = F.stddev_pop(e) * math.sqrt(3) / math.pi
-        ll = -n * F.log(scale) - 2 * n
-    elif kind in ("gamma", "exponential", "inverse_gaussian"):
-        scale = F.avg((F.col("__y") / mu - 1) ** 2) if kind != "exponential" else F.avg(F.lit(1.0))
-        ll = F.sum(-F.col("__eta") - F.col("__y") / mu)
-    elif kind == "poisson":
-        scale, ll = F.avg(F.lit(1.0)), F.sum(F.col("__y") * F.col("__eta") - mu - glm.lgamma(F.col("__y") + 1))
-    elif kind in ("negative_binomial", "geometric"):
-        scale, ll = F.avg(F.lit(1.0)), F.sum(F.col("__y") * F.col("__eta") - (F.col("__y") + 1) * F.log1p(mu))
-    elif kind in ("binomial", "cumulative_logistic", "beta"):
-        scale, ll = F.avg(F.lit(1.0)), F.sum(F.col("__y") * F.col("__eta") - F.log1p(mu))
-    else:
-        scale = F.sqrt(F.avg(e * e))
-        ll = -n / 2 * (math.log(2 * math.pi) + 1) - n * F.log(scale)
-    s = j.groupBy(*by).agg(F.first("__r").alias("r"), n.alias("n"), scale.alias("scale"), ll.alias("ll"), F.sum("__y").alias("sum_y"))
+    response, eta, n = F.col("__y"), F.col("__eta"), F.count(F.lit(1))
+    scales = settled(j.groupBy(*by).agg(F.first("__r").alias("r"), n.alias("n"), alm_scale(kind, response, eta, q).alias("scale"), F.sum((response - eta) ** 2).alias("rss")))
+    density = alm_log_density(kind, response, eta, F.col("scale"), q)
     if d in _LOGGED:  # density of y, not of its logarithm
-        s = s.withColumn("ll", F.col("ll") - F.col("sum_y"))
-    k = len(x) + int(o.fit_intercept) + 1
-    return s.select(*by, "r.coefficients", "r.intercept", F.col("ll").alias("log_likelihood"), (2.0 * k - 2 * F.col("ll")).alias("aic"), (k * F.log("n") - 2 * F.col("ll")).alias("bic"), "scale", F.col("n").alias("n_observations"), F.lit(len(x)).alias("n_features"), F.lit(0).alias("iterations"))
+        density = density - response
+    elif d == "logit_normal":
+        density = density + F.abs(response) + 2 * F.log1p(F.exp(-F.abs(response)))
+    ll = join_groups(j, scales.select(*by, "scale"), by).groupBy(*by).agg(F.sum(density).alias("ll"))
+    s = join_groups(scales, ll, by)
+    k = len(x) + int(o.fit_intercept) + int(kind not in _WITHOUT_SCALE)
+    out = [*by, "r.coefficients", "r.intercept", F.col("ll").alias("log_likelihood"), (2.0 * k - 2 * F.col("ll")).alias("aic"), (k * F.log("n") - 2 * F.col("ll")).alias("bic"), "scale", F.col("n").alias("n_observations"), F.lit(len(x)).alias("n_features"), F.lit(0).alias("iterations")]
+    if o.compute_inference and x:
+        s, more = _moment_inference(s, rows, xs, by, bool(o.fit_intercept), float(o.confidence_level))
+        out += more
+    return s.select(*out)
+
+
+def _moment_inference(s: DataFrame, rows: DataFrame, xs: list[str], by: list[str], intercept: bool, level: float) -> tuple[DataFrame, list[Column]]:
+    """Adds t inference for r.coefficients from rss, n and the moments of the features."""
+    names = ["std_errors", "t_values", "p_values", "ci_lower", "ci_upper"]
+    m = weighted_moments_once(rows.withColumn("__w", F.lit(1.0)), "__y", xs, by, "__w")
+    p = len(xs)
+
+    def run(m: pd.DataFrame, r: pd.DataFrame, rss: pd.Series, n: pd.Series) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            inverse, _ = sweep(Stack(m, intercept).gram)
+            free = n.to_numpy(float) - p - int(intercept)
+            se = np.sqrt(np.einsum("gii->gi", inverse) * (rss.to_numpy(float) / free)[:, None])
+            b = np.stack(r["coefficients"])
+            t, half = b / se, dist.t_ppf(np.full(len(b), 0.5 + level / 2), free)[:, None] * se
+            pv = dist.t_two_sided(t, free[:, None])
+        return pd.DataFrame(dict(zip(names, map(list, (se, t, pv, b - half, b + half)), strict=True)))
+
+    udf = F.pandas_udf(run, ", ".join(f"{c} array<double>" for c in names))
+    packed = m.select(*by, F.struct(*[c for c in m.columns if c not in by]).alias("__m"))
+    return join_groups(s, packed, by).withColumn("__i", udf("__m", "r", "rss", "n")), [F.col(f"__i.{c}").alias(c) for c in names]

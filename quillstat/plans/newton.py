@@ -52,6 +52,20 @@ def symmetric(flat, p: int) -> np.ndarray:
     return a
 
 
+def _soft_steps(a: np.ndarray, c: np.ndarray, t: np.ndarray, absolute: np.ndarray, mode: np.ndarray) -> np.ndarray:
+    """Minima of b'ab / 2 - c'b + sum(absolute * |b - mode|) of all groups, coordinate by coordinate."""
+    b = t.copy()
+    for _ in range(1000):
+        last = b.copy()
+        for j in range(b.shape[1]):
+            d = a[:, j, j]
+            pull = c[:, j] - np.einsum("gi,gi->g", a[:, j], b) + d * (b[:, j] - mode[j])
+            b[:, j] = mode[j] + np.sign(pull) * np.maximum(np.abs(pull) - absolute[j], 0) / d
+        if np.abs(b - last).max(initial=0.0) < 1e-12:
+            break
+    return b
+
+
 def newton(
     rows: DataFrame,
     by: list[str],
@@ -65,22 +79,26 @@ def newton(
     iterations: int = 25,
     tolerance: float = 1e-8,
     most_step: float = 5.0,
+    l1: list[float] | None = None,
+    location: list[float] | None = None,
 ) -> DataFrame:
     """(by, __theta, __iterations, __converged, __information).
 
     ``start`` has by and __theta (array: intercept first, then x, then extra).
     ``derive(eta)`` gives columns: g (score in eta), w (curvature), and for each
     extra parameter k: g{k}, w{k} (curvature) and c{k} (cross curvature with eta).
+    ``ridge`` and ``l1`` are the weights of squared and absolute distances of the
+    coefficients of x from ``location``; __information includes the former.
     """
     p = len(x) + int(intercept)
     total = p + extra
     design = ([F.lit(1.0)] if intercept else []) + [F.col(c) for c in x]
-    penalty = np.broadcast_to(np.asarray(ridge, float), (len(x),))
-    penalty = np.concatenate([np.zeros(int(intercept)), penalty, np.zeros(extra)])
+    whole = lambda v: np.concatenate([np.zeros(int(intercept)), np.broadcast_to(np.asarray(v, float), (len(x),)), np.zeros(extra)])
+    penalty, absolute, mode = whole(ridge), whole(l1 or 0.0), whole(location or 0.0)
 
     def solve(theta: pd.Series, score: pd.Series, info: pd.Series) -> pd.DataFrame:
         t, g, a = np.stack(theta), np.stack(score), symmetric(info, total)
-        g = g - penalty * t
+        g = g - penalty * (t - mode)
         a = a + np.diag(penalty)
         d = np.einsum("gii->gi", a)
         dead = ~(d > 1e-12 * np.maximum(1.0, d.max(axis=1, keepdims=True)))
@@ -91,6 +109,8 @@ def newton(
             step = np.linalg.solve(a, np.nan_to_num(g)[..., None])[..., 0]
         except np.linalg.LinAlgError:
             step = np.einsum("gij,gj->gi", np.linalg.pinv(a), np.nan_to_num(g))
+        if absolute.any():
+            step = _soft_steps(a, np.einsum("gij,gj->gi", a, t) + np.nan_to_num(g), t, absolute, mode) - t
         step[dead] = 0
         step[:, p:] = np.clip(step[:, p:], -1.0, 1.0)
         size = np.abs(step[:, :p]).max(axis=1, initial=0.0)

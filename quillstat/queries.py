@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstat.operators import diagnostics as D
@@ -164,9 +164,14 @@ query("ols_fit_predict_by", predictions_sql("say / saa"))(predictions("ols"))
 query("ridge_fit_predict_by", predictions_sql("say / (saa + 5000)"))(predictions("ridge", opts={"alpha": 5000.0}))
 query("elasticnet_fit_predict_by", predictions_sql("sign(say) * greatest(abs(say) - 500, 0) / (saa + 500)"))(predictions("elasticnet", opts={"alpha": 1000.0}))
 query("pls_fit_predict_by", predictions_sql("say / saa"))(predictions("pls"))
-query("wls_fit_predict_by")(predictions("wls", weight="w"))
-query("rls_fit_predict_by")(predictions("rls"))
-query("bls_fit_predict_by")(predictions("bls"))
+query("wls_fit_predict_by", f"""WITH {T}, m AS (SELECT g, sum(w * y) / sum(w) AS my, sum(w * a) / sum(w) AS ma FROM t WHERE k <> 1 AND w > 0 GROUP BY g),
+f AS (SELECT g, my, ma, sum(w * (a - ma) * (y - my)) / sum(w * (a - ma) * (a - ma)) AS c1 FROM t JOIN m USING (g) WHERE k <> 1 AND w > 0 GROUP BY g, my, ma)
+SELECT l_orderkey, l_partkey, l_suppkey, round(my + c1 * (a - ma), 4) AS yhat, k <> 1 AS is_training FROM t JOIN f USING (g)""")(predictions("wls", weight="w"))
+query("rls_fit_predict_by", f"""WITH {T}, m AS (SELECT g, count(*) + 0.01 AS n, sum(y) AS sy, sum(a) AS sa, sum(a * a) + 0.01 AS qa, sum(a * y) AS qy FROM t WHERE k <> 1 GROUP BY g),
+f AS (SELECT g, (n * qy - sa * sy) / (n * qa - sa * sa) AS c1, (qa * sy - sa * qy) / (n * qa - sa * sa) AS c0 FROM m)
+SELECT l_orderkey, l_partkey, l_suppkey, round(c0 + c1 * a, 4) AS yhat, k <> 1 AS is_training FROM t JOIN f USING (g)""")(predictions("rls"))
+query("bls_fit_predict_by", f"""WITH {T}, f AS (SELECT g, greatest(sum(a * y) / sum(a * a), 0) AS c1 FROM t WHERE k <> 1 GROUP BY g)
+SELECT l_orderkey, l_partkey, l_suppkey, round(c1 * a, 4) AS yhat, k <> 1 AS is_training FROM t JOIN f USING (g)""")(predictions("bls"))
 
 
 @query("ols_fit_predict_agg", f"WITH {T}, f AS (SELECT g, avg(y) AS my, avg(a) AS ma, regr_slope(y, a) AS c1 FROM t GROUP BY g) SELECT g, count(*) AS n, round(sum(my + c1 * (a - ma)), 2) AS sum_yhat FROM t JOIN f USING (g) GROUP BY g")
@@ -178,19 +183,16 @@ def _(spark, sf):
 FRAME = "OVER (PARTITION BY g ORDER BY " + ", ".join(ORDER) + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def window_sql(slope: str) -> str:
-    return f"""WITH {T}, v AS (SELECT *, count(*) {FRAME} AS n, avg(y) {FRAME} AS my, avg(a) {FRAME} AS ma, var_pop(a) {FRAME} * count(*) {FRAME} AS saa, covar_pop(a, y) {FRAME} * count(*) {FRAME} AS say, last_value(a) {FRAME} AS last_a FROM t)
-SELECT l_orderkey, l_partkey, l_suppkey, round(my + {slope} * (last_a - ma), 3) AS yhat FROM v WHERE n > 30"""
+def window_sql(slope: str, where: str = "") -> str:
+    """yhat of all rows: null up to the third, whose frames have no more rows than coefficients; ``slope`` counts 0 while a is constant."""
+    return f"""WITH {T}, v AS (SELECT *, count(*) {FRAME} AS n, avg(y) {FRAME} AS my, avg(a) {FRAME} AS ma, var_pop(a) {FRAME} * count(*) {FRAME} AS saa, covar_pop(a, y) {FRAME} * count(*) {FRAME} AS say, last_value(a) {FRAME} AS last_a FROM t{where})
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN n > 2 THEN round(my + CASE WHEN saa > 1e-9 THEN {slope} ELSE 0 END * (last_a - ma), 3) END AS yhat FROM v"""
 
 
 def window_query(kind: str, **kw):
     def run(spark, sf):
-        t = lines(spark, sf)
-        from pyspark.sql import Window
-
-        n = F.count(F.lit(1)).over(Window.partitionBy("g").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
-        p = L.fit_predict_window(t.withColumn("n", n), kind, "y", ["a"], ["g"], ORDER, **kw)
-        return p.where("n > 30").select("l_orderkey", "l_partkey", "l_suppkey", r("yhat", 3))
+        p = L.fit_predict_window(lines(spark, sf), kind, "y", ["a"], ["g"], ORDER, **kw)
+        return p.select("l_orderkey", "l_partkey", "l_suppkey", r("yhat", 3))
 
     return run
 
@@ -198,19 +200,43 @@ def window_query(kind: str, **kw):
 query("ols_fit_predict", window_sql("say / saa"))(window_query("ols"))
 query("ridge_fit_predict", window_sql("say / (saa + 100)"))(window_query("ridge", opts={"alpha": 100.0}))
 query("elasticnet_fit_predict", window_sql("sign(say) * greatest(abs(say) - 50, 0) / (saa + 50)"))(window_query("elasticnet", opts={"alpha": 100.0}))
-query("wls_fit_predict")(window_query("wls", weight="b"))
-query("rls_fit_predict")(window_query("rls"))
+# weights of 0 leave a row out of the frame's fit, not out of its place
+query("wls_fit_predict", f"""WITH {T}, u AS (SELECT *, CASE WHEN b > 0 THEN b END AS w1 FROM t), v AS (SELECT *, count(w1) {FRAME} AS n, sum(w1) {FRAME} AS sw, sum(w1 * (y - 40)) {FRAME} / sum(w1) {FRAME} AS my, sum(w1 * (a - 25)) {FRAME} / sum(w1) {FRAME} AS ma,
+  sum(w1 * (a - 25) * (a - 25)) {FRAME} AS qa, sum(w1 * (a - 25) * (y - 40)) {FRAME} AS qy, last_value(a) {FRAME} - 25 AS last_a FROM u), h AS (SELECT *, qa - sw * ma * ma AS saa, qy - sw * ma * my AS say FROM v)
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN n > 2 THEN round(40 + my + CASE WHEN saa > 1e-9 THEN say / saa ELSE 0 END * (last_a - ma), 3) END AS yhat FROM h""")(window_query("wls", weight="b"))
+query("rls_fit_predict", f"""WITH {T}, v AS (SELECT *, count(*) {FRAME} AS n, sum(y) {FRAME} AS sy, sum(a) {FRAME} AS sa, sum(a * a) {FRAME} + 0.01 AS qa, sum(a * y) {FRAME} AS qy, last_value(a) {FRAME} AS last_a FROM t),
+h AS (SELECT *, ((n + 0.01) * qy - sa * sy) / ((n + 0.01) * qa - sa * sa) AS c1, (qa * sy - sa * qy) / ((n + 0.01) * qa - sa * sa) AS c0 FROM v)
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN n > 2 THEN round(c0 + c1 * last_a, 3) END AS yhat FROM h""")(window_query("rls"))
 
 
-@query("window_rolling_30", f"""WITH {T}, v AS (SELECT *, regr_slope(y, a) OVER f AS s, regr_intercept(y, a) OVER f AS i, count(*) OVER f AS n FROM t
+@query("window_rolling_30", f"""WITH {T}, v AS (SELECT *, regr_slope(y, a) OVER f AS s, avg(y) OVER f AS my, avg(a) OVER f AS ma, var_pop(a) OVER f AS va, count(*) OVER f AS n FROM t
   WINDOW f AS (PARTITION BY g ORDER BY {', '.join(ORDER)} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT l_orderkey, l_partkey, l_suppkey, round(i + s * a, 3) AS yhat FROM v WHERE n = 30""")
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN n > 2 THEN round(my + CASE WHEN va > 1e-9 THEN s ELSE 0 END * (a - ma), 3) END AS yhat FROM v""")
 def _(spark, sf):
-    from pyspark.sql import Window
+    p = L.fit_predict_window(lines(spark, sf), "ols", "y", ["a"], ["g"], ORDER, frame=(-29, 0))
+    return p.select("l_orderkey", "l_partkey", "l_suppkey", r("yhat", 3))
+
+
+#: A line through all lines but those of line number 7, which lie far off: robust fits find it exactly.
+EXACT = "CASE WHEN k = 7 THEN 500 + 9 * b ELSE 2 + 3 * a END"
+
+
+def exact(spark, sf):
+    return lines(spark, sf).withColumn("e", F.expr(EXACT))
+
+
+#: In so many lines of a frame of 30 the fit must still find the line.
+for _kind, _far in (("huber", 1), ("ransac", 8), ("theilsen", 5)):
+    query(f"{_kind}_fit_predict", f"""WITH {T}, v AS (SELECT *, count(*) OVER f AS n, count(*) FILTER (k = 7) OVER f AS far FROM t WINDOW f AS (PARTITION BY g ORDER BY {', '.join(ORDER)} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT l_orderkey, l_partkey, l_suppkey, n, far, CASE WHEN n = 30 AND far <= {_far} THEN round(2 + 3 * a, 2) END AS yhat FROM v""")(
+        lambda spark, sf, kind=_kind, most=_far: robust_window(exact(spark, sf), kind, most)
+    )
+
 
-    n = F.count(F.lit(1)).over(Window.partitionBy("g").orderBy(*ORDER).rowsBetween(-29, 0))
-    p = L.fit_predict_window(lines(spark, sf).withColumn("n", n), "ols", "y", ["a"], ["g"], ORDER, frame=(-29, 0))
-    return p.where("n = 30").select("l_orderkey", "l_partkey", "l_suppkey", r("yhat", 3))
+def robust_window(t: DataFrame, kind: str, most: int) -> DataFrame:
+    w = Window.partitionBy("g").orderBy(*ORDER).rowsBetween(-29, 0)
+    p = R.fit_predict_window(t.withColumns({"n": F.count(F.lit(1)).over(w), "far": F.count(F.when(F.col("k") == 7, 1)).over(w)}), kind, "e", ["a"], ["g"], ORDER)
+    return p.select("l_orderkey", "l_partkey", "l_suppkey", "n", "far", F.when((F.col("n") == 30) & (F.col("far") <= most), F.round("yhat", 2)).alias("yhat"))
 
 
 # -- iterative fits -------------------------------------------------------------------

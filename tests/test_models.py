@@ -88,3 +88,82 @@ def test_vif_and_criteria(spark):
     assert D.vif_agg(df, ["a", "b"]).first().vif[0] == pytest.approx(1 / (1 - r2))
     row = spark.range(1).select(D.aic(F.lit(0.0), F.lit(5), F.lit(2)).alias("z"), D.bic(F.lit(None), F.lit(5), F.lit(2)).alias("n")).first()
     assert row.z == float("-inf") and row.n is None
+
+
+CONTINUOUS = {"normal": "real", "laplace": "real", "asymmetric_laplace": "real", "s": "real", "generalised_normal": "real", "student_t": "real", "logistic": "real", "gamma": "positive", "inverse_gaussian": "positive", "exponential": "positive", "beta": "unit", "folded_normal": "positive"}
+DISCRETE = ("poisson", "geometric", "negative_binomial")
+
+
+def test_alm_densities_sum_to_one(spark):
+    grids = {"real": np.arange(-400, 400, 0.01), "positive": np.arange(5e-4, 400, 1e-3), "unit": np.arange(5e-6, 1, 1e-5)}
+    col = lambda k, y: R.alm_log_density(k, y, F.lit(0.7), F.lit(0.9 if k != "beta" else 6.0), 0.3)
+    for grid, y in grids.items():
+        kinds = [k for k, g in CONTINUOUS.items() if g == grid]
+        df = spark.createDataFrame(pd.DataFrame({"y": y}))
+        got = df.agg(*[F.sum(F.exp(col(k, F.col("y")))).alias(k) for k in kinds]).first()
+        for k in kinds:
+            assert got[k] * (y[1] - y[0]) == pytest.approx(1, abs=3e-3), k
+    counts = spark.range(0, 4000).select(F.col("id").cast("double").alias("y"))
+    got = counts.agg(*[F.sum(F.exp(col(k, F.col("y")))).alias(k) for k in DISCRETE]).first()
+    assert all(got[k] == pytest.approx(1, abs=1e-6) for k in DISCRETE)
+    two = spark.createDataFrame([(0.0,), (1.0,)], "y double")
+    got = two.agg(*[F.sum(F.exp(col(k, F.col("y")))).alias(k) for k in ("binomial", "cumulative_logistic", "cumulative_normal")]).first()
+    assert all(v == pytest.approx(1, abs=1e-7) for v in got)
+
+
+def test_alm_likelihood_is_greatest_at_its_own_family(spark):
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0, 2, 600)
+    m = np.exp(0.4 + 0.5 * x)
+    data = {"gamma": rng.gamma(4, m / 4), "poisson": rng.poisson(m).astype(float), "log_normal": np.exp(1 + x + rng.normal(0, 0.5, 600))}
+    rival = {"gamma": "exponential", "poisson": "geometric", "log_normal": "exponential"}
+    for own, y in data.items():
+        df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+        ll = lambda d: R.alm_fit_agg(df, "y", ["x"], opts={"distribution": d}).first().log_likelihood
+        assert ll(own) > ll(rival[own]), own
+    n = R.alm_fit_agg(spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 + 3 * x + rng.normal(0, 0.3, 600)})), "y", ["x"], opts={"inference": True}).first()
+    assert n.ci_lower[0] < 3 < n.ci_upper[0] and n.std_errors[0] == pytest.approx(0.3 / np.sqrt(((x - x.mean()) ** 2).sum()), rel=0.1)
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    """Counts whose fits under penalties are known values."""
+    return spark.sql("SELECT (id % 10) / 3.0D AS x1, (id * 7) % 5 - 2.0D AS x2, round(exp(0.6D + 0.25D * ((id % 10) / 3.0D) - 0.15D * ((id * 7) % 5 - 2.0D)) + ((id * 13) % 4) * 0.3D) AS y FROM range(60)")
+
+
+def poisson(counts, **opts):
+    return G.glm_fit_agg(counts, "poisson", "y", ["x1", "x2"], opts=opts).first()
+
+
+def test_vcov_of_penalised_fits(counts):
+    se = {v: poisson(counts, glm_lambda=5.0, compute_inference=True, vcov=v).std_errors[0] for v in ("laplace", "naive", "sandwich")}
+    assert se == pytest.approx({"laplace": 0.076937, "naive": 0.07814, "sandwich": 0.075752}, abs=2e-6)
+    bare = {poisson(counts, compute_inference=True, vcov=v).std_errors[0] for v in ("laplace", "naive", "sandwich")}
+    assert max(bare) - min(bare) < 1e-9
+    with pytest.raises(ValueError, match="vcov"):
+        poisson(counts, vcov="bogus")
+
+
+def test_priors(counts):
+    tight = {"dist": "normal", "loc": 0.0, "scale": 0.02}
+    assert poisson(counts).coefficients == pytest.approx([0.241563, -0.128771], abs=1e-6)
+    assert poisson(counts, prior={"x1": tight}).coefficients[0] == pytest.approx(0.015081, abs=1e-6)
+    assert poisson(counts, prior={"x1": tight | {"loc": 2.0, "scale": 0.01}}).coefficients[0] > 1.5
+    laplace = lambda s: poisson(counts, prior={"x1": {"dist": "laplace", "loc": 0.0, "scale": s}}, compute_inference=True)
+    held = laplace(1e-4)
+    assert held.coefficients[0] == 0 and np.isnan(held.std_errors[0]) and held.std_errors[1] > 0
+    some = laplace(0.05)
+    # at the optimum the score equals the weight of the absolute distance
+    rows = counts.toPandas()
+    mu = np.exp(some.intercept + some.coefficients[0] * rows.x1 + some.coefficients[1] * rows.x2)
+    assert 0 < some.coefficients[0] < 0.2416 and ((rows.y - mu) * rows.x1).sum() == pytest.approx(1 / 0.05, abs=1e-3) and abs(((rows.y - mu) * rows.x2).sum()) < 1e-3
+
+
+def test_aft_takes_priors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "t": np.exp(1 + 0.5 * x + 0.6 * np.log(rng.exponential(size=300))), "d": 1.0}))
+    fit = lambda **o: G.aft_fit_agg(df, "t", ["x"], "d", opts=o).first()
+    assert fit(prior={"x": {"scale": 0.01}}).coefficients[0] < 0.1 < fit().coefficients[0]
+    a, b = (fit(prior={"x": {"scale": 0.05}}, compute_inference=True, vcov=v).std_errors[0] for v in ("sandwich", "naive"))
+    assert a < b
