@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstat.sources.tables import release, shared_dir, tables_made, written  # noqa: F401  (part of these helpers)
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,51 +39,6 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Local sessions without the setting get a folder of their own.  On a cluster
-    there is no folder that could be guessed, so the setting must be there.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file:///tmp/quillstat-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes the rows as Parquet into the shared folder and reads them back.
-
-    Cuts the lineage like checkpoint(), but compressed and column by column, so
-    later steps read only the columns they need.  A lost executor loses nothing.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstat-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Tables that ``written`` made in this process, oldest first.
-_made: list[str] = []
-
-
-def tables_made() -> int:
-    return len(_made)
-
-
-def release(spark: SparkSession, first: int, last: int) -> None:
-    """Deletes tables number first to last - 1 of this process: for callers that have stored what was read from them."""
-    for i in range(first, last):
-        if _made[i]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(_made[i])
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _made[i] = ""
-
-
 def binary_lists(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, empty for null."""
     col = batch.column(batch.schema.get_field_index(name))

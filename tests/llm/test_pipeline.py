@@ -56,6 +56,6 @@ def test_the_run_is_its_stages_and_leaves_no_working_tables(spark, docs, tmp_pat
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, str(tmp_path))
     assert got == sorted(tuple(map(str, r)) for r in step.collect()) and len(got) > 40
-    from quillstat.llm import common
+    from quillstat.sources import tables
 
-    assert sum(map(bool, common._made[started : started + 12])) <= 1
+    assert sum(map(bool, tables._made[started : started + 12])) <= 1
