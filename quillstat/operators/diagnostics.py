@@ -23,21 +23,28 @@ def vif_agg(df: DataFrame, x: list[str], by: list[str] = ()) -> DataFrame:
     p = len(x)
 
     def run(sxx: pd.Series) -> pd.Series:
-        a = symmetric(sxx, p)
-        inv, ok = sweep(a)
-        d = np.einsum("gii->gi", a)
-        with np.errstate(all="ignore"):
-            v = np.einsum("gii->gi", inv) * d
-        v = np.where(ok & (1 - 1 / np.maximum(v, 1) < 0.9999), np.maximum(v, 1.0), np.inf)
-        # a column that others explain fully makes those infinite, too
-        v = np.where((~ok).any(axis=1, keepdims=True) & (d > 0), np.inf, v)
-        return pd.Series(list(v))
+        return pd.Series(list(_inflations(symmetric(sxx, p))))
 
     if p < 2:
         raise ValueError("vif needs two features")
     return m.select(*by, F.pandas_udf(run, "array<double>")("sxx").alias("vif"))
 
 
+def _inflations(a: np.ndarray) -> np.ndarray:
+    """The factors from moment matrices."""
+    inv, ok = sweep(a)
+    d = np.einsum("gii->gi", a)
+    with np.errstate(all="ignore"):
+        v = np.einsum("gii->gi", inv) * d
+    v = np.where(ok & (1 - 1 / np.maximum(v, 1) < 0.9999), np.maximum(v, 1.0), np.inf)
+    # a column that others explain fully makes those infinite, too
+    return np.where((~ok).any(axis=1, keepdims=True) & (d > 0), np.inf, v)
+
+
+def inflation(moments: np.ndarray) -> np.ndarray:
+    return _inflations(moments[None])[0]
+
+
 def residuals_diagnostics_agg(df: DataFrame, y: str, y_hat: str, x: list[str] | None = None, by: list[str] = ()) -> DataFrame:
     """Rows with raw residual and, with features, leverage; standardised forms stay null without a standard error.  Groups of fewer than three rows are left out."""
     by, x = list(by), list(x or [])

@@ -17,7 +17,8 @@ from quillstat.plans.moments import double, own_names, usable
 from quillstat.sources.tables import written
 
 SCHEMA = "statistic double, p_value double, n1 int, n2 int, method string"
-BLOCK = 1024
+#: Numbers that a step of relabelling holds.
+CELLS = 1 << 20
 
 
 def _apply(rows: DataFrame, by: list[str], schema: str, kernel) -> DataFrame:
@@ -53,11 +54,13 @@ def permutation_t_test_agg(df: DataFrame, value: str, group: str, by: list[str]
             return (m1 - m2) / np.sqrt(np.maximum(pooled, 1e-300) * (1 / n1 + 1 / n2))
 
         seen = float(t(v[f].sum(), (v[f] ** 2).sum()))
-        rng, out = np.random.default_rng(int(o.random_state)), 0
-        for _ in range(int(o.n_permutations)):
-            pick = v[rng.permutation(len(v))[:n1]]
-            x = t(pick.sum(), (pick * pick).sum())
-            out += {"two_sided": abs(x) >= abs(seen) - 1e-12, "greater": x >= seen - 1e-12, "less": x <= seen + 1e-12}[o.alternative]
+        rng, out, left = np.random.default_rng(int(o.random_state)), 0, int(o.n_permutations)
+        while left:  # small groups take many relabellings at once
+            m = min(left, max(1, CELLS // len(v)))
+            pick = rng.permuted(np.tile(v, (m, 1)), axis=1)[:, :n1]
+            x = t(pick.sum(axis=1), (pick * pick).sum(axis=1))
+            out += int({"two_sided": np.abs(x) >= abs(seen) - 1e-12, "greater": x >= seen - 1e-12, "less": x <= seen + 1e-12}[o.alternative].sum())
+            left -= m
         return seen, (out + 1) / (int(o.n_permutations) + 1), n1, n2, f"Permutation t-test ({int(o.n_permutations)} permutations)"
 
     return _apply(_two(df, value, group, by), list(by), SCHEMA, kernel)
@@ -141,10 +144,12 @@ def distance_cor_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: di
         a, b = _centred(pdf["x"].to_numpy()), _centred(pdf["y"].to_numpy())
         cov, va, vb = (a * b).mean(), (a * a).mean(), (b * b).mean()
         r = float(np.sqrt(max(0.0, cov) / np.sqrt(va * vb))) if va * vb > 0 else 0.0
-        rng, hits = np.random.default_rng(int(o.random_state)), 0
-        for _ in range(int(o.n_permutations)):
-            p = rng.permutation(len(a))
-            hits += (a * b[np.ix_(p, p)]).mean() >= cov - 1e-15
+        rng, hits, left = np.random.default_rng(int(o.random_state)), 0, int(o.n_permutations)
+        while left:  # small groups take many relabellings at once
+            m = min(left, max(1, CELLS // len(a) ** 2))
+            p = rng.permuted(np.tile(np.arange(len(a)), (m, 1)), axis=1)
+            hits += int((np.einsum("ij,mij->m", a, b[p[:, :, None], p[:, None, :]]) / a.size >= cov - 1e-15).sum())
+            left -= m
         return r, float(len(a) * cov), (hits + 1) / (int(o.n_permutations) + 1), len(a), "Distance correlation"
 
     rows = usable(df, [x, y]).select(*by, double(x).alias("x"), double(y).alias("y"))

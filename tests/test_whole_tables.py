@@ -16,7 +16,7 @@ def test_queries_take_all_of_lineitem(spark, name, key, count):
     assert key in got.columns and got.agg(F.sum(F.expr(count))).first()[0] == rows
 
 
-@pytest.mark.parametrize("name", ["kendall_whole_agg", "energy_distance_whole_agg"])
+@pytest.mark.parametrize("name", ["kendall_agg", "energy_distance_agg"])
 def test_pairwise_queries_match_sql_over_all_of_lineitem(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
