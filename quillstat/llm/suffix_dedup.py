@@ -5,19 +5,25 @@ id is removed.  A suffix array of the whole corpus is cut into independent ones:
 
 1. Anchors.  A window of WIDTH consecutive K-byte strings, which is LENGTH bytes,
    picks its K-byte string of least hash.  Equal windows pick the same one, so
-   windows need comparing only within groups of equal anchors.  A first pass
-   hashes the anchors of all texts and marks those of two documents in a filter
-   of fixed size; the rest can't take part in a match.
-2. Regions.  The bytes around a marked anchor that its windows cover.  Each batch
-   of texts sends a region once, with its least document; later documents of the
-   batch with the same region are decided on the spot.  So a passage of a third
-   of all documents reaches a bucket once per batch.
+   windows need comparing only within groups of equal anchors.  Texts are dealt
+   to parts of some megabytes; each part sends the hashes of its anchors, packed,
+   to slices of the hash range, whose number grows with the corpus, and gets back
+   those that two documents have: a semi-join, exact but for equal 48-bit hashes.
+   The rest can't take part in a match.
+2. Regions.  The bytes around a shared anchor that its windows cover.  A part
+   sends a region once, with its least document; later documents of the part with
+   the same region are decided on the spot.  An anchor of more than HOT_DOCS
+   documents sends single windows, dealt by their own bytes, so that no bucket
+   gets all that surrounds it.
 3. Buckets of anchors build the suffix array of their distinct regions by
    two-stage sorting: suffixes smaller than their successors are sorted
    directly, the others are induced by one scan over the byte buckets; common
    prefixes of neighbours give the classes of equal windows and their least
    document.
 4. The marked window starts of each document are cut from its text.
+
+The three steps that read texts ask for them dealt by the same part, so Spark
+shuffles the texts once and reuses the exchange.
 """
 
 from __future__ import annotations
@@ -33,14 +39,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import U64, binary_lists, mix64, text_of, with_fields
+from quillstat.llm.common import U64, mix64, text_of, with_fields
 
 LENGTH, K = 50, 16
 WIDTH = LENGTH - K + 1
 REGION = WIDTH - 1 + LENGTH
-#: Bits of the filter of shared anchors: 16 MB, however large the corpus is.
-FILTER_BITS = 27
-PASS_BYTES, BATCH_BYTES = 1 << 20, 1 << 24
+HASH_BITS = 48
+#: Text of a part, of a slice's share and of a bucket's.
+PART_BYTES, SLICE_BYTES, BUCKET_BYTES = 1 << 23, 1 << 26, 1 << 21
+PASS_BYTES = 1 << 20
+#: An anchor of more documents is compared window by window.
+HOT_DOCS = 100_000
 ALL = U64((1 << WIDTH) - 1)
 NONE = np.iinfo(np.int64).max
 _POS = U64((1 << 28) - 1)
@@ -50,8 +59,25 @@ _MUL = 0x9E3779B97F4A7C15
 
 def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of the anchors of texts laid end to end; ends are the texts' ends."""
+    ok = np.zeros(len(buf), bool)  # starts whose window ends inside their text
+    start = 0
+    for end in ends.tolist():
+        if end - start >= LENGTH:
+            ok[start : end - LENGTH + 1] = True
+        start = end
+    found = [_anchors(buf[i : i + PASS_BYTES + LENGTH - 1], ok[i : i + PASS_BYTES]) for i in range(0, len(buf), PASS_BYTES)]
+    h, at = ([f[j] for f in found] for j in (0, 1))
+    at = [x + i * PASS_BYTES for i, x in enumerate(at)]
+    if not at:
+        return np.empty(0, U64), np.empty(0, np.int64)
+    at, first = np.unique(np.concatenate(at), return_index=True)
+    return np.concatenate(h)[first], at
+
+
+def _anchors(buf: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of the windows that start at places that are ok; arrays of many bytes for each byte of buf."""
     n = len(buf)
-    if n < LENGTH:
+    if n < LENGTH or not ok.any():
         return np.empty(0, U64), np.empty(0, np.int64)
     h, span, mul = _BYTES[buf], 1, _MUL
     while span < K:  # the hash of 2s bytes from two of s bytes
@@ -65,29 +91,18 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         span *= 2
     if WIDTH > span:
         np.minimum(least[: span - WIDTH], least[WIDTH - span :], out=least[: span - WIDTH])
-    ok = np.zeros(n, bool)  # starts whose window ends inside their text
-    start = 0
-    for end in ends.tolist():
-        if end - start >= LENGTH:
-            ok[start : end - LENGTH + 1] = True
-        start = end
-    at = np.unique((least[ok] & _POS).astype(np.int64))
+    at = np.unique((least[: len(ok)][ok] & _POS).astype(np.int64))
     return mix64(h[at]), at  # least hashes are small; mixed again they spread over all buckets
 
 
-def _passes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts) of about so many bytes."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, data in zip(batch.column(0).to_pylist(), binary_lists(batch, "text"), strict=True):
-            ids.append(i)
-            texts.append(data)
-            size += len(data)
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _passes(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of texts of about so many bytes together."""
+    i, size = 0, 0
+    for j, t in enumerate(texts):
+        size += len(t)
+        if size >= most or j + 1 == len(texts):
+            yield i, j + 1
+            i, size = j + 1, 0
 
 
 def _found(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,75 +117,68 @@ def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
-def _filter_bits(h: np.ndarray) -> np.ndarray:
-    """Two places per hash in its slice of the filter; slices follow the high bits, as buckets do."""
-    span = U64(1 << (FILTER_BITS - 12))
-    base = (h >> U64(52)) * span
-    return np.stack([base + (h & (span - U64(1))), base + (mix64(h) & (span - U64(1)))])
+def _short(h: np.ndarray) -> np.ndarray:
+    return h >> U64(64 - HASH_BITS)
 
 
-def shared_anchor_filter(docs: DataFrame) -> np.ndarray:
-    """A bit for every anchor that stands in two documents (and for few others).
+def _pack_hashes(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending hashes as differences and small numbers beside them, byte by byte plane, compressed."""
+    d = np.diff(h, prepend=U64(0))
+    planes = np.concatenate([d.view(np.uint8).reshape(-1, 8), n.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
-    Hashes travel in packed arrays of distinct values, a low bit telling whether
-    the batch itself has two documents with it.  Each of 4096 slices gives its
-    own part of the filter; together they always have 2**FILTER_BITS bits.
-    """
 
-    def gather(batches):
-        held, size = [], 0
-
-        def rows():
-            h = held[0]
-            cuts = np.searchsorted(h >> U64(52), np.arange(4097, dtype=U64))
-            blobs = [(i, h[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["slice", "blob"])
-
-        for _, texts in _passes(batches, PASS_BYTES):
-            _, _, h, _, doc = _found(texts)
-            h &= ~U64(1)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
-            starts = np.flatnonzero(new)
-            if len(starts):
-                many = np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts)
-                merged = np.sort(np.concatenate([*held, h[starts] | many.astype(U64)]))
-                base = merged & ~U64(1)
-                last = np.r_[base[1:] != base[:-1], True]
-                # of equal hashes one stays; two of them came from two documents
-                held = [base[last] | (merged[last] & U64(1)) | np.r_[False, ~last[:-1]][last].astype(U64)]
-            size += sum(map(len, texts))
-            if size >= BATCH_BYTES and held:
-                yield rows()
-                held, size = [], 0
-        if held:
-            yield rows()
-
-    def mark(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(b, U64) for b in table.column("blob").to_pylist()])
-        h.sort()
-        base = h & ~U64(1)
-        again = np.r_[base[1:] == base[:-1], False]
-        shared = np.unique(base[again | (h & U64(1) == 1)])
-        part = np.zeros(1 << (FILTER_BITS - 12), np.uint8)
-        part[(_filter_bits(shared).ravel() & U64((1 << (FILTER_BITS - 12)) - 1)).astype(np.int64)] = 1
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
-
-    rows = docs.mapInArrow(gather, "slice int, blob binary").groupBy("slice").applyInArrow(mark, "slice int, bits binary").toArrow()
-    out = np.zeros((4096, (1 << (FILTER_BITS - 12)) // 8), np.uint8)
-    for i, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        out[i] = np.frombuffer(bits, np.uint8)
-    return out.ravel()
-
-
-def _passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = _filter_bits(h & ~U64(1)).astype(np.int64)
-    hit = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-    return (hit[0] & hit[1]).astype(bool)
-
-
-_COLUMNS = np.dtype([("doc", "<i8"), ("crc", "<i8"), ("at", "<i8"), ("region", "<i4")])
+def _unpack_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1).T
+    return np.cumsum(np.ascontiguousarray(planes[:, :8]).view(U64).ravel(), dtype=U64), np.ascontiguousarray(planes[:, 8:]).view("<u4").ravel().astype(np.int64)
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    return h[at], (np.add.reduceat(n, at) if len(at) else np.empty(0, np.int64))
+
+
+def shared_anchors(texts: DataFrame, n_slices: int) -> DataFrame:
+    """(part, blob): the hashes of a part's anchors that two rows of the corpus have, with the number of those rows."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        held = []
+        rows = _known(table)[1]
+        for i, j in _passes(rows, PASS_BYTES):
+            _, _, h, _, doc = _found(rows[i:j])
+            pairs = np.unique(np.stack([_short(h), doc.astype(U64)], axis=1), axis=0)[:, 0] if len(h) else _short(h)
+            held.append(_summed(pairs, np.ones(len(pairs), np.int64)))
+        h, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.empty(0, U64), np.empty(0, np.int64))
+        if not len(h):
+            return pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]).empty_table()
+        slices = _bucket_of(h << U64(64 - HASH_BITS), n_slices)
+        cuts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]])
+        blobs = [_pack_hashes(h[x:y], n[x:y]) for x, y in zip(cuts, [*cuts[1:], len(h)], strict=True)]
+        return pa.table({"slice": pa.array(slices[cuts], pa.int64()), "part": pa.array([table.column("part")[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [_unpack_hashes(b) for b in table.column("blob").to_pylist()]
+        total, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        out = []
+        for h, _ in parts:
+            at = np.searchsorted(total, h)
+            ok = n[at] > 1
+            out.append(_pack_hashes(h[ok], np.minimum(n[at[ok]], 2**32 - 1)) if ok.any() else None)
+        return pa.table({"part": table.column("part"), "blob": pa.array(out, pa.binary())}).filter(pa.array([b is not None for b in out], pa.bool_()))
+
+    rows = texts.groupBy("part").applyInArrow(gather, "slice long, part int, blob binary")
+    return rows.groupBy("slice").applyInArrow(meet, "part int, blob binary")
+
+
+def _known(table: pa.Table) -> tuple[list[int], list[bytes]]:
+    """(ids, texts) of the rows that have an id."""
+    rows = [(i, b"" if t is None else t) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True) if i is not None]
+    return [i for i, _ in rows], [t for _, t in rows]
+
+
+_COLUMNS = np.dtype([("doc", "<i8"), ("crc", "<i8"), ("at", "<i8"), ("region", "<i4"), ("part", "<i4")])
 
 
 def _pack(regions: np.ndarray, rows: np.ndarray) -> bytes:
@@ -296,59 +304,74 @@ def least_documents(regions: np.ndarray, docs: np.ndarray) -> np.ndarray:
 _BITS = (U64(1) << np.arange(WIDTH, dtype=U64))
 
 
-def window_marks(docs: DataFrame, bits, n_buckets: int) -> DataFrame:
-    """(doc_id, crc, at, mask): bit j says that the window at ``at + j`` of the document is to go; crc is the text's."""
-
-    def spread(batches):
-        keep = bits.value
-        for ids, texts in _passes(batches, BATCH_BYTES):
-            held = []
-            i = 0
-            while i < len(ids):
-                j, size = i, 0
-                while j < len(ids) and size < PASS_BYTES:
-                    size += len(texts[j])
-                    j += 1
-                buf, ends, h, at, doc = _found(texts[i:j])
-                ok = _passing(h, keep)
-                h, at, doc = h[ok], at[ok], doc[ok]
-                if len(h):
-                    begin = at - (WIDTH - 1) - np.r_[0, ends[:-1]][doc]
-                    crc = np.array([zlib.crc32(t) for t in texts[i:j]], np.int64)
-                    held.append((h, np.array(ids[i:j], np.int64)[doc], crc[doc], begin, _regions(buf, ends, at, doc)))
-                i = j
-            if not held:
-                continue
-            h, doc, crc, begin, raw = (np.concatenate(x) for x in zip(*held, strict=True))
-            del held
-            distinct, number = _distinct(raw)
-            least = np.full(len(distinct), NONE)
-            np.minimum.at(least, number, doc)
-            here = doc > least[number]
-            mask = np.zeros(len(h), U64)
-            if here.any():
-                inside = (np.arange(WIDTH) >= raw[here, REGION][:, None]) & (np.arange(WIDTH) <= raw[here, REGION + 1][:, None])
-                mask = (inside * _BITS).sum(axis=1, dtype=U64)
-                yield decided(doc[here], crc[here], begin[here], mask)
-            first = ~here
-            bucket = _bucket_of(h[first], n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, d, x, a, r = bucket[order], doc[first][order], crc[first][order], begin[first][order], number[first][order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            out_bucket, out_blob = [], []
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
-                mine, local = np.unique(r[lo:hi], return_inverse=True)
-                rows = np.empty(hi - lo, _COLUMNS)
-                rows["doc"], rows["crc"], rows["at"], rows["region"] = d[lo:hi], x[lo:hi], a[lo:hi], local
-                out_bucket.append(int(bucket[lo]))
-                out_blob.append(_pack(distinct[mine], rows))
-            nothing = [pa.nulls(len(out_bucket), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary()), *nothing], _NAMES)
-
-    def decided(doc, crc, at, mask) -> pa.RecordBatch:
-        # dealt by document, so that no task gets them all
-        bucket = -1 - doc % n_buckets
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(doc), pa.binary()), *map(pa.array, (doc, crc, at, mask.view(np.int64)))], _NAMES)
+def _windows_apart(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(regions of one window each, hash of its bytes, number of the region it comes from)."""
+    inside = (np.arange(WIDTH) >= raw[:, REGION][:, None]) & (np.arange(WIDTH) <= raw[:, REGION + 1][:, None])
+    number, window = np.nonzero(inside)
+    out = np.zeros((len(number), REGION + 2), np.uint8)
+    rows, places = np.arange(len(number))[:, None], window[:, None] + np.arange(LENGTH)
+    out[rows, places] = raw[number[:, None], places]
+    out[:, REGION] = out[:, REGION + 1] = window
+    h = np.zeros(len(number), U64)
+    for j in range(LENGTH):
+        h = h * U64(_MUL) + _BYTES[out[rows[:, 0], places[:, j]]]
+    return out, mix64(h), number
+
+
+def window_marks(texts: DataFrame, shared: DataFrame, n_buckets: int, hot: int) -> DataFrame:
+    """(part, doc_id, crc, at, mask): bit j says that the window at ``at + j`` of the document is to go; crc is the text's."""
+
+    def spread(table: pa.Table, blobs: pa.Table) -> pa.Table:
+        ids, rows = _known(table)
+        held = []
+        if blobs.num_rows and rows:
+            part = table.column("part")[0].as_py()
+            known, n_docs = _summed(*(np.concatenate(x) for x in zip(*map(_unpack_hashes, blobs.column("blob").to_pylist()), strict=True)))
+            for i, j in _passes(rows, PASS_BYTES):
+                buf, ends, h, at, doc = _found(rows[i:j])
+                place = np.minimum(np.searchsorted(known, _short(h)), len(known) - 1)
+                ok = known[place] == _short(h)
+                h, at, doc, often = h[ok], at[ok], doc[ok], n_docs[place[ok]] > hot
+                if not len(h):
+                    continue
+                begin = at - (WIDTH - 1) - np.r_[0, ends[:-1]][doc]
+                crc = np.array([zlib.crc32(t) for t in rows[i:j]], np.int64)
+                raw, doc_id = _regions(buf, ends, at, doc), np.array(ids[i:j], np.int64)[doc]
+                crc = crc[doc]
+                if often.any():
+                    single, window_hash, of = _windows_apart(raw[often])
+                    both = lambda x: np.concatenate([x[~often], x[often][of]])  # noqa: B023, E731
+                    h, raw = np.concatenate([h[~often], window_hash]), np.concatenate([raw[~often], single])
+                    doc_id, crc, begin = both(doc_id), both(crc), both(begin)
+                held.append((h, doc_id, crc, begin, raw))
+        if not held:
+            return _MARK_SCHEMA.empty_table()
+        h, doc, crc, begin, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        distinct, number = _distinct(raw)
+        least = np.full(len(distinct), NONE)
+        np.minimum.at(least, number, doc)
+        here = doc > least[number]
+        out = []
+        if here.any():
+            inside = (np.arange(WIDTH) >= raw[here, REGION][:, None]) & (np.arange(WIDTH) <= raw[here, REGION + 1][:, None])
+            mask = (inside * _BITS).sum(axis=1, dtype=U64)
+            bucket = -1 - doc[here] % n_buckets  # dealt by document, so that no task gets them all
+            n = len(mask)
+            out.append(pa.table([pa.array(bucket), pa.nulls(n, pa.binary()), pa.array(np.full(n, part, np.int32)), *map(pa.array, (doc[here], crc[here], begin[here], mask.view(np.int64)))], schema=_MARK_SCHEMA))
+        first = ~here
+        bucket = _bucket_of(h[first], n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, d, x, a, r = bucket[order], doc[first][order], crc[first][order], begin[first][order], number[first][order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blob = []
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
+            mine, local = np.unique(r[lo:hi], return_inverse=True)
+            cols = np.empty(hi - lo, _COLUMNS)
+            cols["doc"], cols["crc"], cols["at"], cols["region"], cols["part"] = d[lo:hi], x[lo:hi], a[lo:hi], local, part
+            blob.append(_pack(distinct[mine], cols))
+        out.append(pa.table([pa.array(bucket[cuts]), pa.array(blob, pa.binary()), pa.nulls(len(cuts), pa.int32()), *[pa.nulls(len(cuts), pa.int64())] * 4], schema=_MARK_SCHEMA))
+        return pa.concat_tables(out)
 
     def solve(table: pa.Table) -> pa.Table:
         blobs = [b for b in table.column("blob").to_pylist() if b is not None]
@@ -367,13 +390,14 @@ def window_marks(docs: DataFrame, bits, n_buckets: int) -> DataFrame:
         gone = (found[number] < rows["doc"][:, None]) * _BITS
         mask = gone.sum(axis=1, dtype=U64)
         some = mask != 0
-        return pa.table([*(pa.array(np.ascontiguousarray(rows[c][some])) for c in ("doc", "crc", "at")), pa.array(mask[some].view(np.int64))], _NAMES[2:])
+        return pa.table([*(pa.array(np.ascontiguousarray(rows[c][some])) for c in ("part", "doc", "crc", "at")), pa.array(mask[some].view(np.int64))], _NAMES[2:])
 
-    spread_rows = docs.mapInArrow(spread, "bucket long, blob binary, doc_id long, crc long, at long, mask long")
-    return spread_rows.groupBy("bucket").applyInArrow(solve, "doc_id long, crc long, at long, mask long")
+    rows = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(spread, "bucket long, blob binary, part int, doc_id long, crc long, at long, mask long")
+    return rows.groupBy("bucket").applyInArrow(solve, "part int, doc_id long, crc long, at long, mask long")
 
 
-_NAMES = ["bucket", "blob", "doc_id", "crc", "at", "mask"]
+_NAMES = ["bucket", "blob", "part", "doc_id", "crc", "at", "mask"]
+_MARK_SCHEMA = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("part", pa.int32()), *[(c, pa.int64()) for c in _NAMES[3:]]])
 
 
 def _distinct(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -395,26 +419,29 @@ def _cut(text: bytes, at: np.ndarray, mask: np.ndarray) -> tuple[int, int, bytes
     return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None, part_bytes: int = 1 << 23) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None, part_bytes: int = PART_BYTES, hot: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per row of ``df``; with ``with_text`` also the rest.
 
     The rest is returned as text; a cut inside a UTF-8 character leaves bytes
-    that are dropped from the text (not from the hash).  Null text is empty.
+    that are dropped from the text (not from the hash).  Null text is empty.  A
+    very long text is hashed in passes of a megabyte and is whole in its part.
     Rows with a null id neither remove nor lose anything.  Rows of equal id
     never remove from each other, and each loses what a smaller id holds: such
-    rows are told apart by their text when marks are applied.
+    rows are told apart by their text when marks are applied.  An empty table
+    gives an empty result.  ``carry`` names further columns to return, other
+    columns are left out, whatever their names; a carried column that has the
+    name of a result is not returned.
     """
-    spark = df.sparkSession
     carry = carry or []
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    extra = [f"__c{i}" for i in range(len(carry))]
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, extra, strict=True)])
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
-    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    bits = spark.sparkContext.broadcast(shared_anchor_filter(known))
-    marks = window_marks(known, bits, max(64, -(-total // (1 << 21))))
+    texts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int"))
+    shared = shared_anchors(texts, max(64, -(-total // SLICE_BYTES)))
+    marks = window_marks(texts, shared, max(64, -(-total // BUCKET_BYTES)), hot)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     names = [c.strip().split(" ")[0] for c in out.split(",")]
-    extra = [f"__c{i}" for i in range(len(carry))]
 
     def apply(texts: pa.Table, found: pa.Table) -> pa.Table:
         ids, crc, at, mask = (found.column(c).to_numpy() for c in ("doc_id", "crc", "at", "mask"))
@@ -430,8 +457,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
         return pa.table([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *texts.select(extra).columns], [*names, *extra])
 
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).alias("part")
-    left = docs.select("doc_id", "text", *extra, part).groupBy("part")
-    right = marks.select("doc_id", "crc", "at", "mask", part).groupBy("part")
-    rows = left.cogroup(right).applyInArrow(apply, with_fields(out, docs, extra))
+    rows = texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(apply, with_fields(out, docs, extra))
     return rows.withColumnsRenamed({k: c for k, c in zip(extra, carry, strict=True) if c not in names})
