@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import U64, binary_lists, mix64, text_of, with_fields, written
-from quillstat.llm.graph import components
+from quillstat.llm.graph import components, merged
 
 WORDS, PERCENT = 5, 75
 BINS, ROWS, BANDS = 384, 6, 64
@@ -198,11 +198,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", c
     carry = carry or []
     kept_as = [f"__c{i}" for i in range(len(carry))]
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, kept_as, strict=True)])
-    schema = with_fields("doc_id long, n long, key binary, bands array<long>", docs, kept_as)
+    # what a row is found by again: its id, or without one its text
+    docs = docs.withColumn("__pick", F.coalesce("doc_id", F.xxhash64("text"))).select("doc_id", "text", "__pick", *kept_as)
+    schema = with_fields("doc_id long, n long, key binary, bands array<long>", docs, ["__pick", *kept_as])
     sig = written(docs.mapInArrow(_signatures, schema).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # equal sets are one node; its best row is that of the least id
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    keyed = sig.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(best).alias("best"), F.min("doc_id").alias("low"))
+    keyed = sig.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(best).alias("best"), F.min("__pick").alias("low"))
     nodes = written(keyed, "nodes")
     rows = sig.select(F.col("row").alias("node"), "n", "bands").join(nodes.select("node"), "node").select("node", "n", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")).where("size > 1")
@@ -211,14 +213,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", c
 
     # full sets of the nodes in any shared bucket, found again by their least document
     wanted = members.select("node").distinct().join(nodes, "node")
-    texts = docs.join(wanted.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+    texts = docs.join(wanted.select("low").distinct(), F.col("__pick") == F.col("low"), "left_semi").select("text")
     found = texts.mapInArrow(_sets, "key binary, shingles binary").dropDuplicates(["key"])
     sets = written(found.join(wanted.select("key", "node"), "key").select("node", "shingles"), "sets")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        comp = components(links)
-        return comp
-
     def with_components(comp: DataFrame) -> DataFrame:
         of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
         m = members.join(of("node"), "node", "left").join(of("center"), "center", "left")
@@ -226,13 +224,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", c
 
     # the star edge to the least center first, then those that still join two components
     first = members.where(near).groupBy("node").agg(F.min("center").alias("center"))
-    links = confirmed(first.select(F.col("center").alias("a"), F.col("node").alias("b")), sets)
-    more = with_components(labelled(links)).where(near & (F.col("comp") != F.col("center_comp"))).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    comp = merged(None, confirmed(first.select(F.col("center").alias("a"), F.col("node").alias("b")), sets))
+    more = with_components(comp).where(near & (F.col("comp") != F.col("center_comp"))).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     more = more.join(first.select(F.col("center").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(confirmed(more, sets))
+    comp = merged(comp, confirmed(more, sets))
 
     # what stars can't see: pairs of leaves whose components are still apart
-    m = with_components(labelled(links)).select("band", "node", "n", "size", "center", "comp")
+    m = with_components(comp).select("band", "node", "n", "size", "center", "comp")
     split = m.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
     rest = written(m.join(split, "band"), "rest")
     small = rest.where((F.col("size") <= SMALL_BUCKET) & (F.col("node") != F.col("center")))
@@ -240,16 +238,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", c
     pairs = few.select(F.explode("l").alias("p"), "l").select("p", F.explode("l").alias("q")).where(
         "p.node < q.node AND p.comp <> q.comp AND 100 * least(p.n, q.n) >= 75 * greatest(p.n, q.n)"
     )
-    links = links.union(confirmed(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), sets))
+    links = confirmed(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), sets)
     large = rest.where(F.col("size") > SMALL_BUCKET)
     if not large.isEmpty():
         links = links.union(_complete_large(large, sets))
 
-    final = labelled(links).join(nodes.select("node", "best"), "node")
+    final = merged(comp, links).join(nodes.select("node", "best"), "node")
     bests = final.groupBy("component").agg(F.min("best").alias("least"))
     per_node = nodes.join(final.select("node", "component"), "node", "left").join(bests, "component", "left")
     per_key = per_node.select("key", F.coalesce("least", "best").alias("least"))
-    out = sig.drop("bands").join(per_key, "key", "left")
+    out = sig.drop("bands", "__pick").join(per_key, "key", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return out.select(
         "doc_id",

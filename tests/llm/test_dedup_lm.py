@@ -92,6 +92,22 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and got[102] == 100 and got[100] == 100
 
 
+def test_components_on_top_of_known_ones(spark, monkeypatch):
+    from quillstat.llm import graph
+
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(7, i) for i in range(1000, 1400)]  # a hub
+    of = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {r.node: r.component for r in components(of(links)).collect()}
+    for hubs in (10_000, 4):
+        monkeypatch.setattr(graph, "HUBS", hubs)
+        known = graph.merged(None, of(links[:150]))
+        known = graph.merged(known, of(links[150:500]))
+        got = {r.node: r.component for r in graph.merged(known, of(links[500:])).collect()}
+        assert {k: v for k, v in got.items() if k in want} == want
+    assert graph.merged(known, of([])).count() == known.count()
+
+
 def test_bins_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64))
@@ -127,11 +143,11 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     texts += ["ab" * 300, "ab" * 200 + "c" * 120, "c" * 121, "x" * 49, "x" * 50, "x" * 51, texts[3][:200], "p" + texts[3][150:260] + "q", "🙂漢" * 40, "é🙂漢" * 40]
     ids = rng.sample(range(1000), len(texts))
     rows = list(zip(ids, texts, strict=True))
-    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, n_bytes string")
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, n_bytes string").selectExpr("*", "1 AS part", "2 AS bucket", "3 AS mask")
     want = brute_removal(rows)
-    for batch in (1 << 24, 3000):  # one batch, and many
-        monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", batch)
-        got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(df).collect())
+    for part, hot in ((1 << 23, 10**6), (3000, 10**6), (3000, 3)):  # few parts, many, and frequent anchors window by window
+        monkeypatch.setattr(suffix_dedup, "PASS_BYTES", min(part, 7000))  # texts in several passes
+        got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(df, part_bytes=part, hot=hot).collect())
         assert got == want
     kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df, with_text=True).collect()}
     assert all(len(kept[i].encode()) <= len(t.encode()) for i, t in rows)
