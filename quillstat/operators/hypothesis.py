@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillstat.functions import dist, options
 from quillstat.functions.columns import beta_ppf, binom_cdf, chi2_sf, f_ppf, f_sf, norm_cdf, norm_ppf, norm_sf, p_value, t_ppf, t_sf, t_two_sided
 from quillstat.plans.moments import double, join_groups, own_names, usable
+from quillstat.plans.order import counted_before
 
 NAN = float("nan")
 TEST = dict(alternative="two_sided", confidence_level=0.95)
@@ -52,8 +53,7 @@ def _level(o) -> float:
 def _midranks(rows: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
     """Rows with the mean rank of their value within the group, and ties: how many rows share it."""
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("ties").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    ranks = counted_before(counts, list(by), value, "ties", name).withColumn(name, F.col(name) + (F.col("ties") + 1) / 2)
     return join_groups(rows, ranks, [*by, value])
 
 

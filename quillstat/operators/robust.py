@@ -1,8 +1,9 @@
 """Robust, quantile and other likelihood fits.
 
 Reweighted fits (Huber, quantile, Laplace, Student t) are rounds of weighted
-moments over all groups at once.  Sampling fits (RANSAC, Theil-Sen) and isotonic
-regression run a short NumPy kernel per group.
+moments over all groups at once.  Sampling fits (RANSAC, Theil-Sen) draw their
+subsets from a bounded random share of a group; what counts rows counts all.
+Isotonic regression runs a short NumPy kernel on a group's distinct values.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from quillstat.operators import glm
 from quillstat.operators.linear import predicted, training
 from quillstat.plans.moments import double, join_groups, usable, weighted_moments_once
 from quillstat.plans.newton import add, linear_predictor, newton, parameter
+from quillstat.plans.order import medians
 from quillstat.plans.solve import Stack, sweep
 from quillstat.sources.tables import settled
 
@@ -135,7 +137,7 @@ def quantile_fit_agg(df: DataFrame, y: str, x: list[str], by: list[str] = (), op
     return s.select(*by, "r.coefficients", "r.intercept", F.lit(float(o.tau)).alias("tau"), F.col("n").alias("n_observations"), F.lit(len(x)).alias("n_features"))
 
 
-# -- sampling fits: a short kernel per group --------------------------------------------
+# -- sampling fits ------------------------------------------------------------------------
 
 
 def _design(pdf: pd.DataFrame, xs: list[str], intercept: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -143,26 +145,38 @@ def _design(pdf: pd.DataFrame, xs: list[str], intercept: bool) -> tuple[np.ndarr
     return (np.column_stack([np.ones(len(x)), x]) if intercept else x), pdf["__y"].to_numpy(float)
 
 
+def ransac_candidates(z: np.ndarray, y: np.ndarray, o) -> np.ndarray:
+    """(trials, coefficients): least squares on random subsets of the rows."""
+    rng, n = np.random.default_rng(int(o.random_state)), len(y)
+    size = min(int(o.min_samples or z.shape[1]), n)
+    picks = [rng.choice(n, size, replace=False) for _ in range(int(o.max_trials))]
+    return np.array([np.linalg.lstsq(z[k], y[k], rcond=None)[0] for k in picks])
+
+
+def ransac_choice(hits: np.ndarray, n: int, size: int, o) -> tuple[int, int]:
+    """(best trial, trials until the stopping rule holds) from the inliers that each trial found among n rows."""
+    best, trials, need = 0, 0, int(o.max_trials)
+    while trials < min(need, len(hits)):
+        h = int(hits[trials])
+        if trials == 0 or h > hits[best]:
+            best = trials
+            share = min(1 - 1e-12, max(1e-12, (h / n) ** size))
+            need = math.ceil(math.log(1 - float(o.stop_probability)) / math.log(1 - share)) if share > 1e-9 else need
+            if o.stop_n_inliers is not None and h >= int(o.stop_n_inliers):
+                return best, trials + 1
+        trials += 1
+    return best, trials
+
+
 def ransac_kernel(z: np.ndarray, y: np.ndarray, o) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(coefficients on inliers, inliers, threshold, trials)."""
-    rng = np.random.default_rng(int(o.random_state))
-    n, size = len(y), int(o.min_samples or z.shape[1])
+    """(coefficients on inliers, inliers, threshold, trials) of rows at hand: for the array form."""
     threshold = float(o.residual_threshold) if o.residual_threshold is not None else float(np.median(np.abs(y - np.median(y))))
-    best, trials, need = np.zeros(n, bool), 0, int(o.max_trials)
-    while trials < min(need, int(o.max_trials)):
-        trials += 1
-        pick = rng.choice(n, min(size, n), replace=False)
-        b = np.linalg.lstsq(z[pick], y[pick], rcond=None)[0]
-        good = np.abs(y - z @ b) <= threshold
-        if good.sum() > best.sum():
-            best = good
-            share = min(1 - 1e-12, max(1e-12, (good.sum() / n) ** size))
-            need = math.ceil(math.log(1 - float(o.stop_probability)) / math.log(1 - share)) if share > 1e-9 else need
-            if o.stop_n_inliers is not None and good.sum() >= int(o.stop_n_inliers):
-                break
-    if best.sum() < z.shape[1]:
-        best[:] = True
-    return np.linalg.lstsq(z[best], y[best], rcond=None)[0], best, threshold, trials
+    inliers = np.abs(y[:, None] - z @ ransac_candidates(z, y, o).T) <= threshold
+    best, trials = ransac_choice(inliers.sum(axis=0), len(y), int(o.min_samples or z.shape[1]), o)
+    good = inliers[:, best]
+    if good.sum() < z.shape[1]:
+        good[:] = True
+    return np.linalg.lstsq(z[good], y[good], rcond=None)[0], good, threshold, trials
 
 
 def theilsen_kernel(z: np.ndarray, y: np.ndarray, o) -> np.ndarray:
@@ -189,36 +203,77 @@ def theilsen_kernel(z: np.ndarray, y: np.ndarray, o) -> np.ndarray:
     return m
 
 
-def _per_group(df: DataFrame, y: str, x: list[str], by: list[str], kind: str, o) -> DataFrame:
-    """(by, r) by a kernel; a group must fit into one task's memory, which is why the linear family does not go this way."""
+#: For each row that subsets take, this many rows are drawn at random to take them from.
+SPARE = 4
+
+
+def _sampled(df: DataFrame, y: str, x: list[str], by: list[str], kind: str, o) -> DataFrame:
+    """(by, r) of RANSAC or Theil-Sen.
+
+    Both fit random subsets, so a kernel needs only the rows to draw them from:
+    all of a small group, a random share of a large one.  RANSAC then counts the
+    inliers of every trial, and fits those of the best, over all rows by
+    aggregates.
+    """
     rows, xs = _named(df, y, x, by)
+    p = len(x) + int(bool(o.fit_intercept))
+    size = int((o.min_samples if kind == "ransac" else o.n_subsamples) or p)
+    wanted = SPARE * size * int(o.max_trials if kind == "ransac" else o.max_subpopulation)
+    counts = settled(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= max(p, 1)))
+    drawn = join_groups(rows, counts, by).where(F.rand(int(o.random_state)) * F.col("__n") < wanted).drop("__n")
     keys = [f.simpleString().replace(":", " ") for f in rows.select(*by).schema.fields]
-    schema = ", ".join([*keys, "coefficients array<double>, intercept double, n long, residual_threshold double, n_inliers int, n_trials int"])
-    intercept = bool(o.fit_intercept)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, v = _design(pdf, xs, intercept)
-        extra = (np.nan, 0, 0)
-        if len(v) < z.shape[1]:
-            return pd.DataFrame(columns=[*by, "coefficients", "intercept", "n", "residual_threshold", "n_inliers", "n_trials"])
-        if kind == "ransac":
-            b, good, threshold, trials = ransac_kernel(z, v, o)
-            extra = (threshold, int(good.sum()), trials)
-        else:
-            b = theilsen_kernel(z, v, o)
-        k = int(intercept)
-        row = [*[pdf[c].iloc[0] for c in by], b[k:].tolist(), b[0] if k else np.nan, len(v), *extra]
-        return pd.DataFrame([row], columns=[*by, "coefficients", "intercept", "n", "residual_threshold", "n_inliers", "n_trials"])
-
-    grouped = rows.groupBy(*by) if by else rows.groupBy()
-    out = grouped.applyInPandas(run, schema)
-    return settled(out.select(*by, F.struct(*[c for c in out.columns if c not in by]).alias("r")))
+        z, v = _design(pdf.sort_values(["__y", *xs]), xs, bool(o.fit_intercept))
+        got = ransac_candidates(z, v, o) if kind == "ransac" else theilsen_kernel(z, v, o)[None]
+        return pd.DataFrame([[*[pdf[c].iloc[0] for c in by], got.tolist()]], columns=[*by, "__b"])
+
+    grouped = drawn.groupBy(*by) if by else drawn.groupBy()
+    fits = settled(grouped.applyInPandas(run, ", ".join([*keys, "__b array<array<double>>"])))
+    if kind == "ransac":
+        return _ransac(rows, fits, counts, xs, by, o, p, size)
+    k, b = int(bool(o.fit_intercept)), F.get("__b", F.lit(0))
+    first = F.get(b, F.lit(0)) if k else F.lit(float("nan"))
+    none = [F.lit(float("nan")).alias("residual_threshold"), F.lit(0).alias("n_inliers"), F.lit(0).alias("n_trials")]
+    return join_groups(fits, counts, by).select(*by, F.struct(F.slice(b, 1 + k, len(x)).alias("coefficients"), first.alias("intercept"), F.col("__n").alias("n"), *none).alias("r"))
+
+
+def _residual(xs: list[str], b: str, intercept: bool) -> Column:
+    k = int(intercept)
+    return F.col("__y") - add([F.get(b, F.lit(0)) if k else F.lit(0.0), *[F.get(b, F.lit(i + k)) * F.col(c) for i, c in enumerate(xs)]])
+
+
+def _ransac(rows: DataFrame, trials: DataFrame, counts: DataFrame, xs: list[str], by: list[str], o, p: int, size: int) -> DataFrame:
+    intercept = bool(o.fit_intercept)
+    if o.residual_threshold is not None:
+        limits = counts.withColumn("__limit", F.lit(float(o.residual_threshold)))
+    else:
+        off = join_groups(rows, medians(rows, by, "__y", "__m"), by).withColumn("__d", F.abs(F.col("__y") - F.col("__m")))
+        limits = settled(join_groups(counts, medians(off, by, "__d", "__limit"), by))
+
+    def choose(hits: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ransac_choice(np.asarray(h), int(m), size, o) for h, m in zip(hits, n, strict=True)], columns=["best", "trials"])
+
+    every = join_groups(join_groups(rows, limits, by), trials, by).select("*", F.posexplode("__b").alias("__i", "__t")).drop("__b")
+    hit = F.when(F.abs(_residual(xs, "__t", intercept)) <= F.col("__limit"), 1).otherwise(0)
+    hits = every.groupBy(*by, "__i").agg(F.sum(hit).alias("__h"))
+    # one number a trial and group: their count is max_trials
+    hits = hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__h"))), lambda s: s["__h"]).alias("__hits"))
+    j = join_groups(join_groups(hits, limits, by), trials, by).withColumn("__c", F.pandas_udf(choose, "best int, trials int")("__hits", "__n"))
+    found = F.get("__hits", F.col("__c.best"))
+    j = j.select(*by, "__n", "__limit", F.col("__c.trials").alias("__trials"), F.get("__b", F.col("__c.best")).alias("__t"), found.alias("__found"))
+    best = settled(j)
+    near = join_groups(rows, best, by).where((F.abs(_residual(xs, "__t", intercept)) <= F.col("__limit")) | (F.col("__found") < p))
+    fit = reweighted(near.select(*by, "__y", *xs), xs, by, intercept, weigh=lambda d: d, iterations=0)
+    inliers = F.when(F.col("__found") < p, F.col("__n")).otherwise(F.col("__found")).cast("int")
+    r = F.struct("r.coefficients", "r.intercept", F.col("__n").alias("n"), F.col("__limit").alias("residual_threshold"), inliers.alias("n_inliers"), F.col("__trials").alias("n_trials"))
+    return settled(join_groups(fit, best, by).select(*by, r.alias("r")))
 
 
 def sampled_fit_agg(df: DataFrame, kind: str, y: str, x: list[str], by: list[str] = (), opts: dict | None = None) -> DataFrame:
     o, by = options.read(opts, **(RANSAC if kind == "ransac" else THEILSEN)), list(by)
     rows, xs = _named(df, y, x, by)
-    s = _statistics(rows, _per_group(df, y, x, by, kind, o), xs, by)
+    s = _statistics(rows, _sampled(df, y, x, by, kind, o), xs, by)
     more = ["r.residual_threshold", "r.n_inliers", "r.n_trials"] if kind == "ransac" else []
     return s.select(*by, "r.coefficients", "r.intercept", "r_squared", "adj_r_squared", "residual_std_error", F.col("n").alias("n_observations"), F.lit(len(x)).alias("n_features"), *more)
 
@@ -272,7 +327,7 @@ def fit_predict_by(df: DataFrame, kind: str, y: str, x: list[str], by: list[str]
         a = alm_fit_agg(train, y, x, by, {k: v for k, v in (opts or {}).items() if k != "null_policy"})
         fits = a.select(*by, F.struct("coefficients", "intercept", F.col("n_observations").alias("n"), "scale").alias("r"))
     else:
-        fits = _per_group(train, y, x, by, kind, o)
+        fits = _sampled(train, y, x, by, kind, o)
     s = _statistics(named, fits, xs, by).where(F.col("n") >= 2)
     sigma = F.col("r.scale") if kind == "alm" else F.col("residual_std_error")
     s = s.select(*by, F.struct("r.coefficients", "r.intercept", sigma.alias("s"), "n").alias("__r"))
