@@ -1,7 +1,8 @@
 """Tests by permutation, and pairwise measures: short seeded NumPy kernels per group.
 
-Kendall's tau is counted by native aggregates and windows.  The kernel of the
-others holds one whole group, and mmd and distance correlation its square.
+Kendall's tau is counted by native aggregates and windows.  The permutation t
+test and the energy distance work on slices and ranges of a group.  The kernels
+of mmd and distance correlation hold one whole group, and its square.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import options
 from quillstat.functions.columns import norm_sf
-from quillstat.plans.moments import double, own_names, usable
-from quillstat.sources.tables import written
+from quillstat.plans.moments import double, join_groups, own_names, usable
+from quillstat.sources.tables import settled, written
 
 SCHEMA = "statistic double, p_value double, n1 int, n2 int, method string"
 #: Numbers that a step of relabelling holds.
@@ -36,71 +37,116 @@ def _two(df: DataFrame, value: str, group: str, by) -> DataFrame:
     return usable(df, [value]).where(F.col(group).isNotNull()).select(*by, double(value).alias("v"), (F.col(group).cast("long") == 0).alias("first"))
 
 
-@own_names
-def permutation_t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
-    """Difference of means under relabelling, as a t statistic; the share of relabellings at least as far out."""
-    o = options.read(opts, alternative="two_sided", n_permutations=10_000, random_state=42)
+#: Rows of a group are relabelled in random slices of about this many.
+SLICE = 8192
 
-    def kernel(pdf: pd.DataFrame):
-        v, f = pdf["v"].to_numpy(), pdf["first"].to_numpy(bool)
-        n1, n2 = int(f.sum()), int((~f).sum())
-        if n1 < 2 or n2 < 2:
-            return None
 
-        def t(s1, q1):
-            s2, q2 = v.sum() - s1, (v * v).sum() - q1
-            m1, m2 = s1 / n1, s2 / n2
-            pooled = (np.maximum(0, q1 - n1 * m1**2) + np.maximum(0, q2 - n2 * m2**2)) / (n1 + n2 - 2)
-            return (m1 - m2) / np.sqrt(np.maximum(pooled, 1e-300) * (1 / n1 + 1 / n2))
+def _sliced(df: DataFrame, value: str, group: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows in random slices, n1 and n2 of each group with two rows on both sides).
 
-        seen = float(t(v[f].sum(), (v[f] ** 2).sum()))
-        rng, out, left = np.random.default_rng(int(o.random_state)), 0, int(o.n_permutations)
-        while left:  # small groups take many relabellings at once
-            m = min(left, max(1, CELLS // len(v)))
-            pick = rng.permuted(np.tile(v, (m, 1)), axis=1)[:, :n1]
-            x = t(pick.sum(axis=1), (pick * pick).sum(axis=1))
-            out += int({"two_sided": np.abs(x) >= abs(seen) - 1e-12, "greater": x >= seen - 1e-12, "less": x <= seen + 1e-12}[o.alternative].sum())
-            left -= m
-        return seen, (out + 1) / (int(o.n_permutations) + 1), n1, n2, f"Permutation t-test ({int(o.n_permutations)} permutations)"
+    A slice is relabelled on its own.  Such relabellings are a subgroup of all
+    of them, so the test stays exact; groups up to SLICE rows are one slice.
+    """
+    rows = _two(df, value, group, by)
+    n = rows.groupBy(*by).agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2"), F.avg("v").alias("centre"))
+    n = settled(n.where("n1 >= 2 AND n2 >= 2"))
+    j = join_groups(rows, n, by).where("n1 IS NOT NULL").withColumn("v", F.col("v") - F.col("centre")).drop("centre")
+    return j.withColumn("slice", F.floor(F.rand(0) * F.ceil((F.col("n1") + F.col("n2")) / SLICE))), n.drop("centre")
 
-    return _apply(_two(df, value, group, by), list(by), SCHEMA, kernel)
+
+def _relabelled(pdf: pd.DataFrame, o):
+    """Blocks of labels (relabelling, row) of a slice whose rows are sorted; the labels seen come first."""
+    f, left = pdf["first"].to_numpy(bool), int(o.n_permutations)
+    rng = np.random.default_rng([int(o.random_state), int(pdf["slice"].iloc[0])])
+    yield f[None]
+    while left:
+        m = min(left, max(8, CELLS // len(f)))
+        yield rng.permuted(np.tile(f, (m, 1)), axis=1)
+        left -= m
 
 
-def _mean_abs(sorted_values: np.ndarray) -> float:
-    """Mean of |a - b| over all ordered pairs of a sorted sample."""
-    n = len(sorted_values)
-    return float(2 * ((2 * np.arange(1, n + 1) - n - 1) * sorted_values).sum() / (n * n))
+def _per(rows: DataFrame, keys: list[str], schema: str, by: list[str], kernel) -> DataFrame:
+    names = [*by, *[c.strip().split(" ")[0] for c in schema.split(",")]]
+    shape = ", ".join([*[f.simpleString().replace(":", " ") for f in rows.select(*by).schema.fields], schema])
+    return rows.groupBy(*keys).applyInPandas(lambda pdf: pd.DataFrame([[*[pdf[c].iloc[0] for c in by], *kernel(pdf)]], columns=names), shape)
+
+
+def _tested(each: DataFrame, n: DataFrame, by: list[str], alternative: str, o, method: str) -> DataFrame:
+    """Statistic of the labels seen (p = 0) and the share of relabellings at least as far out."""
+    seen = each.where("p = 0").select(*by, F.col("t").alias("seen"))
+    t, s = F.col("t"), F.col("seen")
+    far = {"two_sided": F.abs(t) >= F.abs(s) - 1e-12, "greater": t >= s - 1e-12, "less": t <= s + 1e-12}[alternative]
+    out = join_groups(each, seen, by).groupBy(*by).agg(F.first("seen").alias("statistic"), (F.count_if((F.col("p") > 0) & far) + 1).alias("hits"))
+    p = (F.col("hits") / (int(o.n_permutations) + 1)).alias("p_value")
+    return join_groups(out, n, by).where("statistic IS NOT NULL").select(*by, "statistic", p, F.col("n1").cast("int").alias("n1"), F.col("n2").cast("int").alias("n2"), F.lit(f"{method} ({int(o.n_permutations)} permutations)").alias("method"))
 
 
-def energy(x: np.ndarray, y: np.ndarray) -> float:
-    """2 E|X-Y| - E|X-X'| - E|Y-Y'|, from the pooled sample: no pair is formed."""
-    n, m = len(x), len(y)
-    pooled = _mean_abs(np.sort(np.concatenate([x, y]))) * (n + m) ** 2
-    xx, yy = _mean_abs(np.sort(x)), _mean_abs(np.sort(y))
-    cross = (pooled - xx * n * n - yy * m * m) / 2
-    return float(2 * cross / (n * m) - xx - yy)
+@own_names
+def permutation_t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
+    """Difference of means under relabelling, as a t statistic; the share of relabellings at least as far out."""
+    o, by = options.read(opts, alternative="two_sided", n_permutations=10_000, random_state=42), list(by)
+    rows, n = _sliced(df, value, group, by)
 
+    def sums(pdf: pd.DataFrame):
+        pdf = pdf.sort_values(["v", "first"])
+        v = pdf["v"].to_numpy()
+        got = np.concatenate([labels @ np.column_stack([v, v * v]) for labels in _relabelled(pdf, o)])
+        return got[:, 0].tolist(), got[:, 1].tolist(), v.sum(), (v * v).sum()
 
-def _relabelled(v, f, statistic, o, method):
-    n1 = int(f.sum())
-    seen = statistic(v[f], v[~f])
-    rng = np.random.default_rng(int(o.random_state))
-    hits = 0
-    for _ in range(int(o.n_permutations)):
-        p = rng.permutation(len(v))
-        hits += statistic(v[p[:n1]], v[p[n1:]]) >= seen - 1e-12
-    return float(seen), (hits + 1) / (int(o.n_permutations) + 1), n1, len(v) - n1, method
+    parts = _per(rows, [*by, "slice"], "s array<double>, q array<double>, sv double, sq double", by, sums)
+    parts = parts.select(*by, "sv", "sq", F.posexplode(F.arrays_zip("s", "q")).alias("p", "z"))
+    each = parts.groupBy(*by, "p").agg(F.sum("z.s").alias("s1"), F.sum("z.q").alias("q1"), F.sum("sv").alias("sv"), F.sum("sq").alias("sq"))
+    m1, m2 = F.col("s1") / F.col("n1"), (F.col("sv") - F.col("s1")) / F.col("n2")
+    within = F.greatest(F.lit(0.0), F.col("q1") - F.col("n1") * m1**2) + F.greatest(F.lit(0.0), F.col("sq") - F.col("q1") - F.col("n2") * m2**2)
+    pooled = F.greatest(within / (F.col("n1") + F.col("n2") - 2), F.lit(1e-300))
+    each = join_groups(each, n, by).select(*by, "p", ((m1 - m2) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))).alias("t"))
+    return _tested(written(each, "relabelled"), n, by, o.alternative, o, "Permutation t-test")
 
 
 @own_names
 def energy_distance_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
-    o = options.read(opts, n_permutations=1000, random_state=42)
-
-    def kernel(pdf: pd.DataFrame):
-        v, f = pdf["v"].to_numpy(), pdf["first"].to_numpy(bool)
-        return None if min(f.sum(), (~f).sum()) < 2 else _relabelled(v, f, energy, o, f"Energy distance test ({int(o.n_permutations)} permutations)")
+    """2 E|X-Y| - E|X-X'| - E|Y-Y'| and its permutation test: twice the integral of the squared gap of both distribution functions.
 
-    return _apply(_two(df, value, group, by), list(by), SCHEMA, kernel)
+    Each row takes its labels under all relabellings along as bits.  Ranges of
+    the sorted rows then give sums that are joined by what lies before a range.
+    """
+    o, by = options.read(opts, n_permutations=1000, random_state=42), list(by)
+    count = int(o.n_permutations) + 1
+    rows, n = _sliced(df, value, group, by)
+    shape = rows.select(*by, "v", "n1", "n2").withColumn("labels", F.lit(b"")).schema
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["v", "first"])
+        bits = np.packbits(np.concatenate(list(_relabelled(pdf, o))), axis=0).T
+        return pdf.drop(columns=["first", "slice"]).assign(labels=[b.tobytes() for b in bits])
+
+    labelled = rows.groupBy(*by, "slice").applyInPandas(label, shape)
+    ranges = written(labelled.orderBy(*by, "v", "labels").withColumn("range", F.spark_partition_id()), "labelled")
+
+    def integrate(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("v", kind="stable")
+        v, n1, n2 = pdf["v"].to_numpy(), int(pdf["n1"].iloc[0]), int(pdf["n2"].iloc[0])
+        ones, first, second = np.zeros(count), np.zeros(count), np.zeros(count)
+        step = max(1, CELLS // count)
+        gaps = np.append(np.diff(v), 0.0)
+        for at in range(0, len(v), step):
+            raw = np.frombuffer(b"".join(pdf["labels"].iloc[at : at + step]), np.uint8).reshape(-1, (count + 7) // 8)
+            up = ones + np.unpackbits(raw, axis=1, count=count).cumsum(axis=0)
+            w = up * (1 / n1 + 1 / n2) - (at + 1 + np.arange(len(up)))[:, None] / n2
+            d = gaps[at : at + step]
+            first, second, ones = first + d @ w, second + d @ (w * w), up[-1]
+        return int(pdf["range"].iloc[0]), len(v), n1, n2, v[0], v[-1], ones.tolist(), first.tolist(), second.tolist()
+
+    schema = "range int, m double, n1 double, n2 double, lo double, hi double, ones array<double>, w1 array<double>, w2 array<double>"
+    parts = _per(ranges, [*by, "range"], schema, by, integrate)
+    parts = parts.select(*by, "range", "m", "n1", "n2", "lo", "hi", F.posexplode(F.arrays_zip("ones", "w1", "w2")).alias("p", "z"))
+    order = Window.partitionBy(*by, "p").orderBy("range")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ones, m = F.coalesce(F.sum("z.ones").over(before), F.lit(0.0)), F.coalesce(F.sum("m").over(before), F.lit(0.0))
+    parts = parts.withColumn("u", ones * (1 / F.col("n1") + 1 / F.col("n2")) - m / F.col("n2")).withColumn("gap", F.coalesce(F.col("lo") - F.lag("hi").over(order), F.lit(0.0)))
+    u = F.col("u")
+    t = 2 * F.sum(u * u * (F.col("gap") + F.col("hi") - F.col("lo")) + 2 * u * F.col("z.w1") + F.col("z.w2"))
+    return _tested(written(parts.groupBy(*by, "p").agg(t.alias("t")), "relabelled"), n, by, "greater", o, "Energy distance test")
 
 
 @own_names

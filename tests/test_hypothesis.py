@@ -46,11 +46,27 @@ def test_kendall_gives_no_group_to_one_task(spark, monkeypatch):
         assert rows[k].n == len(a) and rows[k].tau == pytest.approx((dx * dy).sum() / np.sqrt((dx != 0).sum() * (dy != 0).sum()))
 
 
-def test_energy_needs_no_pairs():
-    rng = np.random.default_rng(3)
-    x, y = rng.normal(size=17), rng.normal(1, 1, 23)
+def test_energy_and_permutation_t_by_slices_and_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=150).round(1), rng.normal(0.15, size=250).round(1)
+    y[:80] = 0.5  # one value holds a fifth of all rows
+    pdf = pd.DataFrame({"k": [None] * 400, "g": [0] * 150 + [1] * 250, "v": np.concatenate([x, y])})
+    far = pd.DataFrame({"k": ["far"] * 6 + ["short"] * 3, "g": [0, 0, 0, 1, 1, 1, 0, 1, 1], "v": [1.0, 2, 3, 101, 102, 103, 1, 2, 3]})
+    df = spark.createDataFrame(pd.concat([pdf, far]), "k string, g int, v double").repartition(5)
     d = lambda a, b: np.abs(a[:, None] - b[None, :]).mean()
-    assert S.energy(x, y) == pytest.approx(2 * d(x, y) - d(x, x) - d(y, y))
+    p = {}
+    for size in (8192, 50):  # one slice, then several
+        monkeypatch.setattr(S, "SLICE", size)
+        e = {r.k: r for r in S.energy_distance_agg(df, "v", "g", ["k"], {"n_permutations": 300}).collect()}
+        t = {r.k: r for r in S.permutation_t_test_agg(df, "v", "g", ["k"], {"n_permutations": 300}).collect()}
+        assert set(e) == set(t) == {None, "far"}
+        assert e[None].statistic == pytest.approx(2 * d(x, y) - d(x, x) - d(y, y)) and (e[None].n1, e[None].n2) == (150, 250)
+        pooled = (x.var() * 150 + y.var() * 250) / 398
+        assert t[None].statistic == pytest.approx((x.mean() - y.mean()) / np.sqrt(pooled * (1 / 150 + 1 / 250)))
+        assert 0.02 < e["far"].p_value < 0.25 and 0.02 < t["far"].p_value < 0.25  # 2 of the 20 splits are as far out
+        p[size] = e[None].p_value, t[None].p_value
+    assert p[50] == pytest.approx(p[8192], abs=0.12)
+    assert S.energy_distance_agg(df.where("v > 1e9"), "v", "g").count() == 0
 
 
 def test_permutation_p_is_between(spark):

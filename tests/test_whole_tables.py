@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillstat import queries
+from quillstat import queries, queries_models  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
