@@ -5,10 +5,11 @@ A conversation is rendered as one string of turns::
     [TURN role]text</s>
 
 The rendered text is parsed again by a deterministic grammar (cut at the end
-mark, then at the first closing bracket).  If the recovered turns are not the
-source, conflicting content is escaped, first only control strings, then every
-character that could take part in one, until the round trip is identical.
-``level`` says which escape was needed, and the parser gets it with the text.
+mark, then at the first closing bracket), which needs nothing but that text.
+If the recovered turns are not the source, or a text holds a bare control
+string, conflicting content is escaped until the round trip is identical.  A
+text that was left as it is holds no escape character, so one unescape reads
+both.
 """
 
 from __future__ import annotations
@@ -62,22 +63,21 @@ def _unescape_all(text: Column) -> Column:
     return text
 
 
-LEVELS = ((_plain, _plain), (_escape_controls, _unescape_controls), (_escape_all, _unescape_all))
+ESCAPES = (_plain, _escape_controls)
 
 
 def render(turns: Column, level: int) -> Column:
-    """array<struct<role,text>> to one string.  Roles are always fully escaped."""
-    escape = LEVELS[level][0]
+    """array<struct<role,text>> to one string.  Roles are always fully escaped; level 1 escapes control strings in texts."""
+    escape = ESCAPES[level]
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), _escape_all(t["role"]), F.lit(CLOSE), escape(t["text"]), F.lit(END))), "")
 
 
-def parse(formatted: Column, level: int) -> Column:
-    """One string to array<struct<role,text>>: the inverse of render.
+def parse(formatted: Column) -> Column:
+    """One string to array<struct<role,text>>: the inverse of render at either level.
 
     The grammar: a conversation is turns; a turn is OPEN, a role without CLOSE,
     CLOSE, a text without END, END.  Anything else gives turns that differ.
     """
-    unescape = LEVELS[level][1]
     parts = F.split(formatted, r"\Q" + END + r"\E")
     parts = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1))
     at = len(OPEN) + 1
@@ -85,7 +85,7 @@ def parse(formatted: Column, level: int) -> Column:
         parts,
         lambda p: F.struct(
             _unescape_all(F.substring(p, F.lit(at), F.greatest(F.lit(0), F.instr(p, CLOSE) - at))).alias("role"),
-            unescape(F.substring(p, F.instr(p, CLOSE) + 1, F.length(p))).alias("text"),
+            _unescape_controls(F.substring(p, F.instr(p, CLOSE) + 1, F.length(p))).alias("text"),
         ),
     )
 
@@ -115,23 +115,19 @@ def gather_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def format_chats(conversations: DataFrame, **columns: str) -> DataFrame:
-    """(conv_id, formatted, level, recovered): recovered are the turns read back.
+    """(conv_id, formatted, level, recovered): recovered are the turns read back from formatted alone.
 
     The level is the least whose round trip gives the source exactly and leaves
-    no bare control string in a text.  A conversation for which no level works
-    raises an error; the last level escapes every character of a mark, so there
-    is none.
+    no bare control string in a text: 0 as it is, 1 escaped.  An escaped text
+    holds no control string and every escape is undone, so level 1 fits any
+    source; a conversation that came back otherwise would raise an error.
     """
     g = gather_turns(conversations, **columns)
     clean = ~F.exists("turns", lambda t: _contains_control(t["text"]))
-    pick = F.when(clean & (parse(render(F.col("turns"), 0), 0) == F.col("turns")), 0)
-    for level in (1, 2):
-        pick = pick.when(parse(render(F.col("turns"), level), level) == F.col("turns"), level)
+    pick = F.when(clean & (parse(render(F.col("turns"), 0)) == F.col("turns")), 0).when(parse(render(F.col("turns"), 1)) == F.col("turns"), 1)
     g = g.withColumn("level", pick.otherwise(F.raise_error(F.lit("no escape level gives the source back")).cast("int")))
-    formatted = F.when(F.col("level") == 0, render(F.col("turns"), 0)).when(F.col("level") == 1, render(F.col("turns"), 1)).otherwise(render(F.col("turns"), 2))
-    g = g.select("conv_id", "level", formatted.alias("formatted"))
-    back = F.when(F.col("level") == 0, parse(F.col("formatted"), 0)).when(F.col("level") == 1, parse(F.col("formatted"), 1)).otherwise(parse(F.col("formatted"), 2))
-    return g.withColumn("recovered", back)
+    g = g.select("conv_id", "level", F.when(F.col("level") == 0, render(F.col("turns"), 0)).otherwise(render(F.col("turns"), 1)).alias("formatted"))
+    return g.withColumn("recovered", parse(F.col("formatted")))
 
 
 def loss_text(recovered: Column) -> Column:

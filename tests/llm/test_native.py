@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -59,6 +60,17 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_texts_are_read_back_from_the_formatted_string_alone(spark):
+    pieces = [*chat_format.CONTROLS, chat_format.ESC, "c", "e", "<", "[", "/", "s>", "]", "|", "INST]", "TURN ", " a"]
+    texts = ["".join(random.Random(i).choices(pieces, k=i % 9)) for i in range(3000)]
+    df = spark.createDataFrame([(i // 3, i % 3, texts[-i], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    alone = chat_format.format_chats(df).select("conv_id", "level", "formatted")
+    for r in alone.withColumn("read", chat_format.parse(F.col("formatted"))).collect():
+        want = [(texts[-i], texts[i]) for i in range(3 * r.conv_id, 3 * r.conv_id + 3)]
+        assert [(t.role, t.text) for t in r.read] == want
+        assert r.formatted.count("</s>") == 3 and r.formatted.count("[TURN ") == 3
+
+
 def test_mixing(spark):
     rows = [(i, f"s{i % 4}" if i % 4 else None, "word " * (i % 37)) for i in range(600)] + [(7, "s3", "dup dup"), (7, "s3", "dup dup"), (None, "s1", None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("clash"))
