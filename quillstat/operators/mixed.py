@@ -1,8 +1,15 @@
-"""Gaussian mixed models with a random intercept, from the moments of each group.
+"""Mixed models with random effects of one grouping factor.
 
-The likelihood depends on the data through group moments only.  One pass makes
-them; the profile likelihood is then a sum over groups for each trial value of
-the variance ratio, and all trial values are summed in the same job.
+Gaussian with a random intercept: the likelihood depends on the data through
+group moments only.  One pass makes them; the profile likelihood is then a sum
+over groups for each trial value of the variance ratio, and all trial values are
+summed in the same job.
+
+Other families and random slopes: rounds of penalised weighted least squares.  A
+round sums score and information per group, solves the groups' small blocks in
+batches, sums what the blocks leave for the fixed effects, and updates the
+random effects' covariance.  The random effects stay a distributed table; only
+sums the size of the fixed effects' information reach the driver.
 """
 
 from __future__ import annotations
@@ -11,15 +18,23 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions import dist, options
-from quillstat.plans.moments import moments
-from quillstat.plans.newton import symmetric, triangle
-from quillstat.sources.tables import settled
+from quillstat.operators.glm import lgamma
+from quillstat.plans.moments import double, join_groups, moments, usable
+from quillstat.plans.newton import add, symmetric, triangle
+from quillstat.sources.tables import settled, written
+
+GLMM = dict(glmm_family="gaussian", fit_intercept=True, compute_inference=False, confidence_level=0.95, max_iterations=None, tolerance=1e-8, reml=True, offset_column=None, random_slopes=())
+
+#: The family names of the documented interface.
+FAMILIES = {"gaussian": "gaussian", "normal": "gaussian", "lmm": "gaussian", "poisson": "poisson", "binomial": "binomial", "logistic": "binomial"}
 
-GLMM = dict(glmm_family="gaussian", fit_intercept=True, compute_inference=False, confidence_level=0.95, max_iterations=6, tolerance=1e-8, reml=True)
+
+class TooFewGroups(ValueError):
+    """Fewer than two groups, or groups of one row only."""
 
 
 def _profiles(per: DataFrame, ratios: list[float], p: int, reml: bool) -> pd.DataFrame:
@@ -51,20 +66,214 @@ def _profiles(per: DataFrame, ratios: list[float], p: int, reml: bool) -> pd.Dat
     return s
 
 
+def _row_terms(family: str, y, eta, s2: float) -> dict:
+    """Score and information of a row in its linear predictor, its log likelihood, deviance and squared error."""
+    if family == "gaussian":
+        e = y - eta
+        return {"g": e / s2, "w": F.lit(1 / s2), "ll": -0.5 * (e * e / s2 + math.log(2 * math.pi * s2)), "dev": e * e}
+    if family == "poisson":
+        m = F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta)))
+        top = F.when(y > 0, y * F.log(y) - y).otherwise(0.0)
+        return {"g": y - m, "w": m, "ll": y * eta - m, "dev": 2 * (top - (y * eta - m))}
+    m = 1 / (1 + F.exp(-eta))
+    ll = y * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))
+    return {"g": y - m, "w": F.greatest(m * (1 - m), F.lit(1e-10)), "ll": ll, "dev": -2 * ll}
+
+
+def _blocks(per: DataFrame, fixed: list[int], random: list[int], d: int, inverse: np.ndarray) -> DataFrame:
+    """Groups with m (covariance of the effects given the fixed ones), c (cross information), r (penalised score), and what the block leaves for the fixed effects: a, b."""
+
+    def run(it):
+        for part in it:
+            if part.empty:
+                continue
+            info, score, u = symmetric(part["info"], d), np.stack(part["score"]), np.stack(part["u"])
+            cross = info[:, random][:, :, fixed]
+            m = np.linalg.inv(info[:, random][:, :, random] + inverse)
+            r = score[:, random] - u @ inverse
+            left = np.einsum("gqf,gqr->gfr", cross, m)
+            flat = lambda v: list(v.reshape(len(part), -1))
+            done = {"m": flat(m), "c": flat(cross), "r": list(r), "a": flat(info[:, fixed][:, :, fixed] - left @ cross), "b": list(score[:, fixed] - np.einsum("gfr,gr->gf", left, r))}
+            yield pd.DataFrame({"__g": part["__g"], "u": part["u"], "n": part["n"], "ll": part["ll"], "dev": part["dev"], **done})
+
+    return per.mapInPandas(run, "__g string, u array<double>, n long, ll double, dev double, m array<double>, c array<double>, r array<double>, a array<double>, b array<double>")
+
+
+def _stepped(blocks: DataFrame, step: np.ndarray, v: np.ndarray, sigma: np.ndarray, inverse: np.ndarray) -> DataFrame:
+    """Groups with their next effects, outer products of those and of their uncertainty, and their share of the marginal log likelihood."""
+    q = len(sigma)
+
+    def run(it):
+        for part in it:
+            if part.empty:
+                continue
+            k = len(part)
+            m, c, r, u = np.stack(part["m"]).reshape(k, q, q), np.stack(part["c"]).reshape(k, q, -1), np.stack(part["r"]), np.stack(part["u"])
+            new = u + np.einsum("gqr,gr->gq", m, r - c @ step)
+            mc = m @ c
+            spread = m + mc @ v @ np.swapaxes(mc, 1, 2)
+            marginal = part["ll"].to_numpy() - 0.5 * np.einsum("gi,ij,gj->g", u, inverse, u) + 0.5 * np.linalg.slogdet(m)[1] - 0.5 * np.linalg.slogdet(sigma)[1]
+            flat = lambda z: list(z.reshape(k, -1))
+            yield pd.DataFrame({"__g": part["__g"], "u": list(new), "n": part["n"], "dev": part["dev"], "uu": flat(new[:, :, None] * new[:, None, :]), "spread": flat(spread), "marginal": marginal})
+
+    return blocks.mapInPandas(run, "__g string, u array<double>, n long, dev double, uu array<double>, spread array<double>, marginal double")
+
+
+def _total(c: str, size: int) -> Column:
+    return F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(size)]).alias(c)
+
+
+def _extrapolated(passed: list[float], now: float, new: float) -> float:
+    """Every third value is Aitken's limit of the last three, at most a thousandth or ten times of the last one: a variance of 0 is approached in few rounds."""
+    passed.append(now)
+    if len(passed) < 3:
+        return new
+    a, b = passed[-2], passed[-1]
+    passed.clear()
+    bend = new - 2 * b + a
+    limit = a - (b - a) ** 2 / bend if bend else new
+    return min(max(limit, new / 1000), new * 10)
+
+
+def _penalised(rows: DataFrame, p: int, family: str, random: list[int], o) -> tuple[dict, DataFrame]:
+    """Fixed effects, covariance and the table (__g, u, n) by rounds; ``rows`` has __g, __y, __x0.., __off."""
+    d, q = p + 1, len(random)
+    fixed = list(range(0 if o.fit_intercept else 1, d))
+    rows = written(rows, "rows")
+    base = rows.agg(F.avg("__y"), F.var_samp("__y"), F.count(F.lit(1))).first()
+    n = int(base[2])
+    state = settled(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).withColumn("u", F.array(*[F.lit(0.0)] * q)))
+    groups, largest = state.agg(F.count(F.lit(1)), F.max("n")).first()
+    if groups < 2 or largest < 2:
+        raise TooFewGroups("a mixed model needs two groups and a group of two rows")
+    mean = float(base[0])
+    beta = np.zeros(d)
+    if o.fit_intercept:
+        beta[0] = {"gaussian": mean, "poisson": math.log(max(mean, 1e-8)), "binomial": math.log(max(mean, 1e-8) / max(1 - mean, 1e-8))}[family]
+    s2 = max(float(base[1] or 0.0), 1e-12) if family == "gaussian" else 1.0
+    sigma = np.eye(q) * s2
+    reml = family == "gaussian" and bool(o.reml)
+    design = [F.lit(1.0)] + [F.col(f"__x{i}") for i in range(p)]
+    converged, passed = False, []
+    for rounds in range(1, int(o.max_iterations or 100) + 1):
+        inverse = np.linalg.inv(sigma)
+        j = join_groups(rows, state.select("__g", "u"), ["__g"])
+        eta = add([float(beta[i]) * z for i, z in enumerate(design)] + [F.get("u", F.lit(k)) * design[i] for k, i in enumerate(random)] + [F.col("__off")])
+        j = j.withColumn("__eta", eta)
+        j = j.withColumns({f"__d_{k}": v for k, v in _row_terms(family, F.col("__y"), F.col("__eta"), s2).items()})
+        per = j.groupBy("__g").agg(
+            F.first("u").alias("u"), F.count(F.lit(1)).alias("n"), F.sum("__d_ll").alias("ll"), F.sum("__d_dev").alias("dev"),
+            F.array(*[F.sum(F.col("__d_g") * z) for z in design]).alias("score"), F.array(*[F.sum(F.col("__d_w") * design[a] * design[b]) for a, b in triangle(d)]).alias("info"),
+        )
+        blocks = settled(_blocks(per, fixed, random, d, inverse))
+        f = len(fixed)
+        t = blocks.agg(_total("a", f * f), _total("b", f)).first()
+        a, b = np.array(t["a"]).reshape(f, f), np.array(t["b"])
+        v = np.linalg.pinv(a)
+        step = v @ b
+        next_ = settled(_stepped(blocks, step, v if reml else np.zeros_like(v), sigma, inverse))
+        t = next_.agg(_total("uu", q * q), _total("spread", q * q), F.sum("marginal").alias("ll"), F.sum("dev").alias("dev")).first()
+        uu, spread = np.array(t["uu"]).reshape(q, q), np.array(t["spread"]).reshape(q, q)
+        free = groups * q - float(np.sum(inverse * spread))  # what the effects take of the rows, in degrees of freedom
+        # In the scale where the covariance is the identity, bb + mm is its next value; (I - mm)^-1/2 bb (I - mm)^-1/2 has the same fixed point and gets there sooner.
+        root = np.linalg.cholesky(sigma)
+        white = np.linalg.inv(root)
+        bb, mm = white @ uu @ white.T / groups, white @ spread @ white.T / groups
+        gap = float(np.abs(bb + mm - np.eye(q)).max())
+        values, vectors = np.linalg.eigh(np.eye(q) - (mm + mm.T) / 2)
+        known = root @ (vectors / np.sqrt(np.maximum(values, 1e-9))) @ vectors.T
+        new_sigma = known @ bb @ known.T
+        new_sigma = (new_sigma + new_sigma.T) / 2 + 1e-10 * s2 * np.eye(q)
+        if q == 1:
+            new_sigma = np.array([[_extrapolated(passed, float(sigma[0, 0]), float(new_sigma[0, 0]))]])
+        new_s2 = max(float(t["dev"]) / max(n - free - (f if reml else 0), 1.0), 1e-300) if family == "gaussian" else 1.0
+        moved = max(np.abs(step / (1 + np.abs(beta[fixed]))).max(initial=0.0), gap, abs(new_s2 / s2 - 1))
+        model = {"beta": beta.copy(), "v": v, "sigma": sigma, "s2": s2, "ll": float(t["ll"]) - (0.5 * np.linalg.slogdet(a)[1] - 0.5 * f * math.log(2 * math.pi) if reml else 0.0), "deviance": float(t["dev"])}
+        beta[fixed] += step
+        state = next_.select("__g", "u", "n")
+        converged = moved < max(float(o.tolerance), 1e-6)
+        if converged:
+            break
+        sigma, s2 = new_sigma, new_s2
+    if family == "poisson":
+        model["ll"] -= float(rows.agg(F.sum(lgamma(F.col("__y") + 1))).first()[0])
+    return model | {"beta": beta, "iterations": rounds, "converged": bool(converged), "n": n, "groups": int(groups)}, state
+
+
+def _wald(model: dict, beta: np.ndarray, se: np.ndarray, intercept: bool, level: float) -> dict:
+    """Fields of inference; ``beta`` and ``se`` have the intercept first if there is one."""
+    k = int(intercept)
+    with np.errstate(all="ignore"):
+        z = beta[k:] / se[k:]
+    half = float(dist.norm_ppf(np.array([0.5 + level / 2]))[0]) * se[k:]
+    return model | {
+        "std_errors": se[k:].tolist(), "intercept_std_error": float(se[0]) if k else None, "z_values": z.tolist(), "p_values": (2 * dist.norm_sf(np.abs(z))).tolist(),
+        "ci_lower": (beta[k:] - half).tolist(), "ci_upper": (beta[k:] + half).tolist(),
+    }
+
+
+def _rounds(df: DataFrame, group: str, y: str, x: list[str], offset: str | None, slopes: list[int], family: str, o) -> tuple[dict, DataFrame]:
+    p = len(x)
+    cols = [y, *x, *([offset] if offset else [])]
+    rows = usable(df, cols).select(F.col(group).cast("string").alias("__g"), double(y).alias("__y"), *[double(c).alias(f"__x{i}") for i, c in enumerate(x)], (double(offset) if offset else F.lit(0.0)).alias("__off"))
+    if family == "poisson":
+        rows = rows.where("__y >= 0")
+    elif family == "binomial":
+        rows = rows.where("__y BETWEEN 0 AND 1")
+    m, state = _penalised(rows, p, family, [0, *[1 + i for i in slopes]], o)
+    fixed = m["beta"] if o.fit_intercept else m["beta"][1:]
+    q = 1 + len(slopes)
+    params = len(fixed) + q * (q + 1) // 2 + int(family == "gaussian")
+    var_group = float(m["sigma"][0, 0])
+    model = {
+        "intercept": float(m["beta"][0]) if o.fit_intercept else None, "coefficients": m["beta"][1:].tolist(), "var_group": var_group, "var_residual": float(m["s2"]),
+        "icc": var_group / (var_group + float(m["s2"])), "random_cov": m["sigma"].tolist(), "random_dim": q, "log_likelihood": m["ll"], "aic": 2 * params - 2 * m["ll"],
+        "bic": params * math.log(m["n"]) - 2 * m["ll"], "deviance": m["deviance"], "n_observations": m["n"], "n_groups": m["groups"], "n_features": p, "iterations": m["iterations"], "converged": m["converged"],
+    }
+    model = _wald(model, fixed, np.sqrt(np.maximum(0, np.diag(m["v"]))), bool(o.fit_intercept), float(o.confidence_level))
+    nan = F.lit(float("nan"))
+    return model, state.select(
+        F.col("__g").alias("group"), F.get("u", F.lit(0)).alias("ranef"), nan.alias("ranef_se"), F.col("n").cast("long").alias("n"), F.lit(model["intercept"]).cast("double").alias("fixed_intercept"),
+        F.array(*[F.lit(c) for c in model["coefficients"]]).cast("array<double>").alias("fixed_coefficients"), F.lit(var_group).alias("var_group"), F.lit(model["var_residual"]).alias("var_residual"), F.lit(model["icc"]).alias("icc"),
+        F.col("u").alias("effects"),
+    )
+
+
 def glmm_fit_by(df: DataFrame, group: str, y: str, x: list[str], opts: dict | None = None) -> tuple[dict, DataFrame]:
     """(model, random effects): fixed effects, variances and intraclass correlation, and one row per group.
 
-    Gaussian family, random intercept, by REML or ML.  The ratio of variances is
-    searched on a logarithmic grid that is refined around its best value.
+    A gaussian random intercept is fitted by REML or ML: the ratio of variances
+    is searched on a logarithmic grid that is refined around its best value.
+    poisson (log link), binomial (logit) and ``random_slopes`` (1-based places in
+    x, with an unstructured covariance beside the intercept) go by rounds of
+    penalised least squares (penalised quasi-likelihood), the covariance by the
+    working model's equations, for the gaussian by REML or ML; ``log_likelihood``
+    is the Laplace approximation at the fit, exact for the gaussian.  ``offset_column`` is the 1-based place in x of an offset.  Rows
+    with a missing or infinite value, or a response the family can't have, are
+    left out; null groups are one group.  Fewer than two groups, or groups of one
+    row only, raise.  ranef_se is NaN; ``effects`` are intercept and slopes.
     """
-    o = options.read(opts, **GLMM)
-    if str(o.glmm_family).lower() != "gaussian":
-        raise ValueError("only the gaussian family is supported")
+    o = options.read({"glmm_family" if k.lower() == "family" else k: v for k, v in (opts or {}).items()}, **GLMM)
+    family = FAMILIES.get(str(o.glmm_family).lower())
+    if family is None:
+        raise ValueError(f"family {o.glmm_family!r} is none of {sorted(FAMILIES)}")
+    x = list(x)
+    slopes = [int(i) for i in (o.random_slopes if isinstance(o.random_slopes, (list, tuple)) else [o.random_slopes])]
+    places = [*slopes, *([int(o.offset_column)] if o.offset_column else [])]
+    if any(not 1 <= i <= len(x) for i in places) or len(set(places)) < len(places):
+        raise ValueError("random_slopes and offset_column are different places in x, from 1")
+    carried = [x[i - 1] for i in slopes]
+    offset = x.pop(int(o.offset_column) - 1) if o.offset_column else None
+    if family != "gaussian" or slopes or offset or not o.fit_intercept:
+        return _rounds(df, group, y, x, offset, [x.index(c) for c in carried], family, o)
     keyed = df.withColumn("__g", F.col(group).cast("string"))
     p = len(x)
     per = settled(moments(keyed, y, x, ["__g"]))
+    groups, largest = per.agg(F.count(F.lit(1)), F.max("n")).first()
+    if groups < 2 or largest < 2:
+        raise TooFewGroups("a mixed model needs two groups and a group of two rows")
     grid = [0.0, *np.geomspace(1e-6, 1e4, 41)]
-    for _ in range(int(o.max_iterations)):
+    for rounds in range(1, int(o.max_iterations or 6) + 1):
         s = _profiles(per, grid, p, bool(o.reml)).sort_values("ratio").reset_index(drop=True)
         k = int(s["ll"].idxmax())
         low, high = s["ratio"][max(0, k - 1)], s["ratio"][min(len(s) - 1, k + 1)]
@@ -78,8 +287,9 @@ def glmm_fit_by(df: DataFrame, group: str, y: str, x: list[str], opts: dict | No
     model = {
         "intercept": float(beta[0]), "coefficients": beta[1:].tolist(), "var_group": ratio * s2, "var_residual": s2, "icc": ratio / (1 + ratio), "log_likelihood": float(best["ll"]),
         "aic": 2 * params - 2 * float(best["ll"]), "bic": params * math.log(best["n"]) - 2 * float(best["ll"]), "n_observations": int(best["n"]), "n_groups": int(best["groups"]), "n_features": p,
-        "std_errors": se[1:].tolist(), "intercept_std_error": float(se[0]), "z_values": (beta[1:] / se[1:]).tolist(), "p_values": (2 * dist.norm_sf(np.abs(beta[1:] / se[1:]))).tolist(),
+        "random_cov": [[ratio * s2]], "random_dim": 1, "iterations": rounds, "converged": bool(high - low < 1e-4 * (1 + high)),
     }
+    model = _wald(model, beta, se, True, float(o.confidence_level))
     fixed = F.lit(float(beta[0]))
     for i in range(p):
         fixed = fixed + float(beta[i + 1]) * F.get("xbar", F.lit(i))
@@ -87,5 +297,22 @@ def glmm_fit_by(df: DataFrame, group: str, y: str, x: list[str], opts: dict | No
     ranef = per.select(
         F.col("__g").alias("group"), effect.alias("ranef"), F.lit(float("nan")).alias("ranef_se"), F.col("n").cast("long").alias("n"), F.lit(model["intercept"]).alias("fixed_intercept"),
         F.array(*[F.lit(c) for c in model["coefficients"]]).alias("fixed_coefficients"), F.lit(model["var_group"]).alias("var_group"), F.lit(s2).alias("var_residual"), F.lit(model["icc"]).alias("icc"),
+        F.array(effect).alias("effects"),
     )
     return model, ranef
+
+
+#: Fields of glmm_fit_agg.
+AGG = """intercept double, coefficients array<double>, var_group double, var_residual double, icc double, random_cov array<array<double>>, random_dim int, log_likelihood double, aic double, bic double,
+deviance double, n_observations long, n_groups long, n_features int, iterations int, converged boolean, std_errors array<double>, intercept_std_error double, z_values array<double>,
+p_values array<double>, ci_lower array<double>, ci_upper array<double>"""
+
+
+def glmm_fit_agg(df: DataFrame, group: str, y: str, x: list[str], opts: dict | None = None) -> DataFrame:
+    """One row: the model of glmm_fit_by.  Its random effects are a table there, as a row that lists all groups grows with the data.  Too few groups or rows give no row."""
+    try:
+        model, _ = glmm_fit_by(df, group, y, x, opts)
+    except TooFewGroups:
+        return df.sparkSession.createDataFrame([], AGG)
+    names = [part.split()[0] for part in AGG.split(",")]
+    return df.sparkSession.createDataFrame([tuple(model.get(k) for k in names)], AGG)

@@ -427,3 +427,25 @@ SELECT user_id, CASE WHEN z >= 0.3 THEN 'intermittent' ELSE 'regular' END AS dem
     lambda spark, sf: D.aid_by(demand(spark, sf), ["user_id"], ["ts", "event_id"], "v").select("user_id", "demand_type", r("mean", 5), r("zero_proportion", 6), "n_observations", "stockout_count")
 )
 query("glmm_fit_by")(lambda spark, sf: M.glmm_fit_by(lines(spark, sf).withColumn("s", F.col("l_suppkey")), "s", "y", ["a"])[1].select("group", r("ranef", 3), "n", r("fixed_intercept", 3)))
+
+
+def mixed_gap(spark: SparkSession, sf: str, y: str, x: list[str], opts: dict) -> DataFrame:
+    """Per group the distance from the mixed model's own equation: sum of scores = effect / variance (0 at the fit)."""
+    rows = lines(spark, sf).withColumn("s", F.col("l_suppkey").cast("string"))
+    _, e = M.glmm_fit_by(rows, "s", y, x, opts)
+    e = e.withColumnRenamed("n", "n_rows")
+    j = L.join_groups(rows, e.withColumnRenamed("group", "s"), ["s"])
+    eta = F.col("fixed_intercept") + F.col("ranef")
+    for i, c in enumerate(x):
+        eta = eta + F.get("fixed_coefficients", F.lit(i)) * F.col(c)
+    mean = {"gaussian": eta, "poisson": F.exp(eta), "binomial": 1 / (1 + F.exp(-eta))}[opts["family"]]
+    per = j.groupBy("s", "n_rows", "ranef", "var_group", "var_residual").agg(F.sum((F.col(y) - mean) / F.col("var_residual")).alias("score"))
+    return per.select(F.col("s").alias("supplier"), F.col("n_rows").alias("n"), r(F.abs(F.col("score") - F.col("ranef") / F.col("var_group")), 1, "gap"))
+
+
+GAP = "SELECT CAST(l_suppkey AS VARCHAR) AS supplier, count(*) AS n, CAST(0.0 AS DOUBLE) AS gap FROM lineitem GROUP BY 1"
+query("glmm_poisson_by", GAP)(lambda spark, sf: mixed_gap(spark, sf, "a", ["b"], {"family": "poisson"}))
+query("glmm_binomial_by", GAP)(lambda spark, sf: mixed_gap(spark, sf, "hit", ["a"], {"family": "binomial"}))
+query("glmm_fit_agg", "SELECT count(*) AS n_observations, count(DISTINCT l_suppkey) AS n_groups, 1 AS n_features, 1 AS random_dim FROM lineitem")(
+    lambda spark, sf: M.glmm_fit_agg(lines(spark, sf), "l_suppkey", "y", ["a"]).select("n_observations", "n_groups", "n_features", "random_dim")
+)

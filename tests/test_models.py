@@ -167,3 +167,53 @@ def test_aft_takes_priors(spark):
     assert fit(prior={"x": {"scale": 0.01}}).coefficients[0] < 0.1 < fit().coefficients[0]
     a, b = (fit(prior={"x": {"scale": 0.05}}, compute_inference=True, vcov=v).std_errors[0] for v in ("sandwich", "naive"))
     assert a < b
+
+
+def test_mixed_models_of_other_families(spark):
+    # group effects laid out evenly, so the fits have known neighbourhoods
+    i = np.arange(300)
+    g, x = i // 20, (i % 20) % 4
+    y = np.round(np.exp(0.5 + 0.3 * x + 0.6 * ((g + 0.5) / 15 * 2 - 1)))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x.astype(float), "y": y}))
+    model, ranef = M.glmm_fit_by(df, "g", "y", ["x"], {"glmm_family": "poisson"})
+    assert model["converged"] and abs(model["coefficients"][0] - 0.3) < 0.1 and model["var_group"] > 0 and model["n_groups"] == 15 and model["std_errors"][0] > 0
+    u = ranef.toPandas().assign(g=lambda d: d.group.astype(int)).set_index("g").ranef
+    mu = np.exp(model["intercept"] + model["coefficients"][0] * x + u[g].to_numpy())
+    # at the mode the scores of the fixed effects and of each group's effect vanish
+    assert abs((y - mu).sum()) < 1e-3 and abs(((y - mu) * x).sum()) < 1e-3
+    for k in range(15):
+        assert (y - mu)[g == k].sum() == pytest.approx(u[k] / model["var_group"], abs=1e-3)
+    rng = np.random.default_rng(2)
+    b = rng.normal(0, 1.0, 60)
+    g = np.repeat(np.arange(60), 40)
+    x = rng.normal(size=2400)
+    y = (rng.random(2400) < 1 / (1 + np.exp(-(0.3 + 0.8 * x + b[g])))).astype(float)
+    model, _ = M.glmm_fit_by(spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y})), "g", "y", ["x"], {"glmm_family": "binomial"})
+    assert model["ci_lower"][0] < 0.8 < model["ci_upper"][0] and 0.5 < model["var_group"] < 1.8 and model["var_residual"] == 1.0
+
+
+def test_mixed_models_with_slopes(spark):
+    rng = np.random.default_rng(4)
+    b0, b1 = rng.normal(0, 2, 40), rng.normal(0, 0.7, 40)
+    g = np.repeat(np.arange(40), 25)
+    x = rng.normal(size=1000)
+    pdf = pd.DataFrame({"g": g, "x": x, "y": 1 + 0.5 * x + b0[g] + b1[g] * x + rng.normal(0, 1, 1000)})
+    df = spark.createDataFrame(pdf)
+    model, ranef = M.glmm_fit_by(df, "g", "y", ["x"], {"random": [1]})
+    cov = np.array(model["random_cov"])
+    assert cov.shape == (2, 2) and cov[0, 0] == pytest.approx(4, rel=0.6) and cov[1, 1] == pytest.approx(0.49, rel=0.6) and model["var_residual"] == pytest.approx(1, rel=0.15)
+    e = ranef.toPandas().assign(g=lambda d: d.group.astype(int)).sort_values("g")
+    e = np.stack(e.effects)
+    assert np.corrcoef(e[:, 0], b0)[0, 1] > 0.95 and np.corrcoef(e[:, 1], b1)[0, 1] > 0.85
+    with pytest.raises(ValueError):
+        M.glmm_fit_by(df, "g", "y", ["x"], {"random": [5]})
+    with pytest.raises(ValueError):
+        M.glmm_fit_by(df.withColumn("g", F.lit("only")), "g", "y", ["x"])
+    # rounds and grid give the same fit of a random intercept, with and without REML
+    shifted = df.withColumn("zero", F.lit(0.0))
+    for reml in (True, False):
+        grid, _ = M.glmm_fit_by(df, "g", "y", ["x"], {"reml": reml})
+        rounds, _ = M.glmm_fit_by(shifted, "g", "y", ["x", "zero"], {"reml": reml, "offset": 2})
+        for k in ("intercept", "var_group", "var_residual", "log_likelihood"):
+            assert rounds[k] == pytest.approx(grid[k], rel=1e-3), k
+        assert rounds["std_errors"] == pytest.approx(grid["std_errors"], rel=1e-3)
