@@ -8,6 +8,8 @@ and window frames.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -259,13 +261,16 @@ def fit_predict_window(df: DataFrame, kind: str, y: str, x: list[str], by: list[
     the features of the frame's last row, or with "current" the row's own.
     Products are taken around the group's first values; the sums of a frame of
     more than LONG_FRAME rows that is bounded below are differences of two
-    running sums, so a row costs the same for every length of frame.
+    running sums, so a row costs the same for every length of frame.  A
+    forgetting factor below 1 (rls) discounts by usable rows behind the frame's
+    last one.
     """
     o, p = _options(kind, opts), len(x)
     if kind not in ("ols", "ridge", "elasticnet", "wls", "rls"):
         raise ValueError(f"{kind} has no window form by moments")
-    if kind == "rls" and o.forgetting_factor != 1:
-        raise ValueError("the window form of rls takes a forgetting factor of 1")
+    factor = float(o.forgetting_factor) if kind == "rls" else 1.0
+    if factor != 1 and (frame[0] is not None or not 0 < factor < 1):
+        raise ValueError("a forgetting factor of the window form lies in (0, 1] and, below 1, needs a frame that starts at the first row")
     ordered = Window.partitionBy(*by).orderBy(*order_by)
     from_start = lambda end: ordered.rowsBetween(Window.unboundedPreceding, end)
     w = ordered.rowsBetween(Window.unboundedPreceding if frame[0] is None else frame[0], frame[1])
@@ -281,7 +286,7 @@ def fit_predict_window(df: DataFrame, kind: str, y: str, x: list[str], by: list[
     vals |= {k: F.when(usable_, double(c) - F.col(m)) for k, c, m in zip(("__y", *[f"__x{i}" for i in range(p)]), (y, *x), centres, strict=True)}
     rows = rows.withColumns(vals)
     wc = F.col("__w")
-    sums = {"n": F.col("__n"), "y": wc * F.col("__y"), "yy": wc * F.col("__y") * F.col("__y")} | ({"w": wc} if weight else {})
+    sums = {"n": F.col("__n"), "y": wc * F.col("__y"), "yy": wc * F.col("__y") * F.col("__y")} | ({"w": wc} if weight or factor != 1 else {})
     sums |= {f"x{i}": wc * F.col(f"__x{i}") for i in range(p)} | {f"y{i}": wc * F.col("__y") * F.col(f"__x{i}") for i in range(p)}
     sums |= {f"x{i}x{j}": wc * F.col(f"__x{i}") * F.col(f"__x{j}") for i in range(p) for j in range(i, p)}
     rows = rows.withColumns({f"__p_{k}": v for k, v in sums.items()})
@@ -290,6 +295,9 @@ def fit_predict_window(df: DataFrame, kind: str, y: str, x: list[str], by: list[
         summed = lambda k: F.sum(f"__p_{k}").over(w)
     else:
         summed = lambda k: F.coalesce(F.sum(f"__p_{k}").over(from_start(frame[1])), F.lit(0.0)) - F.coalesce(F.sum(f"__p_{k}").over(from_start(frame[0] - 1)), F.lit(0.0))
+    if factor != 1:
+        rows = _discounted(rows, [f"__p_{k}" for k in sums if k != "n"], by, order_by, factor)
+        summed = lambda k: F.sum("__p_n").over(w) if k == "n" else F.last(f"__p_{k}").over(w)
     at = [double(c) if predict_x == "current" else F.last(double(c)).over(w) for c in x]
     rows = rows.select(*df.columns, *centres, *[summed(k).alias(f"__s_{k}") for k in sums], *[a.alias(f"__a{i}") for i, a in enumerate(at)])
     names = list(sums)
@@ -311,6 +319,29 @@ def fit_predict_window(df: DataFrame, kind: str, y: str, x: list[str], by: list[
     return out.select(*df.columns, found("yhat"), found("yhat_lower"), found("yhat_upper"))
 
 
+def _discounted(rows: DataFrame, cols: list[str], by: list[str], order_by: list[str], factor: float) -> DataFrame:
+    """Each column replaced by its running sum with weight factor**(usable rows behind).
+
+    Powers of the factor would overflow over a long group, so a group is cut into
+    blocks over which the weight falls by e**-12: running sums inside a block, and
+    the totals of the four blocks before it; older ones are below rounding.
+    """
+    size = math.ceil(-12 / math.log(factor))
+    ordered = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.greatest(F.count(F.when(F.col("__ok"), 1)).over(ordered), F.lit(1)) - 1
+    rows = rows.withColumn("__place", place).withColumn("__block", F.floor(F.col("__place") / size)).withColumn("__j", F.col("__place") - F.col("__block") * size)
+    inside = Window.partitionBy(*by, "__block").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda e: F.pow(F.lit(factor), e)
+    j, blocks = F.col("__j"), Window.partitionBy(*by).orderBy("__block")
+    out = {}
+    for c in cols:
+        total = power(j) * F.coalesce(F.sum(F.col(c) * power(-j)).over(inside), F.lit(0.0))
+        for m in range(1, 5):
+            total = total + power(j + 1 + (m - 1) * size) * F.coalesce(F.sum(F.col(c) * power(size - 1 - j)).over(blocks.rangeBetween(-m, -m)), F.lit(0.0))
+        out[c] = total
+    return rows.withColumns(out)
+
+
 #: Frames of more rows are summed as differences of running sums.
 LONG_FRAME = 8
 

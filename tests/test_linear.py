@@ -106,3 +106,26 @@ def test_options(spark):
         L.fit_agg(df, "ridge", "y", ["x1"], opts={"ALPHA": -1})
     row = L.fit_agg(df, "ols", "y", ["x1"], opts={"Inference": 1, "confidence": 0.9}).toPandas().iloc[0]
     assert row.ci_lower[0] < row.coefficients[0] < row.ci_upper[0]
+
+
+def test_rls_window_forgets(spark):
+    rng = np.random.default_rng(8)
+    n, lam = 120, 0.6  # blocks of 24 rows
+    x = rng.normal(size=n)
+    y = 2 + 3 * x + rng.normal(size=n)
+    y[[0, 30, 77]] = np.nan
+    pdf = pd.DataFrame({"g": ["a"] * n, "t": range(n), "x": x, "y": y})
+    both = pd.concat([pdf, pdf.assign(g="b", y=pdf.y + 5).head(3)])
+    out = L.fit_predict_window(spark.createDataFrame(both), "rls", "y", ["x"], ["g"], ["t"], opts={"forgetting_factor": lam}).where("g = 'a'").orderBy("t").toPandas()
+    assert len(out) == n
+    for r in range(n):
+        seen = [i for i in range(r) if not np.isnan(y[i])]
+        if len(seen) <= 2:
+            assert np.isnan(out.yhat[r])
+            continue
+        z = np.column_stack([np.ones(len(seen)), x[seen]])
+        w = lam ** np.arange(len(seen) - 1, -1, -1.0)
+        b = np.linalg.solve(z.T @ (w[:, None] * z) + np.eye(2) * lam ** len(seen) / 100, z.T @ (w * y[seen]))
+        assert out.yhat[r] == pytest.approx(b[0] + b[1] * x[r - 1], rel=1e-6)
+    with pytest.raises(ValueError):
+        L.fit_predict_window(spark.createDataFrame(pdf), "rls", "y", ["x"], ["g"], ["t"], frame=(-9, 0), opts={"forgetting_factor": lam})
