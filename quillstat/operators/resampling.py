@@ -1,12 +1,16 @@
-"""Tests by permutation, and pairwise measures: short seeded NumPy kernels per group.
+"""Tests by permutation, and pairwise measures: short seeded NumPy kernels.
 
-Kendall's tau is counted by native aggregates and windows.  The permutation t
-test and the energy distance work on slices and ranges of a group.  The kernels
-of mmd and distance correlation hold one whole group, and its square.
+Groups of up to SLICE rows are dealt into buckets of groups of like size, which
+share their relabellings.  Larger groups: Kendall's tau is counted by native
+aggregates and windows; the permutation t test and the energy distance work on
+slices and ranges of a group; mmd and distance correlation hold one group, but
+not its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,36 +26,86 @@ SCHEMA = "statistic double, p_value double, n1 int, n2 int, method string"
 CELLS = 1 << 20
 
 
-def _apply(rows: DataFrame, by: list[str], schema: str, kernel) -> DataFrame:
-    keys = [f.simpleString().replace(":", " ") for f in rows.select(*by).schema.fields]
-    names = [*by, *[c.strip().split(" ")[0] for c in schema.split(",")]]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = kernel(pdf)
-        return pd.DataFrame([[*[pdf[c].iloc[0] for c in by], *got]] if got is not None else [], columns=names)
-
-    return (rows.groupBy(*by) if by else rows.groupBy()).applyInPandas(run, ", ".join([*keys, schema]))
-
-
 def _two(df: DataFrame, value: str, group: str, by) -> DataFrame:
     return usable(df, [value]).where(F.col(group).isNotNull()).select(*by, double(value).alias("v"), (F.col(group).cast("long") == 0).alias("first"))
 
 
 #: Rows of a group are relabelled in random slices of about this many.
 SLICE = 8192
+#: Groups of a bucket.
+BUCKET = 64
+
 
+def _counted(rows: DataFrame, n: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of the groups of ``n`` with its columns, n): n has the group's ``rows``; __id numbers groups by size, BUCKET to a bucket."""
+    n = settled(n.withColumn("__rank", F.xxhash64(*by) if by else F.lit(0)))
+    n = settled(n.orderBy("rows", "__rank").drop("__rank").withColumn("__id", F.monotonically_increasing_id()))
+    return join_groups(rows, n, by).where("__id IS NOT NULL").withColumn("__bucket", F.floor(F.col("__id") / BUCKET)), n
+
+
+def _two_counted(df: DataFrame, value: str, group: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """_counted of groups with two rows on both sides, values around the group's mean."""
+    rows = _two(df, value, group, by)
+    n = rows.groupBy(*by).agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2"), F.avg("v").alias("centre"), F.count(F.lit(1)).alias("rows"))
+    rows, n = _counted(rows, n.where("n1 >= 2 AND n2 >= 2"), by)
+    return rows.withColumn("v", F.col("v") - F.col("centre")).drop("centre"), n
 
-def _sliced(df: DataFrame, value: str, group: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows in random slices, n1 and n2 of each group with two rows on both sides).
+
+def _sliced(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of larger groups in random slices.
 
     A slice is relabelled on its own.  Such relabellings are a subgroup of all
-    of them, so the test stays exact; groups up to SLICE rows are one slice.
+    of them, so the test stays exact.
     """
-    rows = _two(df, value, group, by)
-    n = rows.groupBy(*by).agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2"), F.avg("v").alias("centre"))
-    n = settled(n.where("n1 >= 2 AND n2 >= 2"))
-    j = join_groups(rows, n, by).where("n1 IS NOT NULL").withColumn("v", F.col("v") - F.col("centre")).drop("centre")
-    return j.withColumn("slice", F.floor(F.rand(0) * F.ceil((F.col("n1") + F.col("n2")) / SLICE))), n.drop("centre")
+    slices = F.ceil(F.col("rows") / SLICE)
+    return rows.where(F.col("rows") > SLICE).select(*by, "v", "first", "n1", "n2", F.floor(F.rand(0) * slices).alias("slice"))
+
+
+def _by_buckets(rows: DataFrame, by: list[str], values: list[str], schema: str, kernel, most: int | None = None) -> DataFrame:
+    """Results of ``kernel`` for all groups up to ``most`` rows (SLICE).
+
+    The kernel gets the groups of a bucket that have the same number of rows, as
+    arrays (group, row) of each value, in the order of the values.
+    """
+    keys = [f.simpleString().replace(":", " ") for f in rows.select(*by).schema.fields]
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rows", "__id", *values])
+        out = []
+        for size, same in pdf.groupby("rows", sort=False):
+            got = kernel(*[same[c].to_numpy().reshape(-1, int(size)) for c in values])
+            heads = same.iloc[:: int(size)][by].reset_index(drop=True)
+            out.append(pd.concat([heads, pd.DataFrame(got, columns=names)], axis=1))
+        return pd.concat(out, ignore_index=True)
+
+    small = rows.where(F.col("rows") <= (SLICE if most is None else most))
+    return small.select(*by, "rows", "__id", "__bucket", *values).groupBy("__bucket").applyInPandas(run, ", ".join([*keys, schema]))
+
+
+def _whole(rows: DataFrame, by: list[str], values: list[str], schema: str, kernel, most: int) -> DataFrame:
+    """Results of the kernel of _by_buckets for groups of more than ``most`` rows, a group in a task."""
+    keys = [f.simpleString().replace(":", " ") for f in rows.select(*by).schema.fields]
+    names = [*by, *[c.strip().split(" ")[0] for c in schema.split(",")]]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(values)
+        return pd.DataFrame([[*[pdf[c].iloc[0] for c in by], *kernel(*[pdf[c].to_numpy()[None] for c in values])[0]]], columns=names)
+
+    return rows.where(F.col("rows") > most).select(*by, "__id", *values).groupBy("__id").applyInPandas(run, ", ".join([*keys, schema]))
+
+
+def _any_above(n: DataFrame, most: int) -> bool:
+    return not n.where(F.col("rows") > most).isEmpty()
+
+
+def _orders(n: int, count: int, seed, least: int = 8) -> Iterator[np.ndarray]:
+    """Blocks (relabelling, row) of random orders of n rows: the same for all groups of n rows."""
+    rng, left = np.random.default_rng(seed), count
+    while left:
+        m = min(left, max(least, CELLS // n))
+        yield rng.permuted(np.tile(np.arange(n), (m, 1)), axis=1)
+        left -= m
 
 
 def _relabelled(pdf: pd.DataFrame, o):
@@ -85,7 +139,34 @@ def _tested(each: DataFrame, n: DataFrame, by: list[str], alternative: str, o, m
 def permutation_t_test_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Difference of means under relabelling, as a t statistic; the share of relabellings at least as far out."""
     o, by = options.read(opts, alternative="two_sided", n_permutations=10_000, random_state=42), list(by)
-    rows, n = _sliced(df, value, group, by)
+    if o.alternative not in ("two_sided", "greater", "less"):
+        raise ValueError("option alternative must be two_sided, greater or less")
+    rows, n = _two_counted(df, value, group, by)
+    count, method = int(o.n_permutations), f"Permutation t-test ({int(o.n_permutations)} permutations)"
+
+    def tested(v: np.ndarray, first: np.ndarray) -> list:
+        n1, size = first.sum(axis=1), v.shape[1]
+        powers, whole = np.stack([v, v * v], axis=2), np.stack([v.sum(axis=1), (v * v).sum(axis=1)], axis=1)
+
+        def t(sums: np.ndarray, g: int) -> np.ndarray:
+            k1, k2 = n1[g], size - n1[g]
+            m1, m2 = sums[:, 0] / k1, (whole[g, 0] - sums[:, 0]) / k2
+            within = np.maximum(0.0, sums[:, 1] - k1 * m1**2) + np.maximum(0.0, whole[g, 1] - sums[:, 1] - k2 * m2**2)
+            return (m1 - m2) / np.sqrt(np.maximum(within / (size - 2), 1e-300) * (1 / k1 + 1 / k2))
+
+        labels = first.astype(float)
+        seen = [float(t(labels[g][None] @ powers[g], g)[0]) for g in range(len(v))]
+        hits = np.ones(len(v))
+        for orders in _orders(size, count, [int(o.random_state), 0]):
+            for g, s in enumerate(seen):
+                got = t(np.take(labels[g], orders) @ powers[g], g)
+                hits[g] += ((np.abs(got) >= abs(s) - 1e-12) if o.alternative == "two_sided" else (got >= s - 1e-12) if o.alternative == "greater" else (got <= s + 1e-12)).sum()
+        return [(s, h / (count + 1), int(k), int(size - k), method) for s, h, k in zip(seen, hits, n1, strict=True)]
+
+    small = _by_buckets(rows, by, ["v", "first"], SCHEMA, tested)
+    if not _any_above(n, SLICE):
+        return small
+    rows = _sliced(rows, by)
 
     def sums(pdf: pd.DataFrame):
         pdf = pdf.sort_values(["v", "first"])
@@ -100,19 +181,43 @@ def permutation_t_test_agg(df: DataFrame, value: str, group: str, by: list[str]
     within = F.greatest(F.lit(0.0), F.col("q1") - F.col("n1") * m1**2) + F.greatest(F.lit(0.0), F.col("sq") - F.col("q1") - F.col("n2") * m2**2)
     pooled = F.greatest(within / (F.col("n1") + F.col("n2") - 2), F.lit(1e-300))
     each = join_groups(each, n, by).select(*by, "p", ((m1 - m2) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))).alias("t"))
-    return _tested(written(each, "relabelled"), n, by, o.alternative, o, "Permutation t-test")
+    return small.unionByName(_tested(written(each, "relabelled"), n, by, o.alternative, o, "Permutation t-test"))
 
 
 @own_names
 def energy_distance_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """2 E|X-Y| - E|X-X'| - E|Y-Y'| and its permutation test: twice the integral of the squared gap of both distribution functions.
 
-    Each row takes its labels under all relabellings along as bits.  Ranges of
-    the sorted rows then give sums that are joined by what lies before a range.
+    In groups of more than SLICE rows each row takes its labels under all
+    relabellings along as bits.  Ranges of the sorted rows then give sums that
+    are joined by what lies before a range.
     """
     o, by = options.read(opts, n_permutations=1000, random_state=42), list(by)
-    count = int(o.n_permutations) + 1
-    rows, n = _sliced(df, value, group, by)
+    count, method = int(o.n_permutations) + 1, f"Energy distance test ({int(o.n_permutations)} permutations)"
+    rows, n = _two_counted(df, value, group, by)
+
+    def tested(v: np.ndarray, first: np.ndarray) -> list:
+        n1, size = first.sum(axis=1), v.shape[1]
+        gaps, place, labels = np.append(np.diff(v), np.zeros((len(v), 1)), axis=1), np.arange(1, size + 1), first.astype(float)
+
+        def t(drawn: np.ndarray, g: int) -> np.ndarray:
+            u = np.cumsum(drawn, axis=1)
+            u *= 1 / n1[g] + 1 / (size - n1[g])
+            u -= place / (size - n1[g])
+            u *= u
+            return 2 * u @ gaps[g]
+
+        seen = [float(t(labels[g][None], g)[0]) for g in range(len(v))]
+        hits = np.ones(len(v))
+        for orders in _orders(size, count - 1, [int(o.random_state), 0]):
+            for g, s in enumerate(seen):
+                hits[g] += (t(np.take(labels[g], orders), g) >= s - 1e-12).sum()
+        return [(s, h / count, int(k), int(size - k), method) for s, h, k in zip(seen, hits, n1, strict=True)]
+
+    small = _by_buckets(rows, by, ["v", "first"], SCHEMA, tested)
+    if not _any_above(n, SLICE):
+        return small
+    rows = _sliced(rows, by)
     shape = rows.select(*by, "v", "n1", "n2").withColumn("labels", F.lit(b"")).schema
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,60 +251,169 @@ def energy_distance_agg(df: DataFrame, value: str, group: str, by: list[str] = (
     parts = parts.withColumn("u", ones * (1 / F.col("n1") + 1 / F.col("n2")) - m / F.col("n2")).withColumn("gap", F.coalesce(F.col("lo") - F.lag("hi").over(order), F.lit(0.0)))
     u = F.col("u")
     t = 2 * F.sum(u * u * (F.col("gap") + F.col("hi") - F.col("lo")) + 2 * u * F.col("z.w1") + F.col("z.w2"))
-    return _tested(written(parts.groupBy(*by, "p").agg(t.alias("t")), "relabelled"), n, by, "greater", o, "Energy distance test")
+    return small.unionByName(_tested(written(parts.groupBy(*by, "p").agg(t.alias("t")), "relabelled"), n, by, "greater", o, "Energy distance test"))
+
+
+def _median_distance(v: np.ndarray) -> float:
+    """Median of the distances of all pairs of sorted values; by bisection, without the pairs, when they are many."""
+    n = len(v)
+    if n <= 2048:
+        return float(np.median((v[None, :] - v[:, None])[np.triu_indices(n, 1)]))
+    pairs, at = n * (n - 1) // 2, np.arange(1, n + 1)
+
+    def smallest(k: int) -> float:
+        lo, hi = -1.0, float(v[-1] - v[0])
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            if not lo < mid < hi:
+                break
+            if int((np.searchsorted(v, v + mid, "right") - at).sum()) >= k:
+                hi = mid
+            else:
+                lo = mid
+        return max(0.0, hi)
+
+    return (smallest((pairs + 1) // 2) + smallest(pairs // 2 + 1)) / 2
+
+
+def _gaussian_factor(v: np.ndarray, width: float) -> np.ndarray:
+    """F with F F' = the Gaussian kernel matrix of v up to 1e-14 an entry: Cholesky with pivots, so no square of the group is kept."""
+    left, r = np.ones(len(v)), 0
+    f = np.empty((len(v), 0))
+    while r < len(v) and left[i := int(left.argmax())] > 1e-14:
+        if r == f.shape[1]:
+            f = np.concatenate([f, np.empty((len(v), max(16, r)))], axis=1)
+        c = (np.exp(-((v - v[i]) ** 2) / (2 * width**2)) - f[:, :r] @ f[i, :r]) / np.sqrt(left[i])
+        f[:, r] = c
+        left = left - c * c
+        left[i] = 0.0
+        r += 1
+    return f[:, :r]
 
 
 @own_names
 def mmd_agg(df: DataFrame, value: str, group: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
-    """Maximum mean discrepancy with a Gaussian kernel whose width is the median distance.  The kernel matrix of the group is kept in memory."""
-    o = options.read(opts, n_permutations=1000, random_state=42, bandwidth=None)
+    """Maximum mean discrepancy with a Gaussian kernel whose width is the median distance.
+
+    The kernel matrix is taken as the product of a thin factor with itself.
+    """
+    o, by = options.read(opts, n_permutations=1000, random_state=42, bandwidth=None), list(by)
+    count, method = int(o.n_permutations), f"MMD test ({int(o.n_permutations)} permutations)"
+    rows, n = _two_counted(df, value, group, by)
+
+    def tested(v: np.ndarray, first: np.ndarray) -> list:
+        n1, size = first.sum(axis=1), v.shape[1]
+        weights = np.where(first, 1 / n1[:, None], -1 / (size - n1[:, None]))
+        factors = [_gaussian_factor(x, _median_distance(x) or 1.0) for x in v]
+        seen = [float(((w @ f) ** 2).sum()) for w, f in zip(weights, factors, strict=True)]
+        hits, rng, left = np.ones(len(v)), np.random.default_rng(int(o.random_state)), count
+        while left:
+            m = min(left, max(8, CELLS // size))
+            orders = np.stack([rng.permutation(size) for _ in range(m)])
+            for g, s in enumerate(seen):
+                hits[g] += (((np.take(weights[g], orders) @ factors[g]) ** 2).sum(axis=1) >= s - 1e-12).sum()
+            left -= m
+        return [(s, h / (count + 1), int(k), int(size - k), method) for s, h, k in zip(seen, hits, n1, strict=True)]
+
+    small = _by_buckets(rows, by, ["v", "first"], SCHEMA, tested)
+    return small.unionByName(_whole(rows, by, ["v", "first"], SCHEMA, tested, SLICE)) if _any_above(n, SLICE) else small
+
 
-    def kernel(pdf: pd.DataFrame):
-        v, f = pdf["v"].to_numpy(), pdf["first"].to_numpy(bool)
-        n1, n2 = int(f.sum()), int((~f).sum())
-        if min(n1, n2) < 2:
-            return None
-        d = np.abs(v[:, None] - v[None, :])
-        width = np.median(d[np.triu_indices(len(v), 1)]) or 1.0
-        k = np.exp(-(d**2) / (2 * width**2))
+#: Distance correlation takes the pairs of rows of groups up to this size at once; larger ones are summed along the order.
+PAIRED = 128
 
-        def of(w):
-            return float(w @ k @ w)
 
-        w = np.where(f, 1 / n1, -1 / n2)
-        seen, rng = of(w), np.random.default_rng(int(o.random_state))
-        hits = sum(of(w[rng.permutation(len(w))]) >= seen - 1e-12 for _ in range(int(o.n_permutations)))
-        return seen, (hits + 1) / (int(o.n_permutations) + 1), n1, n2, f"MMD test ({int(o.n_permutations)} permutations)"
+def _centred(d: np.ndarray) -> np.ndarray:
+    """Doubly centred distances of the last axis' rows."""
+    return d - d.mean(axis=-2, keepdims=True) - d.mean(axis=-1, keepdims=True) + d.mean(axis=(-2, -1), keepdims=True)
 
-    return _apply(_two(df, value, group, by), list(by), SCHEMA, kernel)
 
+def _mean_distances(v: np.ndarray) -> np.ndarray:
+    """Mean distance of each value from all values."""
+    order, n = np.argsort(v, kind="stable"), len(v)
+    s = v[order]
+    before = np.cumsum(s) - s
+    out = np.empty(n)
+    out[order] = (s * (2 * np.arange(n) - n) + s.sum() - 2 * before) / n
+    return out
 
-def _centred(v: np.ndarray) -> np.ndarray:
-    d = np.abs(v[:, None] - v[None, :])
-    return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
+
+def _distance_products(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum of |x[i] - x[j]| |y[i] - y[j]| over all pairs (i, j), x ascending and both around 0; by the bits of y's rank.
+
+    The distances' product is the differences' product, and twice its negative
+    for discordant pairs: these share the bits of y's rank above some level, and
+    the earlier one has the bit set there.
+    """
+    n = len(x)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(y, kind="stable")] = np.arange(n)
+    total = n * float(x @ y) - float(x.sum() * y.sum())
+    order = np.arange(n)
+    for level in range(int(n - 1).bit_length()):
+        top = rank >> (level + 1)
+        order = np.argsort(top, kind="stable")
+        one = ((rank[order] >> level) & 1).astype(float)
+        a, b = x[order], y[order]
+        starts = np.flatnonzero(np.diff(top[order], prepend=-1))
+        block = np.cumsum(np.diff(top[order], prepend=-1) > 0) - 1
+        sums = []
+        for term in (one, one * a, one * b, one * a * b):
+            c = np.cumsum(term) - term
+            sums.append((c - c[starts][block]) * (1 - one))
+        k, sx, sy, sxy = sums
+        total += 2 * float((a * sy - a * b * k - sxy + b * sx).sum())
+    return 2 * total
+
+
+def _distance_test(x: np.ndarray, y: np.ndarray, o) -> tuple:
+    """Results for one group of any size in memory of its rows."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order] - x.mean(), y[order] - y.mean()
+    a, b = _mean_distances(x), _mean_distances(y)
+    of = lambda p: _distance_products(x, y[p]) / n**2 - 2 * float(a @ b[p]) / n + a.mean() * b.mean()
+    own = lambda v, m: max(0.0, 2 * float(v.var()) - 2 * float((m * m).mean()) + m.mean() ** 2)
+    cov, va, vb = of(np.arange(n)), own(x, a), own(y, b)
+    r = float(np.sqrt(max(0.0, cov) / np.sqrt(va * vb))) if va * vb > 0 else 0.0
+    rng, hits = np.random.default_rng(int(o.random_state)), 0
+    for _ in range(int(o.n_permutations)):
+        hits += of(rng.permutation(n)) >= cov - 1e-12 * np.sqrt(va * vb)
+    return r, n * cov, (hits + 1) / (int(o.n_permutations) + 1), n, "Distance correlation"
 
 
 @own_names
 def distance_cor_agg(df: DataFrame, x: str, y: str, by: list[str] = (), opts: dict | None = None) -> DataFrame:
     """Distance correlation, n times the squared distance covariance, and its permutation test; four pairs at least."""
-    o = options.read(opts, n_permutations=1000, random_state=42)
-
-    def kernel(pdf: pd.DataFrame):
-        if len(pdf) < 4:
-            return None
-        a, b = _centred(pdf["x"].to_numpy()), _centred(pdf["y"].to_numpy())
-        cov, va, vb = (a * b).mean(), (a * a).mean(), (b * b).mean()
-        r = float(np.sqrt(max(0.0, cov) / np.sqrt(va * vb))) if va * vb > 0 else 0.0
-        rng, hits, left = np.random.default_rng(int(o.random_state)), 0, int(o.n_permutations)
-        while left:  # small groups take many relabellings at once
-            m = min(left, max(1, CELLS // len(a) ** 2))
-            p = rng.permuted(np.tile(np.arange(len(a)), (m, 1)), axis=1)
-            hits += int((np.einsum("ij,mij->m", a, b[p[:, :, None], p[:, None, :]]) / a.size >= cov - 1e-15).sum())
-            left -= m
-        return r, float(len(a) * cov), (hits + 1) / (int(o.n_permutations) + 1), len(a), "Distance correlation"
+    o, by = options.read(opts, n_permutations=1000, random_state=42), list(by)
+    count = int(o.n_permutations)
+
+    def tested(x: np.ndarray, y: np.ndarray) -> list:
+        size = x.shape[1]
+        if size > PAIRED:
+            return [_distance_test(u, v, o) for u, v in zip(x, y, strict=True)]
+        d = np.abs(y[:, :, None] - y[:, None, :])
+        a, b = _centred(np.abs(x[:, :, None] - x[:, None, :])), _centred(d)
+        cov, va, vb = (a * b).mean(axis=(1, 2)), (a * a).mean(axis=(1, 2)), (b * b).mean(axis=(1, 2))
+        both = va * vb
+        r = np.where(both > 0, np.sqrt(np.maximum(0.0, cov) / np.sqrt(np.where(both > 0, both, 1.0))), 0.0)
+        # rows of a sum to 0, so the distances of y need no centring; they are 0 on the diagonal
+        up = np.triu_indices(size, 1)
+        half, d, hits = 2 * a[:, up[0], up[1]] / size**2, d.reshape(len(d), -1), np.ones(len(x))
+        seen = cov - 1e-12 * np.sqrt(both)
+        for p in _orders(size, count, int(o.random_state), 1):
+            for at in range(0, len(p), step := max(1, 4 * CELLS // len(up[0]))):
+                q = p[at : at + step]
+                pairs = q[:, up[0]] * size + q[:, up[1]]
+                for g in range(len(x)):
+                    hits[g] += (np.take(d[g], pairs) @ half[g] >= seen[g]).sum()
+        return [(float(r[g]), float(size * cov[g]), hits[g] / (count + 1), size, "Distance correlation") for g in range(len(x))]
 
     rows = usable(df, [x, y]).select(*by, double(x).alias("x"), double(y).alias("y"))
-    return _apply(rows, list(by), "dcor double, statistic double, p_value double, n int, method string", kernel)
+    rows, n = _counted(rows, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where("rows >= 4"), by)
+    schema = "dcor double, statistic double, p_value double, n int, method string"
+    small = _by_buckets(rows, by, ["x", "y"], schema, tested)
+    return small.unionByName(_whole(rows, by, ["x", "y"], schema, tested, SLICE)) if _any_above(n, SLICE) else small
 
 
 #: Cells of a slice of the x order are counted in one task: 2 ** SLICE_BITS at most.
