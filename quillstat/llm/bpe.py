@@ -79,46 +79,71 @@ class Codec:
         self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.of_byte = [vocab[byte_symbols()[b]] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair of ids as one number, to its rank times 2 ** 32; the id that a rank makes
+        self.ranks, self.made = {}, []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank << 32
+            self.made.append(vocab[a + b])
         import public_tokenizers
 
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.chunks = Remembered(self._chunk)
+        self.packed = {i: i.to_bytes(4, "little") for i in self.strings}
+        self.pieces, self.chunks = Remembered(self._piece), Remembered(self._chunk)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        merges = self.merges
+        """Ids of one pre-token.  An entry of the queue is a rank and, below it, the place of the pair's first symbol."""
+        get, made, pop, push = self.ranks.get, self.made, heapq.heappop, heapq.heappush
         ids = [self.of_byte[b] for b in data]
         n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
+        # the entry of the pair that begins at each place now; None if it doesn't merge or the place is gone
+        now, queue, b = [None] * n, [], ids[0] if n else 0
         for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+            a, b = b, ids[i + 1]
+            if (found := get(a << 32 | b)) is not None:
+                now[i] = entry = found | i
+                queue.append(entry)
+        if not queue:
+            return ids
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            entry = pop(queue)
+            i = entry & 0xFFFFFFFF
+            if now[i] != entry:
                 continue  # stale: one of the two has been merged since
-            ids[i], ids[j] = new, -1
+            j = after[i]
+            ids[i] = new = made[entry >> 32]
+            ids[j], now[j] = -1, None
             after[i] = k = after[j]
+            now[i] = None
             if k < n:
                 before[k] = i
-                if found := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (found[0], i, new, ids[k], found[1]))
+                if (found := get(new << 32 | ids[k])) is not None:
+                    now[i] = entry = found | i
+                    push(queue, entry)
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], new))):
-                heapq.heappush(queue, (found[0], h, ids[h], new, found[1]))
+            if h >= 0:
+                if (found := get(ids[h] << 32 | new)) is not None:
+                    now[h] = entry = found | h
+                    push(queue, entry)
+                else:
+                    now[h] = None
         return [x for x in ids if x >= 0]
 
     def pre_tokens(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk)
 
+    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
+        ids = self.merge(piece.encode())
+        return len(ids), b"".join([self.packed[i] for i in ids]), self.join(ids)
+
     def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
-        ids = [i for p in self.pre_tokens(chunk) for i in self.merge(p.encode())]
-        return len(ids), np.array(ids, "<u4").tobytes(), self.join(ids)
+        pieces = self.pieces
+        found = [pieces[p] for p in self.pre_tokens(chunk)]
+        if len(found) == 1:
+            return found[0]
+        return sum([f[0] for f in found]), b"".join([f[1] for f in found]), b"".join([f[2] for f in found])
 
     def sections(self, text: str) -> list[str]:
         """The text cut at special strings, which stand at odd places."""
