@@ -82,3 +82,15 @@ def test_counts_over_frames_and_plans_by_blocks(spark, rows, monkeypatch):
     for out in (got, L.fit_predict_window(df, "ols", "y", ["x"], ["g"], ["t"])):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert all("__block" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+
+
+def test_a_task_of_a_window_gets_a_bounded_share_of_the_rows(spark, rows, monkeypatch):
+    pdf, df = rows
+    monkeypatch.setattr(order, "BLOCK", 4)
+    monkeypatch.setattr(order, "TASK_ROWS", 10)
+    sizes = lambda out: [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert order.tasks(df) == 11 and len(sizes(order.in_order(df, ["g"], ["t"]))) > 8
+    assert order.in_order(df, ["g"], ["t"]).toPandas().equals(pdf)
+    robust = R.fit_predict_window(df, "huber", "y", ["x"], ["g"], ["t"], frame=(-3, 0))
+    for out in (L.fit_predict_window(df, "ols", "y", ["x"], ["g"], ["t"]), robust, order.over_frames(df, ["g"], ["t"], (-3, 0), {"n": lambda w: F.count("y").over(w)})):
+        assert len(sizes(out)) > 4 and sum(sizes(out)) == len(pdf)  # more partitions than spark.sql.shuffle.partitions here
