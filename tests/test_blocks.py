@@ -94,3 +94,14 @@ def test_a_task_of_a_window_gets_a_bounded_share_of_the_rows(spark, rows, monkey
     robust = R.fit_predict_window(df, "huber", "y", ["x"], ["g"], ["t"], frame=(-3, 0))
     for out in (L.fit_predict_window(df, "ols", "y", ["x"], ["g"], ["t"]), robust, order.over_frames(df, ["g"], ["t"], (-3, 0), {"n": lambda w: F.count("y").over(w)})):
         assert len(sizes(out)) > 4 and sum(sizes(out)) == len(pdf)  # more partitions than spark.sql.shuffle.partitions here
+
+
+def test_theilsen_frames_fit_all_subsets_of_their_rows(spark, rows):
+    pdf, df = rows
+    got = R.fit_predict_window(df, "theilsen", "y", ["x"], ["g"], ["t"], frame=(-11, 0)).toPandas().sort_values(["g", "t"], ignore_index=True)
+    o = R.options.read(None, **R.THEILSEN)
+    for i, f in frames_of(pdf, (-11, 0)):
+        use = f[f.y.notna()]
+        if len(use) > 2:  # at most 66 pairs, and all of them count
+            b = R.theilsen_kernel(np.column_stack([np.ones(len(use)), use.x]), use.y.to_numpy(), o)
+            assert got.yhat[i] == pytest.approx(b[0] + b[1] * f.x.iloc[-1], abs=1e-5)
