@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstat.operators import linear as L
 from quillstat.operators import robust as R
 from quillstat.plans import order
+from quillstat.sources import tables
 
 FRAMES = [(None, -1), (None, 0), (None, -5), (None, 2), (-11, 0), (-3, 2), (-5, -2), (2, 12), (-25, 3)]
 
@@ -105,3 +106,26 @@ def test_theilsen_frames_fit_all_subsets_of_their_rows(spark, rows):
         if len(use) > 2:  # at most 66 pairs, and all of them count
             b = R.theilsen_kernel(np.column_stack([np.ones(len(use)), use.x]), use.y.to_numpy(), o)
             assert got.yhat[i] == pytest.approx(b[0] + b[1] * f.x.iloc[-1], abs=1e-5)
+
+
+@pytest.mark.parametrize("kind", ["huber", "theilsen"])
+def test_robust_windows_store_and_shuffle_only_what_the_result_needs(spark, rows, monkeypatch, kind):
+    pdf, df = rows
+    monkeypatch.setattr(order, "BLOCK", 7)
+    stored = []
+    monkeypatch.setattr(order, "written", lambda out, *args, real=order.written, **kw: stored.append(out.columns) or real(out, *args, **kw))
+    out = R.fit_predict_window(df.withColumn("text", F.lit("far too long")), kind, "y", ["x"], ["g"], ["t", "w"], frame=(-4, 1), keep=["t", "k"], over={"n": lambda w: F.count(F.lit(1)).over(w), "s": lambda w: F.sum("k").over(w)})
+    assert out.columns == ["t", "k", "n", "s", "yhat"] and stored == [["g", "t", "k", "__y", "__x0", "__ok", "__id"]]  # once, without w and text
+    plain = R.fit_predict_window(df, kind, "y", ["x"], ["g"], ["t"], frame=(-4, 1)).toPandas().sort_values("t")
+    got = out.toPandas().sort_values("t")
+    assert got.yhat.to_numpy() == pytest.approx(plain.yhat.to_numpy(), abs=1e-9, nan_ok=True)
+    assert dict(zip(got.t, got.n, strict=True)) == {pdf.t[i]: len(f) for i, f in frames_of(pdf, (-4, 1))} and (got.n == got.s).all()
+
+
+def test_a_stored_table_takes_its_shuffle_files_with_it(spark, rows):
+    before = spark.conf.get(tables.FILE_CLEANUP, None)
+    files = lambda: {f for f in spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    had = files()
+    out = tables.written(rows[1].repartition(3, "g"), "test", clean=True)
+    assert not files() - had and out.count() == len(rows[0])
+    assert spark.conf.get(tables.FILE_CLEANUP, None) == before
