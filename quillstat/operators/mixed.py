@@ -20,12 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from quillstat.functions import dist, options
 from quillstat.operators.glm import lgamma
-from quillstat.plans.moments import double, join_groups, moments, usable
+from quillstat.plans.moments import double, moments, usable
 from quillstat.plans.newton import add, symmetric, triangle
-from quillstat.sources.tables import settled, written
+from quillstat.plans.order import TASK_ROWS
+from quillstat.sources.tables import FEW, few, settled, settled_groups, written
 
 GLMM = dict(glmm_family="gaussian", fit_intercept=True, compute_inference=False, confidence_level=0.95, max_iterations=None, tolerance=1e-8, reml=True, offset_column=None, random_slopes=())
 
@@ -135,12 +137,35 @@ def _extrapolated(passed: list[float], now: float, new: float) -> float:
     return min(max(limit, new / 1000), new * 10)
 
 
+#: How null groups are written among keys that begin with "=": joins by plain equality keep rows where they are.
+NULL_KEY = ""
+
+
+def _dealt(rows: DataFrame, counts: DataFrame, n: int, different: int, largest: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows of groups that a task can hold, rows of larger groups, keys of those); a row counts __c times.
+
+    The first are dealt by whole groups and stored in their order, equal rows as
+    one: every round joins and sums them without shuffling or sorting them
+    again.  The second are summed where they are read.  ``different`` estimates
+    how many rows are left; only the number of tasks depends on it.
+    """
+    large = keys = None
+    small = rows
+    if largest > TASK_ROWS:
+        keys = settled_groups(counts.where(F.col("n") > TASK_ROWS).select("__g"))
+        large = written(rows.join(keys, "__g", "left_semi").withColumn("__c", F.lit(1).cast("long")), "large")
+        small = rows.join(keys, "__g", "left_anti")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(different / TASK_ROWS), math.ceil(n / (16 * TASK_ROWS)))
+    small = small.repartition(parts, "__g").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__c"))
+    return small.sortWithinPartitions("__g").persist(StorageLevel.DISK_ONLY), large, keys
+
+
 def _penalised(rows: DataFrame, p: int, family: str, random: list[int], o) -> tuple[dict, DataFrame]:
     """Fixed effects, covariance and the table (__g, u, n) by rounds; ``rows`` has __g, __y, __x0.., __off."""
     d, q = p + 1, len(random)
     fixed = list(range(0 if o.fit_intercept else 1, d))
-    rows = written(rows, "rows")
-    base = rows.agg(F.avg("__y"), F.var_samp("__y"), F.count(F.lit(1))).first()
+    rows = written(rows.withColumn("__g", F.coalesce(F.concat(F.lit("="), "__g"), F.lit(NULL_KEY))), "rows")
+    base = rows.agg(F.avg("__y"), F.var_samp("__y"), F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*rows.columns))).first()
     n = int(base[2])
     state = settled(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).withColumn("u", F.array(*[F.lit(0.0)] * q)))
     groups, largest = state.agg(F.count(F.lit(1)), F.max("n")).first()
@@ -154,17 +179,24 @@ def _penalised(rows: DataFrame, p: int, family: str, random: list[int], o) -> tu
     sigma = np.eye(q) * s2
     reml = family == "gaussian" and bool(o.reml)
     design = [F.lit(1.0)] + [F.col(f"__x{i}") for i in range(p)]
-    converged, passed = False, []
-    for rounds in range(1, int(o.max_iterations or 100) + 1):
-        inverse = np.linalg.inv(sigma)
-        j = join_groups(rows, state.select("__g", "u"), ["__g"])
+    small, large, keys = _dealt(rows, state, n, int(base[3]), largest)
+
+    def sums(rows: DataFrame, effects: DataFrame, beta: np.ndarray, s2: float) -> DataFrame:
         eta = add([float(beta[i]) * z for i, z in enumerate(design)] + [F.get("u", F.lit(k)) * design[i] for k, i in enumerate(random)] + [F.col("__off")])
-        j = j.withColumn("__eta", eta)
-        j = j.withColumns({f"__d_{k}": v for k, v in _row_terms(family, F.col("__y"), F.col("__eta"), s2).items()})
-        per = j.groupBy("__g").agg(
-            F.first("u").alias("u"), F.count(F.lit(1)).alias("n"), F.sum("__d_ll").alias("ll"), F.sum("__d_dev").alias("dev"),
+        j = rows.join(effects, "__g").withColumn("__eta", eta)
+        j = j.withColumns({f"__d_{k}": v * F.col("__c") for k, v in _row_terms(family, F.col("__y"), F.col("__eta"), s2).items()})
+        return j.groupBy("__g").agg(
+            F.first("u").alias("u"), F.sum("__c").alias("n"), F.sum("__d_ll").alias("ll"), F.sum("__d_dev").alias("dev"),
             F.array(*[F.sum(F.col("__d_g") * z) for z in design]).alias("score"), F.array(*[F.sum(F.col("__d_w") * design[a] * design[b]) for a, b in triangle(d)]).alias("info"),
         )
+
+    converged, passed = False, []
+    for rounds in range(1, int(o.max_iterations or 100) + 1):
+        inverse = np.linalg.inv(sigma)
+        effects = state.select("__g", "u")
+        per = sums(small, F.broadcast(effects) if groups <= FEW else effects, beta, s2)
+        if large is not None:
+            per = per.unionByName(sums(large, few(effects.join(keys, "__g", "left_semi")), beta, s2))
         blocks = settled(_blocks(per, fixed, random, d, inverse))
         f = len(fixed)
         t = blocks.agg(_total("a", f * f), _total("b", f)).first()
@@ -195,6 +227,8 @@ def _penalised(rows: DataFrame, p: int, family: str, random: list[int], o) -> tu
         if converged:
             break
         sigma, s2 = new_sigma, new_s2
+    small.unpersist()
+    state = state.withColumn("__g", F.when(F.col("__g") != NULL_KEY, F.expr("substring(__g, 2)")))
     if family == "poisson":
         model["ll"] -= float(rows.agg(F.sum(lgamma(F.col("__y") + 1))).first()[0])
     return model | {"beta": beta, "iterations": rounds, "converged": bool(converged), "n": n, "groups": int(groups)}, state
